@@ -9,12 +9,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelkit.session import settle
+from panelkit.sources.tables import lookup
 
 ROW_BITS = 33  # monotonically_increasing_id keeps the partition number above this bit
 
 
 def running_total(df: DataFrame, order: Sequence[Column], weight: Column, name: str) -> DataFrame:
-    """Add ``name``: the sum of ``weight`` over all rows up to and including this one.
+    """Add ``name``: the sum of ``weight`` over all rows up to and including this one."""
+    return _with_running(df, order, weight, name)[0]
+
+
+def _with_running(df: DataFrame, order: Sequence[Column], weight: Column, name: str) -> tuple[DataFrame, int]:
+    """The rows with their running total, and the total over all.
 
     ``order`` must tell all rows apart (add a key as the last column, or group equal values first);
     range partitions then stay even, whatever value is frequent.
@@ -27,11 +33,12 @@ def running_total(df: DataFrame, order: Sequence[Column], weight: Column, name:
     for part, n in sizes:
         offsets.append((part, before))
         before += n
-    starts = df.sparkSession.createDataFrame(offsets, "_part long, _start long")
+    starts = lookup(df.sparkSession, offsets, "_part long, _start long")
     inside = F.sum("_w").over(Window.partitionBy("_part").orderBy("_pos"))
-    return (tagged.withColumn("_inside", inside).join(starts, "_part")
+    rows = (tagged.withColumn("_inside", inside).join(starts, "_part")
                   .withColumn(name, F.col("_start") + F.col("_inside"))
                   .drop("_w", "_pos", "_part", "_inside", "_start"))
+    return rows, before
 
 
 def ordered_levels(df: DataFrame, key: str, by: str, descending: bool = False, name: str = "level") -> DataFrame:
@@ -49,6 +56,11 @@ def top_k(df: DataFrame, by: str, k: int, tie: str | Sequence[str], descending:
 
 def value_ranks(df: DataFrame, col: str, count: Column | None = None) -> DataFrame:
     """Distinct non-null values of ``col`` with their count ``n`` and the rows up to them ``upto``."""
+    return ranked_values(df, col, count)[0]
+
+
+def ranked_values(df: DataFrame, col: str, count: Column | None = None) -> tuple[DataFrame, int]:
+    """``value_ranks`` and the number of rows with a value."""
     n = F.count(F.lit(1)) if count is None else F.sum(count)
     values = df.where(F.col(col).isNotNull()).groupBy(col).agg(n.alias("n"))
-    return running_total(values, [F.col(col)], F.col("n"), "upto")
+    return _with_running(values, [F.col(col)], F.col("n"), "upto")

@@ -95,15 +95,15 @@ def subset_cells(df: DataFrame, key: str, dims: Sequence[str], value: str, total
     """One row per key and cell, with the key total and the share of every non-empty subset of the dimensions.
 
     Share columns read ``prop_<dim>_<dim>``. The windows run over cells, whose number per key is the product
-    of the dimension sizes; all of them reuse the one exchange on the key.
+    of the dimension sizes; all of them reuse the one exchange on the key, and each sorts only by its subset.
     """
     cells = df.groupBy(key, *dims).agg(_sum(value, na_rm).alias("_v")).repartition(F.col(key))
 
     def over(*by: str) -> Column:
         return _window_sum("_v", Window.partitionBy(key, *by), na_rm)
 
-    out = cells.withColumn(total, over())
-    for subset in _subsets(dims)[1:]:
+    out = cells.withColumn(total, over()).withColumn("prop_" + "_".join(dims), ratio("_v", total))
+    for subset in _subsets(dims)[1:-1]:
         out = out.withColumn("prop_" + "_".join(subset), ratio(over(*subset), total))
     return out.drop("_v")
 

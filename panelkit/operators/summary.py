@@ -5,7 +5,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from panelkit.operators.ordering import value_ranks
+from panelkit.operators.ordering import ranked_values
 
 
 def _values_at(ranks: DataFrame, positions: Sequence[int]) -> dict[int, float]:
@@ -26,8 +26,7 @@ def _between(values: dict[int, float], place: float) -> float:
 
 def quantiles(df: DataFrame, col: str, probs: Sequence[float]) -> list[float | None]:
     """Exact quantiles with linear interpolation between order statistics (type 7)."""
-    ranks = value_ranks(df.select(F.col(col).cast("double").alias(col)), col)
-    total = ranks.agg(F.max("upto")).first()[0]
+    ranks, total = ranked_values(df.select(F.col(col).cast("double").alias(col)), col)
     if not total:
         return [None for _ in probs]
     places = [1 + (total - 1) * p for p in probs]
@@ -37,8 +36,7 @@ def quantiles(df: DataFrame, col: str, probs: Sequence[float]) -> list[float | N
 
 def hinges(df: DataFrame, col: str) -> list[float | None]:
     """Minimum, lower hinge, median, upper hinge, maximum, as a box plot draws them."""
-    ranks = value_ranks(df.select(F.col(col).cast("double").alias(col)), col)
-    total = ranks.agg(F.max("upto")).first()[0]
+    ranks, total = ranked_values(df.select(F.col(col).cast("double").alias(col)), col)
     if not total:
         return [None] * 5
     depth = math.floor((total + 3) / 2) / 2

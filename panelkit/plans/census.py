@@ -49,7 +49,7 @@ def tidy_dictionary(variables: DataFrame, spec: TidySpec) -> DataFrame:
         d = d.withColumn(c, group_of("variable", groups))
     for c, value in spec.fill.items():
         d = d.withColumn(c, F.coalesce(c, F.lit(value)))
-    d = d.withColumn("_table", F.substring_index("variable", "_", 1))
+    d = d.withColumn("_table", F.substring_index("variable", "_", 1)).repartition("_table")
     for c in names:
         first = F.min("variable").over(Window.partitionBy("_table", c))
         d = d.withColumn("_first", first).withColumn(

@@ -13,6 +13,7 @@ from panelkit.operators import (
     at_date, at_latest, join_lines, ordered_levels, split_unallocated, spread, two_level_share, weekly_totals,
 )
 from panelkit.plans.specs import METRICS
+from panelkit.session import settle
 
 # The published wordings.
 NOT_REPORTED = "Not Reported"
@@ -87,11 +88,12 @@ def last_published_week(posts: DataFrame, text: str = "text") -> DataFrame:
 def weekly_bulletins(panel: DataFrame, posts: DataFrame) -> DataFrame:
     """Texts for the weeks that follow the newest post: ``(week, text)``.
 
+    The weekly sums, some rows per week, are written once, because the stop rule and the texts both read them.
     A week in which every state is at zero stops the series, unless it is the first: that one gives the
     no-update text. Without any new week there is one row with NULL week and the no-update text.
     """
     mark = last_published_week(posts).scalar()
-    fresh = weekly_totals(panel).where((F.col("week") > mark) | mark.isNull())
+    fresh = settle(weekly_totals(panel).where((F.col("week") > mark) | mark.isNull()))
     weeks = fresh.groupBy("week").agg(
         F.coalesce(F.bool_and(F.col("state_new_cases") == 0), F.lit(False)).alias("empty"))
     first = weeks.agg(F.min("week")).scalar()

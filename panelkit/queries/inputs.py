@@ -15,6 +15,7 @@ from panelkit.operators import daily_new, panel_rates, rolling_rate
 from panelkit.plans.census import acs_tidy
 from panelkit.plans.specs import TidySpec
 from panelkit.queries.registry import Tables
+from panelkit.sources import lookup
 
 KEYS = ["county_name", "state"]
 
@@ -133,11 +134,14 @@ def event_days(t: Tables) -> list[dt.date]:
 
 
 def event_counts(t: Tables, days: list[dt.date]) -> DataFrame:
-    """Cumulative counts per county for every day, also days without events."""
-    daily = (t.events.join(event_users(t), F.col("user_id") == F.col("c_custkey"))
-             .groupBy(*KEYS, F.to_date("ts").alias("date"))
-             .agg(F.count(F.lit(1)).alias("n"),
-                  F.sum(F.when(F.col("event_type") == "error", 1).otherwise(0)).alias("d")))
+    """Cumulative counts per county for every day, also days without events.
+
+    Events shrink to one row per user and day before they are joined, so a very active user is no hot key.
+    """
+    per_user = t.events.groupBy("user_id", F.to_date("ts").alias("date")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("d"))
+    daily = (per_user.join(event_users(t), F.col("user_id") == F.col("c_custkey"))
+             .groupBy(*KEYS, "date").agg(F.sum("n").alias("n"), F.sum("d").alias("d")))
     grid = daily.select(*KEYS).distinct().withColumn(
         "date", F.explode(F.sequence(F.lit(days[0]), F.lit(days[-1]))))
     w = Window.partitionBy(*KEYS).orderBy("date")
@@ -199,24 +203,24 @@ def census_dictionary(t: Tables) -> DataFrame:
             rows.append((_code(s, a), f"Estimate!!Total!!{sex}!!{age}"))
             for c, cover in enumerate(COVERAGE):
                 rows.append((_code(s, a, c), f"Estimate!!Total!!{sex}!!{age}!!{cover}"))
-    return t.spark.createDataFrame([(f"B27001_{n:03d}", text) for n, text in rows], "variable string, label string")
+    return lookup(t.spark, [(f"B27001_{n:03d}", text) for n, text in rows], "variable string, label string")
 
 
 def census_rows(t: Tables) -> DataFrame:
     """``(GEOID, variable, estimate)``: leaf sums first, the parents from the leaves."""
     leaf = (t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
-            .groupBy(F.lpad(F.col("o_custkey").cast("string"), 8, "0").alias("GEOID"),
+            .groupBy(F.col("o_custkey").alias("zip"),
                      F.when(F.col("l_linestatus") == "F", 1).otherwise(0).alias("s"),
                      (F.substring("o_orderpriority", 1, 1).cast("int") - 1).alias("a"),
                      F.when(F.col("l_returnflag") == "N", 1).otherwise(0).alias("c"))
             .agg(F.sum("l_quantity").alias("q")))
-    levels = ["GEOID", "s", "a", "c"]
+    levels = ["zip", "s", "a", "c"]
     parts = leaf.groupingSets([levels[:i] for i in range(1, 5)], *levels).agg(F.sum("q").alias("estimate"))
     s, a, c = F.col("s"), F.col("a"), F.col("c")
     code = (F.when(s.isNull(), F.lit(1)).when(a.isNull(), 2 + 16 * s).when(c.isNull(), 3 + 16 * s + 3 * a)
             .otherwise(4 + 16 * s + 3 * a + c))
-    return parts.select("GEOID", F.concat(F.lit("B27001_"), F.lpad(code.cast("string"), 3, "0")).alias("variable"),
-                        "estimate")
+    return parts.select(F.lpad(F.col("zip").cast("string"), 8, "0").alias("GEOID"),
+                        F.concat(F.lit("B27001_"), F.lpad(code.cast("string"), 3, "0")).alias("variable"), "estimate")
 
 
 def labelled(t: Tables) -> DataFrame:

@@ -186,8 +186,7 @@ a AS (SELECT GEOID, sum(estimate) AS zip_pop, sum(CASE WHEN Age = '19 to 25 year
   sum(CASE WHEN Sex = 'Male' THEN estimate END) AS zip_pop_male,
   sum(CASE WHEN Sex = 'Male' AND HI = 'No' THEN estimate END) AS x9,
   bool_or(Age = '19 to 25 years' AND HI = 'Yes' AND Sex = 'Female') AS k1,
-  bool_or(Age IN ('Under 6 years', '6 to 18 years') AND Sex = 'Male') AS k2,
-  bool_or(Age NOT IN ('Under 6 years', '6 to 18 years') AND Sex = 'Male') AS k3,
+  bool_or(variable = 'B27001_004') AS k2, bool_or(variable = 'B27001_010') AS k3,
   bool_or(Age = 'Under 6 years' AND HI = 'No' AND Sex = 'Male') AS k4 FROM c GROUP BY 1)
 SELECT GEOID, CASE WHEN k1 THEN zip_pop END AS zip_pop, CASE WHEN k4 THEN zip_pop_male END AS zip_pop_male,
   round(CASE WHEN k1 THEN x1 / zip_pop END, 6) AS prop_19_to_25, round(CASE WHEN k1 THEN x2 / zip_pop END, 6) AS prop_with_HI,

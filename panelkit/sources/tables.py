@@ -2,7 +2,9 @@
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 TEXT_SEPARATORS = {".csv": ",", ".tsv": "\t"}
 
@@ -49,5 +51,10 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Se
 
 
 def lookup(spark: SparkSession, rows: Sequence[tuple], schema: T.StructType | str) -> DataFrame:
-    """A small table written down in the program (state names, marker positions, display names)."""
-    return spark.createDataFrame(list(rows), schema)
+    """A small table written down in the program (state names, marker positions, display names).
+
+    Built from Arrow it is a local relation: its size is known, so the optimizer can broadcast it.
+    """
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    columns = [pa.array([row[i] for row in rows], to_arrow_type(f.dataType)) for i, f in enumerate(schema)]
+    return spark.createDataFrame(pa.table(columns, names=schema.names), schema)
