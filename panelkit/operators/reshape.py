@@ -2,11 +2,39 @@
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from panelkit.functions.text import LEVEL
 
 
+def _dates(names: Sequence[str], date_fmt: str) -> Column:
+    """Column names as one constant array of dates; a name that is no date gives NULL."""
+    return F.array(*[F.try_to_timestamp(F.lit(n), F.lit(date_fmt)).cast("date") for n in names])
+
+
+def pack_dates(df: DataFrame, ids: Sequence[str], value: str, dates: Sequence[str] | None = None) -> DataFrame:
+    """The date columns of a wide table as one array column, in the order of ``dates``.
+
+    Without ``dates`` all columns but the ids are taken. A date the table lacks is NULL in the array.
+    """
+    dates = [c for c in df.columns if c not in ids] if dates is None else dates
+    have = set(df.columns)
+    cells = [F.col(f"`{c}`") if c in have else F.lit(None) for c in dates]
+    return df.select(*ids, F.array(*cells).alias(value))
+
+
+def unpack_dates(df: DataFrame, values: Sequence[str], dates: Sequence[str], date_fmt: str = "yyyy-MM-dd") -> DataFrame:
+    """One row per date from array columns that run along ``dates``; a missing array counts as all NULL.
+
+    Exploding keeps the partitioning of ``df``: rows shuffled before, while they are few, stay together.
+    """
+    blank = F.array_repeat(F.lit(None), len(dates))
+    arrays = [F.coalesce(F.col(v), blank).alias(v) for v in values]
+    keep = [c for c in df.columns if c not in values]
+    long = df.select(*keep, F.explode(F.arrays_zip(_dates(dates, date_fmt).alias("date"), *arrays)).alias("_c"))
+    return long.select(*keep, *[F.col(f"_c.`{n}`").alias(n) for n in ("date", *values)])
+
+
 def melt_panel(df: DataFrame, ids: Sequence[str], value: str, date_fmt: str = "yyyy-MM-dd") -> DataFrame:
     """One row per id and date column; column names become dates.
 
@@ -14,13 +42,7 @@ def melt_panel(df: DataFrame, ids: Sequence[str], value: str, date_fmt: str = "y
     over the row and one generator, not one projection per column.
     """
     dates = [c for c in df.columns if c not in ids]
-    cells = F.arrays_zip(
-        F.array(*[F.lit(c) for c in dates]).alias("date"),
-        F.array(*[F.col(f"`{c}`") for c in dates]).alias("cell"),
-    )
-    long = df.select(*ids, F.explode(cells).alias("_c"))
-    return long.select(*ids, F.to_date(F.col("_c.date"), date_fmt).alias("date"),
-                       F.col("_c.cell").alias(value))
+    return unpack_dates(pack_dates(df, ids, value, dates), [value], dates, date_fmt)
 
 
 def spread(df: DataFrame, keys: Sequence[str], names_from: str, values_from: str | Sequence[str],

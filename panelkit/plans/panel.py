@@ -5,7 +5,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from panelkit.functions import canonical, clean_number
-from panelkit.operators import cols_like, daily_new, melt_panel, panel_rates, rolling_rate, split_unallocated
+from panelkit.operators import (
+    cols_like, daily_new, pack_dates, panel_rates, rolling_rate, split_unallocated, unpack_dates,
+)
 from panelkit.plans.specs import COUNTY_SPELLING, STATE_NAMES, STATES
 from panelkit.sources.tables import lookup
 
@@ -18,9 +20,10 @@ def _wide(df: DataFrame, states: Sequence[str] | None) -> DataFrame:
     return df if states is None else df.where(F.col("state").isin(list(states)))
 
 
-def _long(df: DataFrame, states: Sequence[str] | None, value: str, date_fmt: str) -> DataFrame:
-    long = melt_panel(_wide(df, states), IDS, value, date_fmt)
-    return long.withColumns({value: clean_number(value), "county_name": canonical("county_name", COUNTY_SPELLING)})
+def _packed(df: DataFrame, states: Sequence[str] | None, value: str, dates: Sequence[str] | None = None) -> DataFrame:
+    """One row per county with its counts, text as a rule, as an array."""
+    wide = _wide(df, states)
+    return pack_dates(wide, IDS, value, dates).withColumn("county_name", canonical("county_name", COUNTY_SPELLING))
 
 
 def build_panel(cases: DataFrame, deaths: DataFrame, pop: DataFrame, states: Sequence[str] | None = STATES,
@@ -30,19 +33,28 @@ def build_panel(cases: DataFrame, deaths: DataFrame, pop: DataFrame, states: Seq
 
     Input ids are ``County Name`` and ``State`` (or already ``county_name``, ``state``), one row per county.
     ``names`` maps state name to abbreviation (columns ``State``, ``Abb``); the built-in list is the default.
+
+    Counties are shuffled and joined while each is one row; only then do they become one row per day. The
+    long rows are born in the partition where the windows need them and are never shuffled.
     """
-    people = _wide(pop, states).withColumn("county_name", canonical("county_name", COUNTY_SPELLING))
-    people = people.select(*IDS, F.col("population").cast("double").alias("population"))
-    long = (_long(cases, states, "cases", date_fmt)
-            .join(_long(deaths, states, "deaths", date_fmt), [*IDS, "date"], "left")
-            .join(people, IDS, "left"))
+    wide = _wide(cases, states)
+    dates = [c for c in wide.columns if c not in IDS]
+    counts = _packed(cases, states, "cases", dates)
     if not include_unallocated:
-        long, _ = split_unallocated(long)
-    panel = rolling_rate(daily_new(panel_rates(long), IDS, "date", "cases", clamp))
+        counts, _ = split_unallocated(counts)
+    people = _wide(pop, states).select(
+        canonical("county_name", COUNTY_SPELLING).alias("county_name"), "state", F.col("population").cast("double"))
     if names is None:
         names = lookup(pop.sparkSession, STATE_NAMES, "State string, Abb string")
     full = names.select(F.col("State").alias("state_name"), F.col("Abb").alias("state"))
-    return panel.join(full, "state", "left").withColumns({
+    counties = (counts.join(full, "state", "left").repartition(*IDS)
+                .join(_packed(deaths, states, "deaths", dates), IDS, "left").join(people, IDS, "left"))
+    long = unpack_dates(counties, ["cases", "deaths"], dates, date_fmt)
+    kinds = dict(long.dtypes)
+    long = long.withColumns({c: clean_number(c) if kinds[c] == "string" else F.col(c).cast("double")
+                             for c in ("cases", "deaths")})
+    panel = rolling_rate(daily_new(panel_rates(long), IDS, "date", "cases", clamp))
+    return panel.withColumns({
         "NAME": F.concat("county_name", F.lit(", "), "state_name"),
         "name_short": F.concat("county_name", F.lit(", "), "state"),
     }).select(*IDS, "date", "cases", "deaths", "population", "case_rate", "death_rate", "new_cases",

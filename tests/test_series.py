@@ -105,6 +105,16 @@ def test_build_panel(spark):
     assert (cook.new_cases, cook.case_rate) == (0.0, None)
 
 
+def test_build_panel_from_numbers_and_a_shorter_deaths_file(spark):
+    cols = "`County Name` string, State string, `2020-03-01` double, `2020-03-02` double"
+    cases = spark.createDataFrame([("A", "IN", 1.0, 12.5), ("B", "IN", 3.0, 4.0)], cols)
+    deaths = spark.createDataFrame([("A", "IN", 1.0)], "`County Name` string, State string, `2020-03-02` double")
+    pop = spark.createDataFrame([("A", "IN", 100.0)], "`County Name` string, State string, population double")
+    got = {(r.county_name, r.date.day): (r.cases, r.deaths, r.new_cases, r.population) for r in build_panel(cases, deaths, pop).collect()}
+    assert got == {("A", 1): (1.0, None, 1.0, 100.0), ("A", 2): (12.5, 1.0, 11.5, 100.0),
+                   ("B", 1): (3.0, None, 3.0, None), ("B", 2): (4.0, None, 1.0, None)}
+
+
 def test_build_panel_with_unallocated_and_all_states(spark):
     panel = build_panel(*wide_inputs(spark), states=None, include_unallocated=True)
     names = {r.county_name for r in panel.collect()}
