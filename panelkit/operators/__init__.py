@@ -1,7 +1,7 @@
 from panelkit.operators.clean import cols_like, drop_empty_columns, latest_column, recode, rename_like
 from panelkit.operators.correlation import cor_matrix, cor_pvalues, cor_test, cor_with, spearman
 from panelkit.operators.filters import at_date, at_latest, drop_in, keep_in, split_unallocated, without_outliers
-from panelkit.operators.joins import full_join_all, natural_join
+from panelkit.operators.joins import full_join_all, group_join, natural_join
 from panelkit.operators.models import anova, apply_linear, lasso, ols, step_aic
 from panelkit.operators.ordering import ordered_levels, running_total, top_k, value_ranks
 from panelkit.operators.rates import panel_rates, positivity, rolling_rate, snapshot_rates
@@ -17,7 +17,7 @@ from panelkit.operators.summary import box_outliers, date_span, five_number, hin
 __all__ = [
     "anova", "apply_linear", "at_date", "at_latest", "box_outliers", "category_share", "cols_like", "cor_matrix",
     "cor_pvalues", "cor_test", "cor_with", "daily_new", "date_span", "drop_empty_columns", "drop_in",
-    "five_number", "full_join_all", "hinges", "join_lines", "keep_in", "lasso", "latest_column", "mean_above",
+    "five_number", "full_join_all", "group_join", "hinges", "join_lines", "keep_in", "lasso", "latest_column", "mean_above",
     "melt_panel", "menu", "natural_join", "ols", "ordered_levels", "pack_dates", "panel_rates", "positivity", "quantiles",
     "recode", "rename_like", "rolling_mean_strict", "rolling_rate", "running_total", "share", "snapshot_rates",
     "spearman", "split_label", "split_unallocated", "spread", "step_aic", "subset_cells", "subset_shares",

@@ -3,7 +3,7 @@
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 
 def natural_join(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -14,6 +14,13 @@ def natural_join(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(b, shared, "inner")
 
 
+def group_join(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join on grouping keys as a grouping sees them: a missing key matches a missing key."""
+    other = b.withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return a.join(other, same, how).drop(*[f"_{k}" for k in keys])
+
+
 def full_join_all(dfs: Sequence[DataFrame], on: str | Sequence[str]) -> DataFrame:
     """Chain of full outer joins on one key.
 

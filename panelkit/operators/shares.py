@@ -11,6 +11,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from panelkit.functions import ratio, sum_strict
+from panelkit.operators.joins import group_join
 
 
 def _list(x: str | Sequence[str]) -> list[str]:
@@ -30,7 +31,7 @@ def with_total(df: DataFrame, key: str | Sequence[str], value: str, name: str =
     """Every row with the total of its group."""
     keys = _list(key)
     totals = df.groupBy(*keys).agg(_sum(value, na_rm).alias(name))
-    return df.join(totals, keys, "left")
+    return group_join(df, totals, keys)
 
 
 def share(df: DataFrame, key: str | Sequence[str], value: str, name: str = "prop", na_rm: bool = False) -> DataFrame:
@@ -77,17 +78,21 @@ def _subsets(dims: Sequence[str]) -> list[tuple[str, ...]]:
 def subset_totals(df: DataFrame, key: str, dims: Sequence[str], value: str, na_rm: bool = False) -> DataFrame:
     """Long form over all subsets of the dimensions: sum, key total and share.
 
-    Rows are first summed to cells; the expansion into subsets then works on cells only. ``subset`` names the
-    dimensions in use, joined by ``+``; the others are NULL.
+    ``subset`` names the dimensions in use, joined by ``+``; the others are NULL. Rows are first summed to
+    cells, few per key. The cells move to their key once, are repeated per subset there, and both the subset
+    sums and the key total are formed in place.
     """
-    cells = df.groupBy(key, *dims).agg(_sum(value, na_rm).alias("_v"))
-    cubed = cells.cube(key, *dims).agg(_sum("_v", na_rm).alias("total"),
-                                       F.grouping(key).alias("_nokey"),
-                                       *[F.grouping(d).alias(f"_g{i}") for i, d in enumerate(dims)])
-    used = F.concat_ws("+", *[F.when(F.col(f"_g{i}") == 0, F.lit(d)) for i, d in enumerate(dims)])
-    rows = cubed.where("_nokey = 0").select(key, *dims, used.alias("subset"), "total")
+    cells = df.groupBy(key, *dims).agg(_sum(value, na_rm).alias("_v")).repartition(F.col(key))
+    kinds = dict(df.dtypes)
+    subsets = F.array(*[
+        F.struct(F.lit("+".join(s)).alias("subset"),
+                 *[(F.col(d) if d in s else F.lit(None).cast(kinds[d])).alias(d) for d in dims])
+        for s in _subsets(dims)])
+    rows = cells.select(key, "_v", F.inline(subsets))
+    totals = rows.groupBy(key, "subset", *dims).agg(_sum("_v", na_rm).alias("total"))
     whole = F.max(F.when(F.col("subset") == "", F.col("total"))).over(Window.partitionBy(key))
-    return rows.withColumn("pop", whole).withColumn("prop", ratio("total", "pop"))
+    return (totals.select(key, *dims, "subset", "total", whole.alias("pop"))
+            .withColumn("prop", ratio("total", "pop")))
 
 
 def subset_cells(df: DataFrame, key: str, dims: Sequence[str], value: str, total: str = "zip_pop",
@@ -110,13 +115,10 @@ def subset_cells(df: DataFrame, key: str, dims: Sequence[str], value: str, total
 
 def subset_shares(df: DataFrame, key: str, dims: Sequence[str], value: str, total: str = "zip_pop",
                   na_rm: bool = False, only: Column | None = None) -> DataFrame:
-    """Rows of ``df`` (those that fit ``only``) with the shares of all subsets their cell belongs to.
-
-    The dimensions must not be NULL; give missing parts a name before.
-    """
+    """Rows of ``df`` (those that fit ``only``) with the shares of all subsets their cell belongs to."""
     cells = subset_cells(df, key, dims, value, total, na_rm)
     rows = df if only is None else df.where(only)
-    return rows.join(cells, [key, *dims], "left")
+    return group_join(rows, cells, [key, *dims])
 
 
 def mean_above(df: DataFrame, rate: str, share_col: str, t: float) -> DataFrame:

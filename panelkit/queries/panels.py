@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from panelkit.operators import (
-    at_latest, daily_new, panel_rates, positivity, rolling_mean_strict, rolling_rate, snapshot_rates,
+    at_date, daily_new, panel_rates, positivity, rolling_mean_strict, rolling_rate, snapshot_rates,
 )
 from panelkit.plans import (
     acs_tidy, build_panel, build_snapshot, city_report, feature_master,
@@ -128,7 +128,8 @@ WHERE date = (SELECT max(date) FROM built)""")
 def latest_weekly_rate(t: Tables) -> DataFrame:
     """The flagship: newest rolling rate per county, from the wide files."""
     cases, deaths, pop, names = _wide_inputs(t)
-    panel = at_latest(build_panel(cases, deaths, pop, states=None, names=names))
+    newest = cases.columns[-1]  # the last column of a wide file is its newest date
+    panel = at_date(build_panel(cases, deaths, pop, states=None, names=names), "date", newest)
     return rounded(panel.select("county_name", "state", "date", "cases", "new_cases", "avg_7_day_rate"))
 
 

@@ -26,6 +26,16 @@ def test_share_and_totals(spark):
     assert {r.sex: r.n for r in with_total(nulls.where("g = '1'"), "g", "v", na_rm=True).collect()} == {"F": 4.0, "M": 4.0}
 
 
+def test_missing_groups_are_groups(spark):
+    rows = [(None, "F", "old", 1.0), (None, None, "old", 3.0), ("1", None, "old", 5.0)]
+    df = cells(spark, rows)
+    assert {(r.g, r.v): r.prop for r in share(df, "g", "v").collect()} == {(None, 1.0): 0.25, (None, 3.0): 0.75, ("1", 5.0): 1.0}
+    got = {(r.g, r.sex): (r.zip_pop, r.prop_sex, r.prop_age) for r in subset_shares(df, "g", ["sex", "age"], "v").collect()}
+    assert got == {(None, "F"): (4.0, 0.25, 1.0), (None, None): (4.0, 0.75, 1.0), ("1", None): (5.0, 1.0, 1.0)}
+    lattice = {(r.g, r.subset, r.sex): r.total for r in subset_totals(df, "g", ["sex"], "v").collect()}
+    assert lattice == {(None, "", None): 4.0, (None, "sex", None): 3.0, (None, "sex", "F"): 1.0, ("1", "", None): 5.0, ("1", "sex", None): 5.0}
+
+
 def test_share_with_one_group_holding_most_rows(spark):
     df = spark.range(0, 5000).select(F.when(F.col("id") % 3 > 0, "hot").otherwise(F.col("id").cast("string")).alias("g"), F.lit(2.0).alias("v"))
     hot = share(df, "g", "v").where("g = 'hot'").agg(F.count("*").alias("n"), F.sum("prop").alias("s")).first()
