@@ -5,7 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from panelkit.functions import half_even, ratio, t_two_sided
-from panelkit.operators.ordering import value_ranks
+from panelkit.operators.ordering import ranked_values
 
 
 def _t_columns(test: DataFrame) -> DataFrame:
@@ -72,8 +72,8 @@ def cor_pvalues(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def _mid_ranks(pairs: DataFrame, col: str, name: str) -> DataFrame:
     """Mean position of every distinct value."""
-    ranks = value_ranks(pairs, col, F.col("w"))
-    return ranks.select(col, (F.col("upto") - (F.col("n") - 1) / 2).alias(name))
+    ranks, _ = ranked_values(pairs, col, F.col("times"))
+    return ranks.select(F.col("value").alias(col), (F.col("upto") - (F.col("n") - 1) / 2).alias(name))
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -82,12 +82,13 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     Equal pairs are counted first, so frequent values shrink before anything is sorted or joined. Mid-ranks
     average (n + 1) / 2 exactly, which makes the sums centred from the start.
     """
-    pairs = (df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-               .groupBy(x, y).agg(F.count(F.lit(1)).alias("w")))
-    ranked = pairs.join(_mid_ranks(pairs, x, "_rx"), x).join(_mid_ranks(pairs, y, "_ry"), y)
-    middle = (pairs.agg(F.sum("w").alias("n")).scalar() + 1) / 2
-    centred = ranked.select("w", (F.col("_rx") - middle).alias("a"), (F.col("_ry") - middle).alias("b"))
-    sums = centred.agg(F.sum("w").alias("n"), F.sum(F.expr("w * a * b")).alias("sab"),
-                       F.sum(F.expr("w * a * a")).alias("saa"), F.sum(F.expr("w * b * b")).alias("sbb"))
-    test = sums.select(ratio("sab", F.sqrt(F.col("saa") * F.col("sbb"))).alias("r"), F.coalesce("n", F.lit(0)).alias("n"))
+    pairs = (df.select(F.col(x).alias("x"), F.col(y).alias("y")).dropna("any")
+               .groupBy("x", "y").agg(F.count(F.lit(1)).alias("times")))
+    ranked = pairs.join(_mid_ranks(pairs, "x", "rx"), "x").join(_mid_ranks(pairs, "y", "ry"), "y")
+    middle = (pairs.agg(F.sum("times")).scalar() + 1) / 2
+    centred = ranked.select("times", (F.col("rx") - middle).alias("a"), (F.col("ry") - middle).alias("b"))
+    sums = centred.agg(F.sum("times").alias("n"), F.sum(F.expr("times * a * b")).alias("sab"),
+                       F.sum(F.expr("times * a * a")).alias("saa"), F.sum(F.expr("times * b * b")).alias("sbb"))
+    test = sums.select(ratio("sab", F.sqrt(F.col("saa") * F.col("sbb"))).alias("r"),
+                       F.coalesce("n", F.lit(0)).alias("n"))
     return _t_columns(test).drop("low", "high").withColumnRenamed("r", "rho")

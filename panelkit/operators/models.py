@@ -69,10 +69,10 @@ def fold_moments(df: DataFrame, cols: Sequence[str], folds: int, seed: int) -> l
 
 def anova(df: DataFrame, y: str, g: str) -> DataFrame:
     """One-way analysis of variance of ``y`` over the levels of ``g``: df, sums of squares, F and p."""
-    rows = df.where(F.col(y).isNotNull() & F.col(g).isNotNull()).select(F.col(y).cast("double").alias("_y"), g)
-    levels = rows.groupBy(g).agg(F.count("_y").alias("n"), F.avg("_y").alias("m"),
-                                 (F.var_pop("_y") * F.count("_y")).alias("within"))
-    grand = rows.agg(F.avg("_y")).scalar()
+    rows = df.select(F.col(y).cast("double").alias("y"), F.col(g).alias("level")).dropna("any")
+    levels = rows.groupBy("level").agg(F.count("y").alias("n"), F.avg("y").alias("m"),
+                                       (F.var_pop("y") * F.count("y")).alias("within"))
+    grand = rows.agg(F.avg("y")).scalar()
     parts = levels.select("n", "within", (F.col("n") * (F.col("m") - grand) * (F.col("m") - grand)).alias("between"))
     sums = parts.agg((F.count(F.lit(1)) - 1).alias("df_between"), (F.sum("n") - F.count(F.lit(1))).alias("df_within"),
                      F.sum("between").alias("ss_between"), F.sum("within").alias("ss_within"))

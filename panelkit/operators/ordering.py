@@ -54,13 +54,13 @@ def top_k(df: DataFrame, by: str, k: int, tie: str | Sequence[str], descending:
     return df.orderBy(first, *ties).limit(k)
 
 
-def value_ranks(df: DataFrame, col: str, count: Column | None = None) -> DataFrame:
-    """Distinct non-null values of ``col`` with their count ``n`` and the rows up to them ``upto``."""
-    return ranked_values(df, col, count)[0]
-
-
 def ranked_values(df: DataFrame, col: str, count: Column | None = None) -> tuple[DataFrame, int]:
-    """``value_ranks`` and the number of rows with a value."""
-    n = F.count(F.lit(1)) if count is None else F.sum(count)
-    values = df.where(F.col(col).isNotNull()).groupBy(col).agg(n.alias("n"))
-    return _with_running(values, [F.col(col)], F.col("n"), "upto")
+    """Distinct non-null values of ``col`` as ``(value, n, upto)``, and the number of rows with a value.
+
+    ``n`` is how often a value occurs, ``upto`` how many rows are not above it. With ``count`` a row stands for
+    that many rows.
+    """
+    times = F.lit(1) if count is None else count
+    rows = df.where(F.col(col).isNotNull()).select(F.col(col).alias("value"), times.alias("times"))
+    values = rows.groupBy("value").agg(F.sum("times").alias("n"))
+    return _with_running(values, [F.col("value")], F.col("n"), "upto")

@@ -36,7 +36,8 @@ def with_total(df: DataFrame, key: str | Sequence[str], value: str, name: str =
 
 def share(df: DataFrame, key: str | Sequence[str], value: str, name: str = "prop", na_rm: bool = False) -> DataFrame:
     """Every row with ``n``, its group total, and its share of it."""
-    return with_total(df, key, value, "n", na_rm).withColumn(name, ratio(value, "n"))
+    rows = with_total(df, key, value, "_total", na_rm)
+    return rows.withColumns({name: ratio(value, "_total"), "n": F.col("_total")}).drop("_total")
 
 
 def two_level_share(df: DataFrame, key: str, cat: str | Sequence[str], value: str, na_rm: bool = False) -> DataFrame:

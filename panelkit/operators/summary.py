@@ -10,9 +10,8 @@ from panelkit.operators.ordering import ranked_values
 
 def _values_at(ranks: DataFrame, positions: Sequence[int]) -> dict[int, float]:
     """The values at the given places (from 1) of the sorted data; one short pass over the ranks."""
-    col = ranks.columns[0]
     wanted = sorted(set(positions))
-    picks = [F.max(F.when((F.col("upto") >= p) & (F.col("upto") - F.col("n") < p), F.col(col))).alias(f"p{i}")
+    picks = [F.max(F.when((F.col("upto") >= p) & (F.col("upto") - F.col("n") < p), F.col("value"))).alias(f"p{i}")
              for i, p in enumerate(wanted)]
     row = ranks.agg(*picks).first()
     return dict(zip(wanted, row))

@@ -10,7 +10,9 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
-from panelkit.operators import anova, apply_linear, cor_matrix, cor_pvalues, cor_test, cor_with, lasso, ols, spearman, step_aic, upper_triangle
+from panelkit.operators import (
+    anova, apply_linear, cor_matrix, cor_pvalues, cor_test, cor_with, lasso, ols, quantiles, share, spearman, step_aic, upper_triangle,
+)
 from panelkit.operators.models import moments
 
 
@@ -93,6 +95,15 @@ def test_rank_correlation_with_ties(spark):
     assert got.rho == pytest.approx(want) and got.n == 400
 
 
+def test_column_names_of_the_caller_do_not_matter(spark):
+    df = spark.createDataFrame([(1.0, 2.0, "p"), (2.0, 1.0, "q"), (4.0, 7.0, "p"), (3.0, 3.0, "q")], "n double, w double, m string")
+    want = spearman(df.toDF("a", "b", "c"), "a", "b").first()
+    assert spearman(df, "n", "w").first() == want == spearman(df.toDF("times", "value", "c"), "times", "value").first()
+    assert anova(df, "n", "m").first() == anova(df.toDF("a", "b", "n"), "a", "n").first()
+    assert quantiles(df, "n", [0.5]) == [2.5]
+    assert {r.w: (r.n, r.prop) for r in share(df, "m", "n").collect()}[2.0] == (5.0, 0.2)
+
+
 def test_anova_against_sums(spark):
     groups = {"a": [1.0, 2.0, 3.0], "b": [2.0, 4.0, 6.0, 8.0], "c": [5.0, 5.5]}
     df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs] + [("a", None), (None, 1.0)], "g string, y double")
