@@ -30,8 +30,8 @@ people AS (
   SELECT county_name, state, CAST(count(*) * 1000 AS DOUBLE) AS population FROM places GROUP BY 1, 2),
 daily AS (
   SELECT county_name, state, CAST(o_orderdate AS DATE) AS date,
-         sum(CASE WHEN o_orderstatus = 'P' THEN -1 ELSE 1 END) AS n,
-         sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS d
+         CAST(sum(CASE WHEN o_orderstatus = 'P' THEN -1 ELSE 1 END) AS BIGINT) AS n,
+         CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS d
   FROM orders JOIN places ON o_custkey = c_custkey GROUP BY 1, 2, 3),
 p AS (
   SELECT county_name, state, date, CAST(sum(n) OVER w AS DOUBLE) AS cases, CAST(sum(d) OVER w AS DOUBLE) AS deaths,

@@ -165,6 +165,36 @@ def lasso_terms(t: Tables) -> DataFrame:
     return rounded(lasso(_lines(t), "l_extendedprice", MODEL_COLUMNS), 4)
 
 
+@query("lasso_one_term", """
+WITH m AS (SELECT avg(l_quantity) AS mx, avg(l_extendedprice) AS my, stddev_pop(l_quantity) AS sd,
+                  covar_pop(l_quantity, l_extendedprice) / stddev_pop(l_quantity) AS c FROM lineitem),
+b AS (SELECT *, CASE WHEN abs(c) > 5000 THEN (c - 5000 * sign(c)) / sd ELSE 0 END AS slope FROM m)
+SELECT 'l_quantity' AS term, round(slope, 4) AS estimate, slope <> 0 AS kept FROM b
+UNION ALL SELECT '(Intercept)', round(my - slope * mx, 3), true FROM b""")
+def lasso_one_term(t: Tables) -> DataFrame:
+    """With one predictor and one penalty the solution is a shrunken slope."""
+    fit = lasso(t.lineitem, "l_extendedprice", ["l_quantity"], [5000.0])
+    shown = F.when(F.col("pos") == 0, F.round("estimate", 3)).otherwise(F.round("estimate", 4))
+    return fit.select("term", shown.alias("estimate"), "kept")
+
+
+@query("stepwise_two_terms", """
+WITH m AS (SELECT count(*) AS n, var_pop(l_extendedprice) AS yy, var_pop(l_quantity) AS aa, var_pop(l_discount) AS bb,
+  covar_pop(l_quantity, l_discount) AS ab, covar_pop(l_quantity, l_extendedprice) AS ay, covar_pop(l_discount, l_extendedprice) AS b_y
+  FROM lineitem),
+k AS (SELECT n * ln(yy) + 2 AS k0, n * ln(yy - ay * ay / aa) + 4 AS ka, n * ln(yy - b_y * b_y / bb) + 4 AS kb,
+  n * ln(yy - (ay * (ay * bb - b_y * ab) + b_y * (b_y * aa - ay * ab)) / (aa * bb - ab * ab)) + 6 AS kab FROM m)
+SELECT 0 AS step, 'start' AS action, NULL AS term, round(k0, 3) AS aic FROM k
+UNION ALL SELECT 1, 'add', CASE WHEN ka <= kb THEN 'l_quantity' ELSE 'l_discount' END, round(least(ka, kb), 3) FROM k
+  WHERE least(ka, kb) < k0
+UNION ALL SELECT 2, 'add', CASE WHEN ka <= kb THEN 'l_discount' ELSE 'l_quantity' END, round(kab, 3) FROM k
+  WHERE least(ka, kb) < k0 AND kab < least(ka, kb)""")
+def stepwise_two_terms(t: Tables) -> DataFrame:
+    """With two candidates all four models can be written down."""
+    steps = step_aic(t.lineitem, "l_extendedprice", ["l_quantity", "l_discount"], "forward")
+    return rounded(steps.drop("terms"), 3)
+
+
 @query("stepwise_terms")
 def stepwise_terms(t: Tables) -> DataFrame:
     return rounded(step_aic(_lines(t), "l_extendedprice", MODEL_COLUMNS), 4)

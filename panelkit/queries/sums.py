@@ -21,7 +21,7 @@ from panelkit.sources import lookup
 @query("revenue_by_nation", """
 SELECT n_name, CASE WHEN count(*) = count(CASE WHEN o_orderstatus <> 'X' THEN o_totalprice END)
        THEN round(sum(o_totalprice), 2) END AS revenue,
-       CASE WHEN count(*) = count(CASE WHEN o_orderstatus <> 'P' THEN 1 END) THEN 1.0 END AS strict_gap
+       CASE WHEN count(*) = count(CASE WHEN o_orderstatus <> 'P' THEN 1 END) THEN CAST(1 AS DOUBLE) END AS strict_gap
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""")
 def revenue_by_nation(t: Tables) -> DataFrame:
     """Sums that turn NULL as soon as one value is missing."""

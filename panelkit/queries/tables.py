@@ -477,7 +477,7 @@ REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 
 
 @query("region_columns", f"""
-WITH {I.P_SQL}, s AS (SELECT date, state, sum(n) AS n FROM daily GROUP BY 1, 2)
+WITH {I.P_SQL}, s AS (SELECT date, state, CAST(sum(n) AS BIGINT) AS n FROM daily GROUP BY 1, 2)
 SELECT date, """ + ", ".join(f"max(n) FILTER (WHERE state = '{x}') AS \"{x}\"" for x in REGIONS) + " FROM s GROUP BY 1")
 def region_columns(t: Tables) -> DataFrame:
     sums = I.daily_counts(t).groupBy("date", "state").agg(F.sum("n").alias("n"))
