@@ -2,9 +2,10 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelkit.llm.common import table
+from panelkit.llm.common import remainder, table
+from panelkit.llm.langid import learn, with_language
 from panelkit.llm.pseudonyms import pseudonym_report
 from panelkit.llm.secrets import secret_report
 
@@ -17,6 +18,13 @@ def query(run: Callable[[SparkSession, str], DataFrame]):
     return run
 
 
+@query
+def op1_langid(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learnt from those that are not held out."""
+    docs = table(spark, folder, "documents").withColumn("held_out", remainder("doc_id", 3) == 1)
+    return with_language(docs, learn(docs.filter(~F.col("held_out"))), ["doc_id", "held_out"])
+
+
 @query
 def op8_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its personal numbers, dates and addresses permuted within their format."""
