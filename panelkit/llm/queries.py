@@ -8,6 +8,7 @@ from panelkit.llm.common import remainder, table
 from panelkit.llm.langid import learn, with_language
 from panelkit.llm.pseudonyms import pseudonym_report
 from panelkit.llm.secrets import secret_report
+from panelkit.llm.simhash import simhash_report
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -25,6 +26,12 @@ def op1_langid(spark: SparkSession, folder: str) -> DataFrame:
     return with_language(docs, learn(docs.filter(~F.col("held_out"))), ["doc_id", "held_out"])
 
 
+@query
+def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """SimHash of every document, and the components of those within three bits."""
+    return simhash_report(table(spark, folder, "documents"))
+
+
 @query
 def op8_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its personal numbers, dates and addresses permuted within their format."""
