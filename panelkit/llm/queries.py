@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelkit.llm.common import remainder, table
 from panelkit.llm.langid import learn, with_language
+from panelkit.llm.pieces import encoded
 from panelkit.llm.pseudonyms import pseudonym_report
 from panelkit.llm.secrets import secret_report
 from panelkit.llm.simhash import simhash_report
 
+#: The public vocabulary the queries use; operators take the path as a parameter.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -26,6 +30,12 @@ def op1_langid(spark: SparkSession, folder: str) -> DataFrame:
     return with_language(docs, learn(docs.filter(~F.col("held_out"))), ["doc_id", "held_out"])
 
 
+@query
+def op2_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """Piece ids of every document, and whether decoding them gives the text back."""
+    return encoded(table(spark, folder, "documents"), PIECES, check=True)
+
+
 @query
 def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """SimHash of every document, and the components of those within three bits."""
