@@ -4,6 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from panelkit.llm import decontaminate
 from panelkit.llm.common import remainder, table
 from panelkit.llm.langid import learn, with_language
 from panelkit.llm.pieces import encoded
@@ -52,3 +53,12 @@ def op8_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
 def op9_secrets(spark: SparkSession, folder: str) -> DataFrame:
     """Spans of secrets in every document."""
     return secret_report(table(spark, folder, "documents"))
+
+
+@query
+def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with a passage of a benchmark item."""
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+SQL["op10_decontaminate"] = decontaminate.SQL
