@@ -31,6 +31,13 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
+def flat_bytes(values: pa.Array) -> np.ndarray:
+    """The bytes of a binary column without nulls, one value after another; a copy, so that it can be viewed as words."""
+    values = pc.cast(values, pa.large_binary())
+    offsets = np.frombuffer(values.buffers()[1], np.int64)[values.offset:values.offset + len(values) + 1]
+    return np.frombuffer(values.buffers()[2], np.uint8)[offsets[0]:offsets[-1]].copy()
+
+
 def steps(batches: Iterator[pa.RecordBatch], column: str, size: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts of one step hold about ``size`` bytes, so memory does not follow the text length."""
     for batch in batches:

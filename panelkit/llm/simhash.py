@@ -8,13 +8,14 @@ several trees, and every tree is sent to all the search parts of its shard, so n
 
 from collections.abc import Iterator, Sequence
 from itertools import accumulate, combinations
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 import xxhash
 
-from panelkit.llm.common import map_texts
+from panelkit.llm.common import flat_bytes, map_texts
 from panelkit.llm.components import components, local_roots
 from panelkit.session import settle
 
@@ -66,12 +67,13 @@ def shard_keys(c: Column) -> Column:
 
 
 class Forest:
-    """BK-trees of several groups at once, as arrays: node ``k`` holds ``values[k]``; ``edges`` are the sorted numbers
-    ``parent * 65 + distance`` and ``children`` the node at the end of each."""
+    """BK-trees of several groups at once, as arrays: node ``k`` holds row ``k`` of ``values`` (64-bit words); ``edges`` are
+    the sorted numbers ``parent * span + distance`` and ``children`` the node at the end of each."""
 
     def __init__(self, values: np.ndarray, group: np.ndarray):
         """``group`` numbers the trees from 0 without gaps."""
         self.values = values
+        self.span = 64 * values.shape[1] + 1
         self.root = np.full(int(group.max()) + 1 if len(group) else 0, -1)
         edges, children = [], []
         left, slot = np.arange(len(values)), group
@@ -87,7 +89,7 @@ class Forest:
             parent = nodes[back.reshape(-1)]
             rest = parent != left
             left, parent = left[rest], parent[rest]
-            slot = parent * 65 + np.bitwise_count(values[left] ^ values[parent])
+            slot = parent * self.span + distance(values[left], values[parent])
             top = False
         self.edges = np.concatenate(edges) if edges else np.zeros(0, np.int64)
         self.children = np.concatenate(children) if children else np.zeros(0, np.int64)
@@ -100,11 +102,11 @@ class Forest:
         ask, node = ask[node >= 0], node[node >= 0]
         found = [(ask[:0], node[:0])]
         while len(ask):
-            apart = np.bitwise_count(values[ask] ^ self.values[node]).astype(np.int64)
+            apart = distance(values[ask], self.values[node])
             near = apart <= radius
             found.append((ask[near], node[near]))
-            low = np.searchsorted(self.edges, node * 65 + np.maximum(apart - radius, 0), "left")
-            high = np.searchsorted(self.edges, node * 65 + np.minimum(apart + radius, 64), "right")
+            low = np.searchsorted(self.edges, node * self.span + np.maximum(apart - radius, 0), "left")
+            high = np.searchsorted(self.edges, node * self.span + np.minimum(apart + radius, self.span - 1), "right")
             count = high - low
             ask = np.repeat(ask, count)
             step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
@@ -112,15 +114,20 @@ class Forest:
         return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
 
-def _shard_links(shard: np.ndarray, value: np.ndarray, role: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within sorted shards; role bit 1: a member of the tree, bit 2: searched. Each group of linked fingerprints
-    comes out as links to its smallest position."""
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits, row by row."""
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+
+
+def _shard_links(shard: np.ndarray, node: np.ndarray, size: np.ndarray, value: np.ndarray, role: np.ndarray,
+                 radius: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links within sorted shards; role bit 1: a member of the tree, bit 2: searched. Sizes of which one is under ``ratio``
+    of the other are not linked. Each group of linked nodes comes out as links to one of them."""
     group = np.cumsum(np.concatenate([[0], (shard[1:] != shard[:-1]).astype(np.int64)]))
-    size = np.bincount(group)
-    live = size[group] > 1
-    value, group, role = value[live].view(np.uint64), group[live], role[live]
-    if not len(value):
-        return value.view(np.int64), value.view(np.int64)
+    live = np.bincount(group)[group] > 1
+    node, size, value, group, role = node[live], size[live], value[live], group[live], role[live]
+    if not len(node):
+        return node, node
     group = np.unique(group, return_inverse=True)[1].reshape(-1)
     tree, asked = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
     forest = Forest(value[tree], group[tree])
@@ -128,58 +135,69 @@ def _shard_links(shard: np.ndarray, value: np.ndarray, role: np.ndarray, radius:
     left, right, first = [], [], 0
     while first < len(asked):
         before = load[first - 1] if first else 0
-        last = max(first + 1, int(np.searchsorted(load, before + PAIRS, "right")))
+        last = max(first + 1, int(np.searchsorted(load, before + PAIRS // value.shape[1], "right")))
         part = asked[first:last]
         i, j = forest.within(value[part], group[part], radius)
         i, j = part[i], tree[j]
-        root = local_roots(len(value), i, j)
-        moved = np.flatnonzero(root != np.arange(len(value)))
-        left.append(moved)
-        right.append(root[moved])
+        alike = np.minimum(size[i], size[j]) >= ratio * np.maximum(size[i], size[j])
+        root = local_roots(len(node), i[alike], j[alike])
+        moved = np.flatnonzero(root != np.arange(len(node)))
+        left.append(node[moved])
+        right.append(node[root[moved]])
         first = last
-    a, b = value[np.concatenate(left)], value[np.concatenate(right)]
-    differ = a != b
-    return a[differ].view(np.int64), b[differ].view(np.int64)
-
-
-def near_links(prints: DataFrame, value: str = "fingerprint", radius: int = RADIUS) -> DataFrame:
-    """``(a, b)``: links whose closure joins all distinct fingerprints of ``prints`` within ``radius`` of each other."""
-    if radius != RADIUS:
-        raise ValueError(f"the blocks are laid out for radius {RADIUS}")
-    keyed = prints.select(F.col(value).alias("v"), F.explode(shard_keys(F.col(value))).alias("shard"))
-    sizes = keyed.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
-    large = sizes.filter(F.col("n") > TREE).select("shard", F.ceil(F.col("n") / TREE).cast("int").alias("trees"))
-    placed = keyed.join(large, "shard", "left").withColumn("trees", F.coalesce("trees", F.lit(1)))
-    own = F.pmod(F.xxhash64("v"), F.col("trees")).cast("int")
-    spread = placed.select("shard", "v", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("other"))
+    a, b = np.concatenate(left), np.concatenate(right)
+    return a[a != b], b[a != b]
+
+
+def _links(keyed: DataFrame, radius: int, ratio: float = 0.0) -> DataFrame:
+    """``(a, b)`` from ``(shard, node, size, v)``, ``v`` being the fingerprint as bytes: links whose closure joins all nodes
+    that meet in a shard within ``radius``, with sizes no further apart than ``ratio``."""
+    sizes = keyed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = sizes.select("shard", F.ceil(F.col("n") / TREE).cast("int").alias("trees"))
+    placed = keyed.join(shared, "shard")
+    own = F.pmod(F.xxhash64("node"), F.col("trees")).cast("int")
+    spread = placed.select("shard", "node", "size", "v", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("other"))
     low, high = F.least("own", "other"), F.greatest("own", "other")
     # in the part (low, high) the trees of low are searched for the fingerprints of high
     role = (F.col("own") == low).cast("int") + 2 * (F.col("own") == high).cast("int")
-    parts = spread.select("v", F.xxhash64("shard", low, high).alias("shard"), role.alias("role"))
+    parts = spread.select("node", "size", "v", F.xxhash64("shard", low, high).alias("shard"), role.alias("role"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
-        rows = 0
+        load = 0
 
-        def links(columns):
-            a, b = _shard_links(*columns, radius)
+        def links(*columns):
+            a, b = _shard_links(*columns, radius, ratio)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
-            held.append(tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "v", "role")))
-            rows += batch.num_rows
-            if rows >= 200_000:
+            if not batch.num_rows:
+                continue
+            values = flat_bytes(batch.column("v")).view(np.uint64).reshape(batch.num_rows, -1)
+            shard, node, size, role = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "node", "size", "role"))
+            held.append((shard, node, size, values, role))
+            load += values.size
+            if load >= 400_000:
                 whole = [np.concatenate(c) for c in zip(*held)]
-                last = int(np.searchsorted(whole[0], whole[0][-1], "left"))
+                last = int(np.flatnonzero(whole[0] != whole[0][-1])[-1]) + 1 if (whole[0] != whole[0][-1]).any() else 0
                 if last:
-                    yield links([c[:last] for c in whole])
-                held, rows = [tuple(c[last:] for c in whole)], len(whole[0]) - last
-        if rows:
-            yield links([np.concatenate(c) for c in zip(*held)])
+                    yield links(*[c[:last] for c in whole])
+                held = [tuple(c[last:] for c in whole)]
+                load = held[0][3].size
+        if held:
+            yield links(*[np.concatenate(c) for c in zip(*held)])
 
     return parts.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "a long, b long")
 
 
+def near_links(prints: DataFrame, value: str = "fingerprint", radius: int = RADIUS) -> DataFrame:
+    """``(a, b)``: links whose closure joins all distinct fingerprints of ``prints`` within ``radius`` of each other."""
+    if radius != RADIUS:
+        raise ValueError(f"the blocks are laid out for radius {RADIUS}")
+    return _links(prints.select(F.col(value).alias("node"), F.lit(1).cast("long").alias("size"), F.unhex(F.lpad(F.hex(value), 16, "0")).alias("v"),
+                                F.explode(shard_keys(F.col(value))).alias("shard")), radius)
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
     """``(key, fingerprint, component_id)`` for every row: fingerprints link within three bits, and the component is the
     smallest key reachable, the row's own included.
@@ -202,3 +220,68 @@ def with_components(rows: DataFrame, key: str) -> DataFrame:
 
 def simhash_report(df: DataFrame) -> DataFrame:
     return near_duplicates(df).withColumn("fingerprint", F.lpad(F.lower(F.hex("fingerprint")), 16, "0"))
+
+
+# ---------------------------------------------------------------- similar texts, by wide fingerprints
+
+#: 64-bit words of a wide fingerprint, pairs of smallest shingles that serve as shard keys, and the similarity meant.
+WIDE, PAIRED, SIMILARITY = 16, 8, 0.8
+#: Odd numbers (golden ratio steps) that turn one hash of a shingle into many.
+TURNS = (np.arange(1, max(WIDE, 2 * PAIRED) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+def wide_radius(similarity: float = SIMILARITY) -> int:
+    """Bits in which wide fingerprints of sets with that Jaccard similarity differ on average, and one standard deviation.
+
+    Equally large sets with similarity s have the cosine c = 2s / (1 + s); each bit differs with chance acos(c) / pi.
+    """
+    chance = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = 64 * WIDE
+    return int(bits * chance + math.sqrt(bits * chance * (1 - chance)))
+
+
+def sketch(hashes: Sequence[int]) -> tuple[bytes, list[int], int]:
+    """The wide SimHash of a set of shingles, the shard keys (pairs of its smallest shingles under several orders), and
+    the size of the set.
+
+    Two sets of similarity s share a key with the chance 1 - (1 - s^2)^8: 0.9997 at 0.8.
+    """
+    if not hashes:
+        return bytes(8 * WIDE), [0], 0
+    one = np.unique(np.array(hashes, np.uint64))
+    ones = np.zeros((WIDE, 64), np.int64)
+    lows = np.full(2 * PAIRED, np.iinfo(np.uint64).max, np.uint64)
+    for first in range(0, len(one), 1024):
+        turned = one[first:first + 1024, None] * TURNS
+        turned ^= turned >> np.uint64(29)
+        turned *= np.uint64(0xBF58476D1CE4E5B9)
+        turned ^= turned >> np.uint64(32)
+        bits = np.unpackbits(np.ascontiguousarray(turned[:, :WIDE]).view(np.uint8), axis=1, bitorder="little")
+        ones += np.add.reduce(bits, axis=0, dtype=np.uint16).reshape(WIDE, 64)
+        lows = np.minimum(lows, turned[:, :2 * PAIRED].min(axis=0))
+    value = np.packbits(2 * ones > len(one), axis=1, bitorder="little").tobytes()
+    keys = (lows[:PAIRED] * np.uint64(31) + lows[PAIRED:]) ^ np.arange(PAIRED, dtype=np.uint64)
+    return value, keys.view(np.int64).tolist(), len(one)
+
+
+def similar_texts(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5,
+                  similarity: float = SIMILARITY) -> DataFrame:
+    """``(key, component_id)`` for each different key: texts whose shingle sets are about ``similarity`` alike are linked
+    through their wide fingerprints, and the component is the smallest key reachable.
+
+    Equal fingerprints are one node. Texts without words are alike. Rows with a null key are left out. Repeated keys with
+    different texts link those texts.
+    """
+
+    def work(batch: pa.RecordBatch) -> dict[str, object]:
+        made = [sketch(shingle_hashes(t or b"", words)) for t in batch.column(text).cast(pa.large_binary()).to_pylist()]
+        return {"v": pa.array([m[0] for m in made], pa.binary()), "keys": pa.array([m[1] for m in made], pa.list_(pa.int64())),
+                "size": pa.array([m[2] for m in made], pa.int64())}
+
+    rows = settle(map_texts(df.filter(F.col(key).isNotNull()), text, [key], "v binary, keys array<long>, size long", work))
+    nodes = rows.groupBy("v").agg(F.min(key).alias("node"), F.min("keys").alias("keys"), F.min("size").alias("size"))
+    keyed = nodes.select("node", "size", "v", F.explode("keys").alias("shard"))
+    same = rows.join(nodes.select("v", "node"), "v").select(F.col(key).alias("a"), F.col("node").alias("b"))
+    roots = components(_links(keyed, wide_radius(similarity), similarity).union(same))
+    found = rows.select(F.col(key).alias("node")).distinct().join(roots, "node", "left")
+    return found.select(F.col("node").alias(key), F.coalesce("root", "node").alias("component_id"))
