@@ -11,6 +11,7 @@ from panelkit.llm.pieces import encoded
 from panelkit.llm.pseudonyms import pseudonym_report
 from panelkit.llm.secrets import secret_report
 from panelkit.llm.simhash import simhash_report
+from panelkit.llm.vectors import range_links
 
 #: The public vocabulary the queries use; operators take the path as a parameter.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -43,6 +44,27 @@ def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_report(table(spark, folder, "documents"))
 
 
+@query
+def op5_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and components of all vectors with cosine 0.95 or more."""
+    return range_links(table(spark, folder, "embeddings"))
+
+
+SQL["op5_vectors"] = """
+WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE embedding IS NOT NULL),
+u AS (SELECT vec_id, v, sqrt(list_inner_product(v, v)) AS size FROM e),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id
+      WHERE a.size > 0 AND b.size > 0 AND list_inner_product(a.v, b.v) / (a.size * b.size) >= 0.95),
+reach AS (SELECT a, b FROM p UNION SELECT reach.a, p.b FROM reach JOIN p ON reach.b = p.a),
+low AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
+many AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(b, vec_id)) AS component_id,
+       vec_id <= coalesce(b, vec_id) AS kept
+FROM embeddings LEFT JOIN low ON vec_id = low.a LEFT JOIN many ON vec_id = many.a
+"""
+
+
 @query
 def op8_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its personal numbers, dates and addresses permuted within their format."""
