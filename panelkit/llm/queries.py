@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelkit.llm import decontaminate
+from panelkit.llm import decontaminate, toxicity
 from panelkit.llm.common import remainder, table
 from panelkit.llm.langid import learn, with_language
 from panelkit.llm.pieces import encoded
@@ -65,6 +65,15 @@ FROM embeddings LEFT JOIN low ON vec_id = low.a LEFT JOIN many ON vec_id = many.
 """
 
 
+@query
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document, learnt from the labels of those that are not held out."""
+    docs = table(spark, folder, "documents").withColumn("held_out", remainder("doc_id", 5) == 0)
+    labels = table(spark, folder, "labels").filter(remainder("doc_id", 5) != 0)
+    net = toxicity.learn(docs.filter(~F.col("held_out")), labels)
+    return toxicity.with_toxicity(docs, net, ["doc_id", "held_out"])
+
+
 @query
 def op8_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its personal numbers, dates and addresses permuted within their format."""
