@@ -9,6 +9,7 @@ compared exactly: the sum of the smaller over the sum of the larger multipliciti
 Benchmarks are broadcast in blocks of at most ``BLOCK`` shingles; a larger one takes several passes over the documents.
 """
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -38,10 +39,14 @@ def shingles(parts: Column, size: int) -> Column:
 
 def numbered(values: Column) -> Column:
     """Repeats told apart (``value``, ``value|1``, ...), so that a multiset becomes a set."""
-    repeats = F.transform(values, lambda v, i: F.concat_ws("\u0000", v, F.size(F.filter(
-        F.slice(values, 1, i), lambda u: u == v)).cast("string")))
-    plain = F.transform(values, lambda v: F.concat(v, F.lit("\u00000")))
-    return F.when(F.size(F.array_distinct(values)) == F.size(values), plain).otherwise(repeats)
+
+    def told_apart(all_: Column) -> Column:
+        repeats = F.transform(all_, lambda v, i: F.concat_ws("\u0000", v, F.size(F.filter(
+            F.slice(all_, 1, i), lambda u: u == v)).cast("string")))
+        plain = F.transform(all_, lambda v: F.concat(v, F.lit("\u00000")))
+        return F.when(F.size(F.array_distinct(all_)) == F.size(all_), plain).otherwise(repeats)
+
+    return _bound(values, told_apart)
 
 
 def simhash(values: Column) -> Column:
@@ -49,22 +54,29 @@ def simhash(values: Column) -> Column:
 
     Sixteen numbers hold four 16-bit counters each; multiplying spreads the bits of half a byte over four counters.
     """
-    hashes = F.transform(values, lambda v: F.xxhash64(v))
+    return _bound(F.transform(values, lambda v: F.xxhash64(v)), _simhash)
+
+
+def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _simhash(hashes: Column) -> Column:
     spread, low = F.lit(0x0000200040008001), F.lit(0x0001000100010001)
     names = [f"c{k}" for k in range(16)]
     zero = F.struct(*[F.lit(0).cast("long").alias(n) for n in names])
     counts = F.aggregate(hashes, zero, lambda s, h: F.struct(*[
         (s[n] + (F.shiftrightunsigned(h, 4 * k).bitwiseAND(F.lit(15).cast("long")) * spread).bitwiseAND(low)).alias(n)
         for k, n in enumerate(names)]))
-    half = F.size(values)
 
     def gathered(c: Column) -> Column:
-        bits = [F.when(F.shiftrightunsigned(c[n], 16 * j).bitwiseAND(F.lit(0xFFFF).cast("long")) * 2 > half,
+        bits = [F.when(F.shiftrightunsigned(c[n], 16 * j).bitwiseAND(F.lit(0xFFFF).cast("long")) * 2 > F.size(hashes),
                        F.shiftleft(F.lit(1).cast("long"), 4 * k + j)).otherwise(F.lit(0).cast("long"))
                 for k, n in enumerate(names) for j in range(4)]
         return reduce(Column.bitwiseOR, bits)
 
-    return F.element_at(F.transform(F.array(counts), gathered), 1)
+    return _bound(counts, gathered)
 
 
 def _byte(c: Column, k: int) -> Column:
@@ -92,33 +104,40 @@ def items(benchmark: DataFrame, text: str = "text", item: str = "item_id") -> Da
     return made.select("item_id", "part", "size", F.size("shingles").alias("n"), "shingles", simhash(F.col("shingles")).alias("print"))
 
 
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """A column behind a generator, so that filters on it do not compute it again."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def _in_block(documents: DataFrame, some: DataFrame, size: int) -> DataFrame:
     """Matches of the items ``some``, all with shingles of ``size`` words; ``some`` is small enough to broadcast."""
-    places = (some.select("n", F.explode("shingles").alias("shingle"))
-              .groupBy(F.xxhash64("shingle").alias("hash")).agg(F.collect_set("n").alias("sizes")))
-    cut = documents.select("doc_id", words(F.col("text")).alias("w")).filter(F.size("w") >= size)
-    at = cut.select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - size)).alias("place"))
-    hash_ = F.xxhash64(F.concat_ws(" ", *[F.get("w", F.col("place") + k) for k in range(size)]))
-    met = at.withColumn("hash", hash_).join(F.broadcast(places), "hash")
+    word = lambda parts, at: [F.get(parts, F.lit(at) + k) for k in range(size)]
+    places = (some.select("n", F.explode("shingles").alias("shingle")).select("n", F.split("shingle", " ").alias("w"))
+              .groupBy(F.xxhash64(*word("w", 0)).alias("hash")).agg(F.collect_set("n").alias("sizes")))
+    cut = documents.select("doc_id", words(F.col("text")).alias("w"))
+    starts = F.when(F.size("w") >= size, F.sequence(F.lit(0), F.size("w") - size))
+    at = cut.select("doc_id", "w", F.explode(starts).alias("place"))
+    met = at.withColumn("hash", F.xxhash64(*[F.get("w", F.col("place") + k) for k in range(size)])).join(F.broadcast(places), "hash")
     laid = met.select("doc_id", "place", F.explode("sizes").alias("n"), "w").select(
         "doc_id", "place", "n", F.slice("w", F.col("place") + 1, F.col("n") + (size - 1)).alias("w"))
     # a window cut short by the document's end can reach the similarity only with that share of the item's shingles
     laid = laid.filter(F.size("w") - (size - 1) >= SIMILARITY * F.col("n"))
     # written once: else filters that reach below the fingerprint would compute it again
     found = settle(laid.withColumn("p", simhash(shingles(F.col("w"), size))))
-    asked = found.select("doc_id", "place", "n", "w", "p", F.posexplode(F.array(*[_byte(F.col("p"), k) for k in range(8)]))
-                         .alias("byte", "value"))
+    in_bytes = lambda c: F.posexplode(F.array(*[_byte(F.col(c), k) for k in range(8)]))
+    asked = found.select("doc_id", "place", "n", "w", "p", in_bytes("p").alias("byte", "value"))
     near = [m for m in range(256) if bin(m).count("1") <= NEAR]
-    index = some.select("item_id", "n", "shingles", "print", F.posexplode(F.array(*[_byte(F.col("print"), k) for k in range(8)]))
-                        .alias("byte", "own"))
+    index = some.select("item_id", "part", "n", "print", in_bytes("print").alias("byte", "own"))
     index = index.select("*", F.explode(F.array(*[F.lit(m).cast("long") for m in near])).alias("m")).select(
-        "item_id", "n", "shingles", "print", "byte", F.col("own").bitwiseXOR(F.col("m")).alias("value"))
+        "item_id", "part", "n", "print", "byte", F.col("own").bitwiseXOR(F.col("m")).alias("value"))
     differ = F.col("p").bitwiseXOR(F.col("print"))
     pairs = asked.join(F.broadcast(index), ["n", "byte", "value"]).filter(
-        (_first_near(differ) == F.col("byte")) & (F.bit_count(differ) <= RADIUS))
-    shared = F.size(F.array_intersect(numbered(shingles(F.col("w"), size)), numbered(F.col("shingles"))))
-    exact = pairs.select("doc_id", "item_id", "place", "n", (F.size("w") - size + 1).alias("m"), shared.alias("shared"))
-    exact = exact.withColumn("similarity", F.col("shared") / (F.col("m") + F.col("n") - F.col("shared")))
+        (F.bit_count(differ) <= RADIUS) & (_first_near(differ) == F.col("byte")))
+    mine = some.select("item_id", "part", numbered(F.col("shingles")).alias("marks"))
+    pairs = _once(pairs.select("doc_id", "item_id", "part", "place", "n", "w"), "s", shingles(F.col("w"), size))
+    both = pairs.join(F.broadcast(mine), ["item_id", "part"])
+    exact = _once(both, "shared", F.size(F.array_intersect(numbered(F.col("s")), F.col("marks")))).withColumn(
+        "similarity", F.col("shared") / (F.size("s") + F.col("n") - F.col("shared")))
     return exact.filter(F.col("similarity") >= SIMILARITY).select("doc_id", "item_id", "place", "similarity")
 
 
