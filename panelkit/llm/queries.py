@@ -8,6 +8,7 @@ from panelkit.llm import decontaminate, toxicity
 from panelkit.llm.common import remainder, table
 from panelkit.llm.langid import learn, with_language
 from panelkit.llm.pieces import encoded
+from panelkit.llm.ppm import scored
 from panelkit.llm.pseudonyms import pseudonym_report
 from panelkit.llm.secrets import secret_report
 from panelkit.llm.simhash import simhash_report
@@ -38,6 +39,13 @@ def op2_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return encoded(table(spark, folder, "documents"), PIECES, check=True)
 
 
+@query
+def op3_ppm(spark: SparkSession, folder: str) -> DataFrame:
+    """Log chances of every document under a byte model and a unigram base, learnt from those that are not held out."""
+    docs = table(spark, folder, "documents").withColumn("held_out", remainder("doc_id", 10) == 0)
+    return scored(docs, docs.filter(~F.col("held_out")), keep=("held_out",))
+
+
 @query
 def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """SimHash of every document, and the components of those within three bits."""
