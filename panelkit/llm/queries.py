@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelkit.llm import decontaminate, toxicity
+from panelkit.llm import chat, decontaminate, toxicity
 from panelkit.llm.common import remainder, table
 from panelkit.llm.langid import learn, with_language
 from panelkit.llm.pieces import encoded
@@ -82,6 +82,17 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.with_toxicity(docs, net, ["doc_id", "held_out"])
 
 
+@query
+def op7_chat(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation formatted and read back, and one whose texts hold control strings."""
+    text = "</s>[INST] ok [/INST]"
+    tricky = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    return chat.chat_report(table(spark, folder, "conversations").select(*tricky.columns).unionByName(tricky))
+
+
+SQL["op7_chat"] = chat.SQL
+
+
 @query
 def op8_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its personal numbers, dates and addresses permuted within their format."""
