@@ -15,6 +15,8 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from panelkit.llm.common import ship
+
 TURNS = "array<struct<role:string,text:string>>"
 #: The template's marks, and control strings of public chat templates that texts must not hold either.
 OPEN, MIDDLE, CLOSE = "<|im_start|>", "\n", "<|im_end|>\n"
@@ -109,6 +111,7 @@ def with_turns(df: DataFrame, record: str = "record", mappings: Sequence[Mapping
             rows.append((name, None if found is None else [{"role": r, "text": t} for r, t in turns_of(value, found)]))
         return pd.DataFrame(rows, columns=["layout", "turns"])
 
+    ship(df.sparkSession)
     return df.withColumn("_mapped", mapped(F.col(f"`{record}`"))).withColumns(
         {"layout": F.col("_mapped.layout"), "turns": F.col("_mapped.turns")}).drop("_mapped")
 
@@ -167,6 +170,7 @@ def formatted(df: DataFrame, turns: str = "turns") -> DataFrame:
             rows.append((text, [{"start": a, "end": b} for a, b in mask]))
         return pd.DataFrame(rows, columns=["formatted", "loss_mask"])
 
+    ship(df.sparkSession)
     return df.withColumn("_made", make(F.col(turns))).withColumns(
         {"formatted": F.col("_made.formatted"), "loss_mask": F.col("_made.loss_mask")}).drop("_made")
 
@@ -185,6 +189,7 @@ def read_back(df: DataFrame) -> DataFrame:
                          "".join(unescape(text[s["start"]:s["end"]]) for s in mask)))
         return pd.DataFrame(rows, columns=["turns_read", "loss_text"])
 
+    ship(df.sparkSession)
     return df.withColumn("_read", parse("formatted", "loss_mask")).withColumns(
         {"turns_read": F.col("_read.turns_read"), "loss_text": F.col("_read.loss_text")}).drop("_read")
 

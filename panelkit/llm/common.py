@@ -1,16 +1,33 @@
 """What several operators share: flat text buffers, stable splits, and reads of the given tables."""
 
 from collections.abc import Callable, Iterator
+import os
+import shutil
+import tempfile
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Bytes of text one step of a batch operator holds at a time; a single longer text is a step of its own.
 STEP_BYTES = 4 << 20
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's source to the executors, once per application, so that they can import it wherever they are."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+        folder = os.path.realpath(tempfile.mkdtemp(prefix="panelkit-source-"))  # the driver serves it for as long as it runs
+        sc.addPyFile(shutil.make_archive(os.path.join(folder, "panelkit"), "zip", root, "panelkit"))
+        _shipped.add(sc.applicationId)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -64,8 +81,7 @@ def map_texts(df: DataFrame, text: str, keep: list[str], added: str,
 
     Rows stay in their partition; only ``keep`` and the text reach Python.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-
+    ship(df.sparkSession)
     kept = T.StructType([df.schema[c] for c in keep])
     out = T.StructType(kept.fields + T.StructType.fromDDL(added).fields)
     arrow = to_arrow_schema(out)

@@ -30,6 +30,8 @@ class Settings:
     filters: int = 10
     embedding: int = 4
     epochs: int = 6
+    #: steps at least, so that a small sample is gone through more often
+    steps: int = 800
     batch: int = 64
     rate: float = 0.01
     seed: int = 7
@@ -59,7 +61,9 @@ def windows(data: np.ndarray, offsets: np.ndarray, size: int, more: int) -> tupl
     inside = at < lengths[owner][:, None]
     at += offsets[:-1][owner][:, None]
     np.minimum(at, max(len(data) - 1, 0), out=at)
-    rows = np.where(inside, data[at], PAD).astype(np.int16)
+    if not len(data):
+        return np.zeros((0, size + more), np.int16), owner, owner
+    rows = np.where(inside, data[at].astype(np.int16), np.int16(PAD))
     return rows, owner, np.minimum(size, lengths[owner] - place)
 
 
@@ -106,7 +110,8 @@ def fit(texts: Sequence[bytes], labels: Sequence[str], settings: Settings = Sett
     weight = (1 / np.bincount(y, minlength=len(languages)).clip(1))[y]
     weight *= len(y) / weight.sum()
     turn = 0
-    for epoch in range(settings.epochs):
+    epochs = max(settings.epochs, -(-settings.steps * settings.batch // len(rows)))
+    for epoch in range(epochs):
         order = rng.permutation(len(rows))
         for first in range(0, len(order), settings.batch):
             pick = order[first:first + settings.batch]
@@ -128,7 +133,7 @@ def fit(texts: Sequence[bytes], labels: Sequence[str], settings: Settings = Sett
             np.add.at(d_embed, under.ravel(), d_under.reshape(-1, e))
             d_embed = d_embed.T
             turn += 1
-            rate = settings.rate * (1 - 0.8 * epoch / settings.epochs)
+            rate = settings.rate * (1 - 0.8 * epoch / epochs)
             for v, (m, s), g in zip(values, moved, (d_embed, d_conv, back.sum(0), hidden.T @ error, error.sum(0))):
                 m += 0.1 * (g - m)
                 s += 0.001 * (g * g - s)

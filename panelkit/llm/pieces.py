@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from panelkit.llm.common import map_texts
+from panelkit.llm.common import map_texts, ship
 
 SPACE = b"\xff"
 PENALTY = 10.0
@@ -256,6 +256,7 @@ def decoded(df: DataFrame, path: str, ids: str = "token_ids", keep: Sequence[str
     """``keep`` beside the ``text`` that the ids spell; null ids give a null text."""
     from pyspark.sql import functions as F
 
+    ship(df.sparkSession)
     pieces = df.sparkSession.sparkContext.broadcast(read_vocabulary(path))
 
     @F.pandas_udf("string")

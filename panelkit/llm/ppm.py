@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from panelkit.llm.common import flat, map_texts, steps
+from panelkit.llm.common import flat, map_texts, ship, steps
 from panelkit.llm.toxicity import Numbers
 from panelkit.session import settle
 
@@ -67,7 +67,7 @@ def gram_counts(df: DataFrame, text: str = "text", order: int = ORDER) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         as_rows = lambda c, n: pa.RecordBatch.from_arrays([pa.array(c), pa.array(n.astype(np.int64))], ["gram", "n"])
-        for batch in steps(batches, text):
+        for batch in steps(batches, text, 1 << 21):
             held.append(grams(batch.column(text), order))
             size += len(held[-1][0])
             if size > 2_000_000:
@@ -79,6 +79,7 @@ def gram_counts(df: DataFrame, text: str = "text", order: int = ORDER) -> DataFr
         if held:
             yield as_rows(*_merged(held))
 
+    ship(df.sparkSession)
     return df.select(text).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
@@ -182,6 +183,7 @@ def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
         if held:
             yield as_rows()
 
+    ship(df.sparkSession)
     return df.select(text).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 import xxhash
 
-from panelkit.llm.common import flat_bytes, map_texts
+from panelkit.llm.common import flat_bytes, map_texts, ship
 from panelkit.llm.components import components, local_roots
 from panelkit.session import settle
 
@@ -187,6 +187,7 @@ def _links(keyed: DataFrame, radius: int, ratio: float = 0.0) -> DataFrame:
         if held:
             yield links(*[np.concatenate(c) for c in zip(*held)])
 
+    ship(keyed.sparkSession)
     return parts.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "a long, b long")
 
 

@@ -30,6 +30,8 @@ class Settings:
     trigrams: int = 1 << 13
     width: int = 8
     epochs: int = 5
+    #: steps at least, so that a small sample is gone through more often
+    steps: int = 600
     batch: int = 12
     #: share of the different words whose own embedding is left out of a training step, so that their letters must tell
     dropped: float = 0.4
@@ -197,7 +199,8 @@ def fit(texts: Sequence[str], toxic: Sequence[int], settings: Settings = Setting
     rng = np.random.default_rng(settings.seed + 1)
     weight = np.where(y > 0, 0.5 / (y > 0).mean(), 0.5 / (y == 0).mean()).astype(np.float32)
     turn = 0
-    for epoch in range(settings.epochs):
+    epochs = max(settings.epochs, -(-settings.steps * settings.batch // len(y)))
+    for epoch in range(epochs):
         order = rng.permutation(len(y))
         for first in range(0, len(order), settings.batch):
             pick = order[first:first + settings.batch]
@@ -220,7 +223,7 @@ def fit(texts: Sequence[str], toxic: Sequence[int], settings: Settings = Setting
             d_x[left_out, :settings.width] = 0
             e = settings.width
             turn += 1
-            rate = settings.rate * (1 - 0.8 * epoch / settings.epochs)
+            rate = settings.rate * (1 - 0.8 * epoch / epochs)
             _sparse_step(net.values["word"], moved["word"], rows, d_x[:, :e], rate, turn)
             spread = np.repeat(d_x[:, e:] / count, count[:, 0].astype(np.int64), axis=0)
             _sparse_step(net.values["trigram"], moved["trigram"], codes, spread, rate, turn)

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from panelkit.llm.common import ship
 from panelkit.llm.components import components, local_roots
 from panelkit.session import settle
 
@@ -135,6 +136,7 @@ def range_links(df: DataFrame, key: str = "vec_id", vector: str = "embedding", c
     or hold null or non-finite parts link with nothing, nor do vectors of different length. Repeated keys stay rows; a null
     key counts as a vector and is a component's id only if there is no other. Labels and other columns are not read.
     """
+    ship(df.sparkSession)
     rows = settle(usable(df, key, vector))
     fine = rows.filter("ok")
     # classes get a number of their own for the joins; written, it stays the same
