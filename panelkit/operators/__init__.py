@@ -1,6 +1,6 @@
 from panelkit.operators.clean import cols_like, drop_empty_columns, latest_column, recode, rename_like
 from panelkit.operators.correlation import cor_matrix, cor_pvalues, cor_test, cor_with, spearman
-from panelkit.operators.filters import at_date, at_latest, drop_in, keep_in, split_unallocated, without_outliers
+from panelkit.operators.filters import at_date, at_latest, drop_in, keep_in, split_unallocated, split_outliers, without_outliers
 from panelkit.operators.joins import full_join_all, group_join, natural_join
 from panelkit.operators.models import anova, apply_linear, lasso, ols, step_aic
 from panelkit.operators.ordering import ordered_levels, ranked_values, running_total, top_k
@@ -22,5 +22,5 @@ __all__ = [
     "recode", "rename_like", "rolling_mean_strict", "rolling_rate", "running_total", "share", "snapshot_rates",
     "spearman", "split_label", "split_unallocated", "spread", "step_aic", "subset_cells", "subset_shares",
     "subset_totals", "top_k", "two_level_share", "unpack_dates", "upper_triangle", "weekly_totals", "with_total",
-    "without_outliers",
+    "split_outliers", "without_outliers",
 ]

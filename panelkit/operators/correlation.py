@@ -2,64 +2,69 @@
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from panelkit.functions import half_even, ratio, t_two_sided
+from panelkit.operators.moments import pair_moments
 from panelkit.operators.ordering import ranked_values
 
 
 def _t_columns(test: DataFrame) -> DataFrame:
-    """From r and n: degrees of freedom, t, p and the 95 % interval by Fisher's z."""
-    df = F.col("n") - 2
-    t = F.col("r") * F.sqrt(ratio(df, 1 - F.col("r") * F.col("r")))
+    """From r and n: degrees of freedom, t, p and the 95 % interval by Fisher's z.
+
+    A perfect correlation has an infinite t, p = 0 and the interval [r, r]; with n < 3 there is no test, with n = 3 no
+    interval.
+    """
+    df, r = F.col("n") - 2, F.col("r")
+    perfect, inf = (F.abs(r) == 1) & (df > 0), F.lit(float("inf"))
+    t = F.when(perfect, F.when(r > 0, inf).otherwise(-inf)).when(df > 0, r * F.sqrt(ratio(df, (1 - r) * (1 + r))))
     half = F.lit(1.959963984540054) / F.sqrt(F.when(F.col("n") > 3, F.col("n") - 3))
-    z = F.atanh(F.when(F.abs("r") < 1, F.col("r")))
+    z = F.atanh(F.when(F.abs(r) < 1, r))
+    end = lambda sign: F.when(perfect & (F.col("n") > 3), r).otherwise(F.tanh(z + sign * half))
     return (test.withColumn("df", df).withColumn("t", t)
                 .withColumn("p", t_two_sided(F.col("t"), F.col("df")))
-                .withColumn("low", F.tanh(z - half)).withColumn("high", F.tanh(z + half)))
+                .withColumn("low", end(-1)).withColumn("high", end(1)))
 
 
 def cor_test(df: DataFrame, x: str, y: str) -> DataFrame:
     """Pearson correlation over the pairs where both are present: r, n, df, t, p, low, high."""
     both = F.col(x).isNotNull() & F.col(y).isNotNull()
-    return _t_columns(df.agg(F.corr(x, y).alias("r"), F.count_if(both).alias("n")))
+    return _t_columns(df.agg(_exact(F.corr(x, y)).alias("r"), F.count_if(both).alias("n")))
+
+
+def _exact(r):
+    """Rounding can leave a perfect correlation a few units short of one, or beyond it."""
+    return F.when(F.abs(r) >= 1 - 1e-15, F.signum(r)).otherwise(r)
 
 
-def cor_with(df: DataFrame, target: str, min_abs: float = 0.7, cols: Sequence[str] | None = None) -> DataFrame:
-    """Columns correlated with ``target`` by at least ``min_abs``, the strongest first."""
+def cor_with(df: DataFrame, target: str, min_abs: float = 0.7, cols: Sequence[str] | None = None,
+             strict: bool = True) -> DataFrame:
+    """Columns correlated with ``target`` by at least ``min_abs``, the strongest first.
+
+    With ``strict`` a column that has a missing value, or whose target has, is left out; otherwise complete pairs count.
+    """
     others = [c for c in (cols or df.columns) if c != target]
-    row = df.agg(*[F.corr(c, target).alias(c) for c in others])
+    whole = lambda c: (F.count(c) == F.count(F.lit(1))) & (F.count(target) == F.count(F.lit(1)))
+    row = df.agg(*[(F.when(whole(c), F.corr(c, target)) if strict else F.corr(c, target)).alias(c) for c in others])
     long = row.unpivot([], others, "variable", "r")
     return (long.where((F.abs("r") >= min_abs) & (F.col("r") != 1))
                 .orderBy(F.abs("r").desc(), "variable"))
 
 
-def _pair_aggs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """One row with r and the number of complete rows of every pair."""
-    aggs = []
-    for i, a in enumerate(cols):
-        for j in range(i, len(cols)):
-            b = cols[j]
-            aggs.append(F.corr(a, b).alias(f"r_{i}_{j}"))
-            aggs.append(F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull()).alias(f"n_{i}_{j}"))
-    return df.agg(F.count(F.lit(1)).alias("rows"), *aggs)
-
-
 def cor_matrix(df: DataFrame, cols: Sequence[str], digits: int | None = 2, strict: bool = True) -> DataFrame:
-    """Long correlation matrix ``(row, col, var1, var2, r, n)`` from one pass.
+    """Long correlation matrix ``(row, col, var1, var2, r, n)`` from one pass of matrix products.
 
     With ``strict`` a pair with any missing value gets NULL, otherwise the complete pairs count.
     """
+    pairs = pair_moments(df, cols)
+    r = pairs.correlation()
     cells = []
     for i, var1 in enumerate(cols):
         for j, var2 in enumerate(cols):
-            pair = f"{min(i, j)}_{max(i, j)}"
-            r, n = F.col(f"r_{pair}"), F.col(f"n_{pair}")
-            if strict:
-                r = F.when(n == F.col("rows"), r)
-            cells.append(F.struct(F.lit(i + 1).alias("row"), F.lit(j + 1).alias("col"), F.lit(var1).alias("var1"),
-                                  F.lit(var2).alias("var2"), r.alias("r"), n.alias("n")))
-    long = _pair_aggs(df, cols).select(F.inline(F.array(*cells)))
+            value = None if np.isnan(r[i, j]) or strict and pairs.n[i, j] < pairs.rows else float(r[i, j])
+            cells.append((i + 1, j + 1, var1, var2, value, int(pairs.n[i, j])))
+    long = df.sparkSession.createDataFrame(cells, "row int, col int, var1 string, var2 string, r double, n long")
     return long if digits is None else long.withColumn("r", half_even("r", digits))
 
 

@@ -30,17 +30,24 @@ def split_unallocated(df: DataFrame, col: str = "county_name",
     return df.where(~hit), df.where(hit)
 
 
-def without_outliers(df: DataFrame, col: str, above: float | None = None,
-                     ids: tuple[str, Sequence] | DataFrame | None = None) -> DataFrame:
-    """Keep ``col`` below ``above`` and leave out named ids.
+def split_outliers(df: DataFrame, col: str, above: float | None = None,
+                   ids: tuple[str, Sequence] | DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows with ``col`` below ``above`` and none of the named ids, and all the others.
 
-    ``ids`` is ``(key column, values)`` or a frame whose columns are the key. A missing ``col`` does not
-    pass the threshold.
+    ``ids`` is ``(key column, values)`` or a frame whose columns are the key. A missing ``col`` does not pass the threshold;
+    a missing key is none of the ids.
     """
-    if above is not None:
-        df = df.where(F.col(col) < above)
+    odd = F.lit(False) if above is None else ~F.coalesce(F.col(col) < above, F.lit(False))
     if isinstance(ids, DataFrame):
-        df = df.join(ids, ids.columns, "left_anti")
+        mark = ids.distinct().withColumn("_named", F.lit(True))
+        df = df.join(mark, ids.columns, "left")
+        odd = odd | F.coalesce("_named", F.lit(False))
     elif ids is not None:
-        df = df.where(~F.col(ids[0]).isin(list(ids[1])))
-    return df
+        odd = odd | F.coalesce(F.col(ids[0]).isin(list(ids[1])), F.lit(False))
+    return df.where(~odd).drop("_named"), df.where(odd).drop("_named")
+
+
+def without_outliers(df: DataFrame, col: str, above: float | None = None,
+                     ids: tuple[str, Sequence] | DataFrame | None = None) -> DataFrame:
+    """The first part of ``split_outliers``."""
+    return split_outliers(df, col, above, ids)[0]

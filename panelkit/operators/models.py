@@ -6,7 +6,6 @@ wide as the number of predictors.
 """
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
 import math
 
 import numpy as np
@@ -14,57 +13,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from panelkit.functions import f_upper, ratio
 from panelkit.functions.tails import t_tail
+from panelkit.session import settle
+from panelkit.operators.moments import Moments, fold_moments, moments
 
 INTERCEPT = "(Intercept)"
-
-
-@dataclass
-class Moments:
-    """Count, means and centred cross-products of a set of columns."""
-
-    n: int
-    mean: np.ndarray
-    cross: np.ndarray
-
-    def __add__(self, other: "Moments") -> "Moments":
-        n = self.n + other.n
-        gap = other.mean - self.mean
-        return Moments(n, self.mean + gap * other.n / n,
-                       self.cross + other.cross + np.outer(gap, gap) * self.n * other.n / n)
-
-
-def _moment_aggs(cols: Sequence[str]) -> list:
-    aggs = [F.count(F.lit(1)).alias("n")] + [F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)]
-    for i, a in enumerate(cols):
-        aggs += [F.covar_pop(a, cols[j]).alias(f"s{i}_{j}") for j in range(i, len(cols))]
-    return aggs
-
-
-def _from_row(row, k: int) -> Moments:
-    cross = np.zeros((k, k))
-    for i in range(k):
-        for j in range(i, k):
-            cross[i, j] = cross[j, i] = row[f"s{i}_{j}"] * row["n"]
-    return Moments(row["n"], np.array([row[f"m{i}"] for i in range(k)]), cross)
-
-
-def _numbers(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return df.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna("any")
-
-
-def moments(df: DataFrame, cols: Sequence[str]) -> Moments:
-    """One pass over the complete rows."""
-    row = _numbers(df, cols).agg(*_moment_aggs(cols)).first()
-    if not row["n"]:
-        raise ValueError("no complete row")
-    return _from_row(row, len(cols))
-
-
-def fold_moments(df: DataFrame, cols: Sequence[str], folds: int, seed: int) -> list[Moments]:
-    """Moments per fold, still one pass. A row's fold follows from its values, so reruns agree."""
-    fold = F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(folds))
-    rows = _numbers(df, cols).groupBy(fold.alias("fold")).agg(*_moment_aggs(cols)).orderBy("fold").collect()
-    return [_from_row(r, len(cols)) for r in rows]
+SWEEPS = 100_000
 
 
 def anova(df: DataFrame, y: str, g: str) -> DataFrame:
@@ -72,7 +25,8 @@ def anova(df: DataFrame, y: str, g: str) -> DataFrame:
     rows = df.select(F.col(y).cast("double").alias("y"), F.col(g).alias("level")).dropna("any")
     levels = rows.groupBy("level").agg(F.count("y").alias("n"), F.avg("y").alias("m"),
                                        (F.var_pop("y") * F.count("y")).alias("within"))
-    grand = rows.agg(F.avg("y")).scalar()
+    levels = settle(levels)  # one read of the table; the two sums below are over its levels
+    grand = levels.agg(ratio(F.sum(F.col("n") * F.col("m")), F.sum("n"))).scalar()
     parts = levels.select("n", "within", (F.col("n") * (F.col("m") - grand) * (F.col("m") - grand)).alias("between"))
     sums = parts.agg((F.count(F.lit(1)) - 1).alias("df_between"), (F.sum("n") - F.count(F.lit(1))).alias("df_within"),
                      F.sum("between").alias("ss_between"), F.sum("within").alias("ss_within"))
@@ -80,45 +34,74 @@ def anova(df: DataFrame, y: str, g: str) -> DataFrame:
     return sums.withColumn("f", f).withColumn("p", f_upper(F.col("f"), F.col("df_between"), F.col("df_within")))
 
 
+def independent(m: Moments, xs: Sequence[int], tolerance: float = 1e-7) -> list[int]:
+    """Those of ``xs`` that are no combination of the ones before them, nor constant: the others are aliased.
+
+    A column is aliased if less than ``tolerance`` of its scale is left once the kept ones are projected out.
+    """
+    kept: list[int] = []
+    for x in xs:
+        size = m.cross[x, x]
+        if size <= 0:
+            continue
+        scale = np.sqrt(np.diag(m.cross)[kept])
+        a = m.cross[np.ix_(kept, kept)] / np.outer(scale, scale)
+        b = m.cross[kept, x] / (scale * math.sqrt(size))
+        left = 1 - b @ np.linalg.solve(a, b) if kept else 1.0
+        if left > tolerance:
+            kept.append(x)
+    return kept
+
+
 def _fit(m: Moments, y: int, xs: Sequence[int]) -> tuple[np.ndarray, float]:
     """Slopes and residual sum of squares. Columns are scaled first to keep the system well conditioned."""
     if not xs:
         return np.zeros(0), float(m.cross[y, y])
     scale = np.sqrt(np.diag(m.cross)[list(xs)])
-    scale[scale == 0] = 1.0
     a = m.cross[np.ix_(xs, xs)] / np.outer(scale, scale)
     b = m.cross[list(xs), y] / scale
-    slopes = np.linalg.lstsq(a, b, rcond=1e-12)[0]
+    slopes = np.linalg.solve(a, b)
     rss = float(m.cross[y, y] - 2 * slopes @ b + slopes @ a @ slopes)
     return slopes / scale, max(rss, 0.0)
 
 
 def ols(df: DataFrame, y: str, xs: Sequence[str]) -> DataFrame:
-    """Least squares: one row per term with estimate, std_error, t, p, and the fit's r2, r2adj, n."""
+    """Least squares: one row per term with estimate, std_error, t, p, and the fit's r2, r2adj, n.
+
+    A term that is constant or a combination of earlier ones is aliased: it is left out of the fit, its own numbers are
+    NULL, and the degrees of freedom count the terms kept. r2 of a constant response is NULL.
+    """
     k = len(xs)
     m = moments(df, [*xs, y])
-    slopes, rss = _fit(m, k, range(k))
-    free = m.n - k - 1
+    used = independent(m, range(k))
+    slopes, rss = _fit(m, k, used)
+    free = m.n - len(used) - 1
     sigma2 = rss / free if free > 0 else math.nan
-    inverse = np.linalg.pinv(m.cross[:k, :k])
-    intercept = float(m.mean[k] - slopes @ m.mean[:k])
-    errors = [math.sqrt(sigma2 * (1 / m.n + m.mean[:k] @ inverse @ m.mean[:k]))]
-    errors += [math.sqrt(sigma2 * v) for v in np.diag(inverse)]
-    r2 = 1 - rss / m.cross[k, k]
-    r2adj = 1 - (1 - r2) * (m.n - 1) / free if free > 0 else math.nan
+    scale = np.sqrt(np.diag(m.cross)[used])
+    inverse = np.linalg.inv(m.cross[np.ix_(used, used)] / np.outer(scale, scale)) / np.outer(scale, scale)
+    middle = m.mean[used]
+    numbers = {-1: (float(m.mean[k] - slopes @ middle), math.sqrt(sigma2 * (1 / m.n + middle @ inverse @ middle)))}
+    numbers |= {x: (float(b), math.sqrt(sigma2 * v)) for x, b, v in zip(used, slopes, np.diag(inverse))}
+    r2 = float(1 - rss / m.cross[k, k]) if m.cross[k, k] > 0 else None
+    r2adj = 1 - (1 - r2) * (m.n - 1) / free if r2 is not None and free > 0 else None
+    known = lambda v: None if math.isnan(v) else v
     out = []
-    for i, (term, b, se) in enumerate(zip([INTERCEPT, *xs], [intercept, *slopes], errors)):
-        t = float(b) / se if se else math.inf
-        out.append((i, term, float(b), float(se), t, t_tail(t, free), float(r2), float(r2adj), int(m.n)))
+    for i, term in enumerate([INTERCEPT, *xs]):
+        b, se = numbers.get(i - 1, (math.nan, math.nan))
+        t = b / se if se else math.copysign(math.inf, b) if b else math.nan
+        out.append((i, term, known(b), known(se), known(t), known(t_tail(t, free)), r2, r2adj, int(m.n)))
     return df.sparkSession.createDataFrame(
         out, "pos int, term string, estimate double, std_error double, t double, p double, "
              "r2 double, r2adj double, n long")
 
 
 def _descend(corr: np.ndarray, target: np.ndarray, lam: float, start: np.ndarray) -> np.ndarray:
-    """Coordinate descent for the lasso on standardised predictors."""
+    """Coordinate descent for the lasso on standardised predictors, until no slope moves any more.
+
+    Each sweep lowers a convex function, so it ends; a run of ``SWEEPS`` without an end raises instead of passing for one.
+    """
     b = start.copy()
-    for _ in range(10000):
+    for _ in range(SWEEPS):
         largest = 0.0
         for j in range(len(b)):
             if corr[j, j] == 0:
@@ -128,8 +111,8 @@ def _descend(corr: np.ndarray, target: np.ndarray, lam: float, start: np.ndarray
             largest = max(largest, abs(new - b[j]))
             b[j] = new
         if largest < 1e-10 * max(1.0, float(np.abs(target).max())):
-            break
-    return b
+            return b
+    raise ArithmeticError(f"the lasso did not settle in {SWEEPS} sweeps")
 
 
 def lasso_path(m: Moments, lambdas: Sequence[float]) -> list[np.ndarray]:
@@ -158,14 +141,16 @@ def default_lambdas(m: Moments, count: int = 100, ratio_to_max: float = 1e-4) ->
 
 
 def lasso(df: DataFrame, y: str, xs: Sequence[str], lambdas: Sequence[float] | None = None, folds: int = 10,
-          seed: int = 1) -> DataFrame:
+          seed: int = 1, fold: str | None = None) -> DataFrame:
     """Lasso with the penalty chosen by cross-validation: one row per term, ``kept`` marks non-zero slopes.
 
     The table is read once, grouped by fold. Training sets are sums of fold moments, and the error on the held
-    out fold is a quadratic form of its own moments, so the number of penalties and folds adds no pass.
+    out fold is a quadratic form of its own moments, so the number of penalties and folds adds no pass. A row's fold is
+    the whole number in the column ``fold``, or else follows from its values, so reruns agree.
     """
     k = len(xs)
-    parts = fold_moments(df, [*xs, y], folds, seed)
+    drawn = F.pmod(F.xxhash64(F.lit(seed), *[F.col(c).cast("double") for c in [*xs, y]]), F.lit(folds))
+    parts = fold_moments(df, [*xs, y], F.col(fold) if fold else drawn)
     if len(parts) < 2:
         raise ValueError("too few rows for cross-validation")
     whole = _sum(parts)
@@ -204,8 +189,10 @@ def step_aic(df: DataFrame, y: str, xs: Sequence[str], direction: str = "both",
     m = moments(df, [*xs, y])
 
     def aic(chosen: list[int]) -> float:
-        rss = _fit(m, k, chosen)[1]
-        return m.n * math.log(rss / m.n) + 2 * (len(chosen) + 1) if rss > 0 else -math.inf
+        """Aliased terms add nothing to the fit and count for nothing."""
+        used = independent(m, chosen)
+        rss = _fit(m, k, used)[1]
+        return m.n * math.log(rss / m.n) + 2 * (len(used) + 1) if rss > 0 else -math.inf
 
     begin = start if start is not None else (xs if direction == "backward" else [])
     model = [xs.index(x) for x in begin]

@@ -52,8 +52,12 @@ def inferred_text_read(t: Tables) -> DataFrame:
 
 HREF_SQL = r"""hrefs AS (
   SELECT page_id, list, unnest(range(len(list))) AS pos
-  FROM (SELECT page_id, regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["'']', 1) AS list FROM pages)),
-links AS (SELECT page_id, CAST(pos AS INT) AS pos, list[pos + 1] AS href FROM hrefs)"""
+  FROM (SELECT page_id, regexp_extract_all(html,
+    '(?i)<a(?:\s+[^\s"''>=/]+(?:\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s"''>]+))?)*?\s+href\s*=\s*((?:"[^"]*"|''[^'']*''|[^\s"''>]+))', 1) AS list
+    FROM pages)),
+links AS (SELECT page_id, CAST(pos AS INT) AS pos,
+  replace(replace(replace(replace(trim(list[pos + 1], '"'''), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS href FROM hrefs)"""
+
 
 
 @query("page_links", f"""

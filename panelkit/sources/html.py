@@ -1,14 +1,26 @@
 """Links found in stored web pages."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-ANCHOR = r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"']*)["']"""
+#: One attribute after white space, its value quoted or bare; then the first that is called href.
+_VALUE = r"""(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""
+ANCHOR = rf"""(?i)<a(?:\s+[^\s"'>=/]+(?:\s*=\s*{_VALUE})?)*?\s+href\s*=\s*({_VALUE})"""
+#: The usual character entities, the ampersand last.
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&#x27;": "'", "&amp;": "&"}
+
+
+def _plain(value: Column) -> Column:
+    """An attribute's value without quotes, entities decoded."""
+    bare = F.regexp_replace(value, r"""^["']|["']$""", "")
+    for entity, char in ENTITIES.items():
+        bare = F.replace(bare, F.lit(entity), F.lit(char))
+    return bare
 
 
 def extract_links(pages: DataFrame, pattern: str = r"\.csv$", key: str = "page_id", html: str = "html") -> DataFrame:
     """One row per anchor whose target matches ``pattern``: ``(key, pos, href)``, pos from 0."""
     links = pages.select(key, F.posexplode(F.regexp_extract_all(html, F.lit(ANCHOR), 1)).alias("pos", "href"))
-    return links.where(F.col("href").rlike(pattern))
+    return links.withColumn("href", _plain(F.col("href"))).where(F.col("href").rlike(pattern))
 
 
 def first_links(links: DataFrame, words: list[str], key: str = "page_id") -> DataFrame:

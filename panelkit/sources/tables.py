@@ -1,6 +1,7 @@
 """Table sources and sinks."""
 
 from collections.abc import Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -21,17 +22,41 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
             reader = spark.read.option("header", True).option("sep", sep)
             if schema is None:
                 return _strip_mark(reader.option("inferSchema", True).csv(path))
-            return reader.schema(schema).csv(path)
+            # columns are taken by place, so a header in another order must fail
+            return reader.schema(schema).option("enforceSchema", False).csv(path)
     reader = spark.read if schema is None else spark.read.schema(schema)
     return reader.parquet(path)
 
 
+def _header(spark: SparkSession, file: str) -> str:
+    """The first line of one file, read through the file system that holds it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(file)
+    source = path.getFileSystem(spark._jsc.hadoopConfiguration()).open(path)
+    codec = spark._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(spark._jsc.hadoopConfiguration()).getCodec(path)
+    reader = spark._jvm.java.io.BufferedReader(
+        spark._jvm.java.io.InputStreamReader(codec.createInputStream(source) if codec else source, "UTF-8"))
+    try:
+        return reader.readLine() or ""
+    finally:
+        reader.close()
+
+
 def read_wide(spark: SparkSession, path: str, id_cols: Sequence[str]) -> DataFrame:
     """A wide table of unknown width: every column arrives as text, the named ids come first.
 
-    Counts stay text because some cells carry thousands commas; ``clean_number`` repairs them.
+    Counts stay text because some cells carry thousands commas; ``clean_number`` repairs them. Files of a folder may have
+    different columns or another order: those with one header are read together, and columns meet by name.
     """
-    df = _strip_mark(spark.read.option("header", True).csv(path))
+    files: dict[str, list[str]] = {}
+    for file in sorted(spark.read.text(path).inputFiles()):
+        files.setdefault(_header(spark, file), []).append(file)
+    files.pop("", None)  # an empty file has no rows
+    reader = spark.read.option("header", True)
+    if len(files) < 2:
+        df = _strip_mark(reader.csv(path))
+    else:
+        groups = sorted(files.items(), key=lambda item: (-item[0].count(","), item[0]))
+        df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [_strip_mark(reader.csv(f)) for _, f in groups])
     missing = [c for c in id_cols if c not in df.columns]
     if missing:
         raise ValueError(f"id columns not in the file: {missing}")

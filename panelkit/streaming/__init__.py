@@ -1,3 +1,3 @@
-from panelkit.streaming.weekly import run_weekly, stream_weekly
+from panelkit.streaming.weekly import latest_weekly, run_weekly, stream_weekly
 
-__all__ = ["run_weekly", "stream_weekly"]
+__all__ = ["latest_weekly", "run_weekly", "stream_weekly"]
