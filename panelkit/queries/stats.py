@@ -195,14 +195,113 @@ def stepwise_two_terms(t: Tables) -> DataFrame:
     return rounded(steps.drop("terms"), 3)
 
 
-@query("stepwise_terms")
+def _subset_sql(source: str, y: str, xs: list[str]) -> str:
+    """CTEs ``fits(mask, aic)`` of all models: each set of predictors is projected out of its predecessor's moments."""
+    names = [*xs, y]
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    first = ", ".join(f"covar_pop({names[i]}, {names[j]}) AS c{i}_{j}" for i, j in pairs)
+    parts = [f"s0 AS (SELECT count(*) AS n, {first} FROM {source})"]
+    for mask in range(1, 1 << len(xs)):
+        out = mask.bit_length() - 1
+        c = lambda i, j: f"c{min(i, j)}_{max(i, j)}"
+        cells = ", ".join(f"{c(i, j)} - {c(i, out)} * {c(j, out)} / {c(out, out)} AS {c(i, j)}"
+                          for i, j in pairs if not {i, j} & {k for k in range(len(xs)) if mask >> k & 1})
+        parts.append(f"s{mask} AS (SELECT n, {cells} FROM s{mask ^ 1 << out})")
+    last = len(xs)
+    fits = " UNION ALL ".join(f"SELECT {mask} AS mask, n * ln(c{last}_{last}) + {2 * (mask.bit_count() + 1)} AS aic FROM s{mask}"
+                              for mask in range(1 << len(xs)))
+    return ", ".join([*parts, f"fits AS ({fits})"])
+
+
+def _steps_sql(source: str, y: str, xs: list[str], moves: str, start: int) -> str:
+    """The steps of a selection over all models, for as many steps as there can be between two of them."""
+    allowed = {"backward": "t.mask < f.mask", "forward": "t.mask > f.mask", "both": "t.mask <> f.mask"}[moves]
+    parts = [f"p0 AS (SELECT 0 AS step, CAST(NULL AS INT) AS bit, mask, aic FROM fits WHERE mask = {start})"]
+    for k in range(1, 2 * len(xs) + 1):
+        parts.append(f"""p{k} AS (SELECT f.step + 1 AS step, xor(t.mask, f.mask) AS bit, t.mask, t.aic FROM p{k - 1} f JOIN fits t
+          ON bit_count(xor(t.mask, f.mask)) = 1 AND {allowed} AND t.aic < f.aic - 1e-7 ORDER BY t.aic LIMIT 1)""")
+    path = " UNION ALL ".join(f"SELECT * FROM p{k}" for k in range(2 * len(xs) + 1))
+    named = "CASE bit " + " ".join(f"WHEN {1 << i} THEN '{x}'" for i, x in enumerate(xs)) + " END"
+    terms = "concat_ws(',', " + ", ".join(f"CASE WHEN mask & {1 << i} > 0 THEN '{x}' END" for i, x in enumerate(xs)) + ")"
+    return f"""WITH {_subset_sql(source, y, xs)}, {", ".join(parts)}, path AS ({path})
+SELECT step, CASE WHEN bit IS NULL THEN 'start' WHEN mask & bit > 0 THEN 'add' ELSE 'drop' END AS action, {named} AS term,
+       round(aic, 4) AS aic, {terms} AS terms FROM path"""
+
+
+LINES_SQL = """(SELECT l_extendedprice, l_quantity, l_discount, l_tax, l_linenumber,
+  CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS late FROM lineitem)"""
+
+
+def _steps(t: Tables, direction: str, start: list[str] | None = None) -> DataFrame:
+    steps = step_aic(_lines(t), "l_extendedprice", MODEL_COLUMNS, direction, start)
+    return rounded(steps.withColumn("terms", F.array_join("terms", ",")), 4)
+
+
+@query("stepwise_terms", _steps_sql(LINES_SQL, "l_extendedprice", MODEL_COLUMNS, "both", 0))
 def stepwise_terms(t: Tables) -> DataFrame:
-    return rounded(step_aic(_lines(t), "l_extendedprice", MODEL_COLUMNS), 4)
+    return _steps(t, "both")
 
 
-@query("backward_terms")
+@query("forward_terms", _steps_sql(LINES_SQL, "l_extendedprice", MODEL_COLUMNS, "forward", 0))
+def forward_terms(t: Tables) -> DataFrame:
+    return _steps(t, "forward")
+
+
+@query("backward_terms", _steps_sql(LINES_SQL, "l_extendedprice", MODEL_COLUMNS, "backward", 31))
 def backward_terms(t: Tables) -> DataFrame:
-    return rounded(step_aic(_lines(t), "l_extendedprice", MODEL_COLUMNS, "backward"), 4)
+    return _steps(t, "backward")
+
+
+@query("stepwise_from_full", _steps_sql(LINES_SQL, "l_extendedprice", MODEL_COLUMNS, "both", 31))
+def stepwise_from_full(t: Tables) -> DataFrame:
+    """Both directions, beginning with all predictors."""
+    return _steps(t, "both", MODEL_COLUMNS)
+
+
+@query("perfect_correlation", f"""
+WITH {CUSTOMER_SQL}, s AS (SELECT count(*) AS n FROM per WHERE balance IS NOT NULL)
+SELECT -1.0 AS r, n, n - 2 AS df, true AS t_below_all, 0.0 AS p, -1.0 AS low, -1.0 AS high FROM s""")
+def perfect_correlation(t: Tables) -> DataFrame:
+    """A column against its own negative: t is infinite, p is 0, and the interval is a point."""
+    rows = _per_customer(t).withColumn("negative", -F.col("balance"))
+    test = cor_test(rows, "balance", "negative")
+    return test.select("r", "n", "df", (F.col("t") == F.lit(float("-inf"))).alias("t_below_all"), "p", "low", "high")
+
+
+@query("aliased_predictor", """
+WITH m AS (SELECT count(*) AS n, regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a,
+  regr_r2(l_extendedprice, l_quantity) AS r2 FROM lineitem)
+SELECT 0 AS pos, '(Intercept)' AS term, round(a, 3) AS estimate, round(1 - (1 - r2) * (n - 1) / (n - 2), 6) AS r2adj FROM m
+UNION ALL SELECT 1, 'l_quantity', round(b, 3), round(1 - (1 - r2) * (n - 1) / (n - 2), 6) FROM m
+UNION ALL SELECT 2, 'again', NULL, round(1 - (1 - r2) * (n - 1) / (n - 2), 6) FROM m""")
+def aliased_predictor(t: Tables) -> DataFrame:
+    """A predictor that repeats another has no estimate and costs no degree of freedom."""
+    rows = t.lineitem.withColumn("again", F.col("l_quantity") * 3 + 1)
+    fit = ols(rows, "l_extendedprice", ["l_quantity", "again"])
+    return rounded(rounded(fit.select("pos", "term", "estimate", "r2adj"), 3, "estimate"), 6, "r2adj")
+
+
+PENALTIES = [8000.0, 4000.0, 1000.0, 100.0, 1.0]
+
+
+@query("lasso_chosen_penalty", f"""
+WITH lines AS (SELECT l_orderkey % 10 AS fold, CAST(l_quantity AS DOUBLE) AS x, CAST(l_extendedprice AS DOUBLE) AS y FROM lineitem),
+grid AS (SELECT unnest({PENALTIES}) AS lam),
+train AS (SELECT f.fold, avg(x) AS mx, avg(y) AS my, stddev_pop(x) AS sd, covar_pop(x, y) / stddev_pop(x) AS c
+  FROM lines l JOIN (SELECT DISTINCT fold FROM lines) f ON l.fold <> f.fold GROUP BY f.fold),
+slopes AS (SELECT fold, lam, mx, my, sign(c) * greatest(abs(c) - lam, 0) / sd AS b FROM train, grid),
+errors AS (SELECT lam, sum((y - my - b * (x - mx)) * (y - my - b * (x - mx))) AS e FROM lines JOIN slopes USING (fold) GROUP BY lam),
+best AS (SELECT arg_min(lam, e) AS lam FROM errors),
+m AS (SELECT avg(x) AS mx, avg(y) AS my, stddev_pop(x) AS sd, covar_pop(x, y) / stddev_pop(x) AS c FROM lines),
+s AS (SELECT lam, mx, my, sign(c) * greatest(abs(c) - lam, 0) / sd AS b FROM m, best)
+SELECT 'l_quantity' AS term, round(b, 4) AS estimate, b <> 0 AS kept, lam AS lambda FROM s
+UNION ALL SELECT '(Intercept)', round(my - b * mx, 3), true, lam FROM s""")
+def lasso_chosen_penalty(t: Tables) -> DataFrame:
+    """The penalty chosen over folds that a column names."""
+    rows = t.lineitem.withColumn("fold", F.col("l_orderkey") % 10)
+    fit = lasso(rows, "l_extendedprice", ["l_quantity"], PENALTIES, fold="fold")
+    shown = F.when(F.col("pos") == 0, F.round("estimate", 3)).otherwise(F.round("estimate", 4))
+    return fit.select("term", shown.alias("estimate"), "kept", "lambda")
 
 
 @query("linear_formula", """
