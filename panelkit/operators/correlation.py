@@ -3,11 +3,12 @@
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from panelkit.functions import half_even, ratio, t_two_sided
 from panelkit.operators.moments import pair_moments
 from panelkit.operators.ordering import ranked_values
+from panelkit.session import settle
 
 
 def _t_columns(test: DataFrame) -> DataFrame:
@@ -30,12 +31,16 @@ def _t_columns(test: DataFrame) -> DataFrame:
 def cor_test(df: DataFrame, x: str, y: str) -> DataFrame:
     """Pearson correlation over the pairs where both are present: r, n, df, t, p, low, high."""
     both = F.col(x).isNotNull() & F.col(y).isNotNull()
-    return _t_columns(df.agg(_exact(F.corr(x, y)).alias("r"), F.count_if(both).alias("n")))
+    return _t_columns(df.agg(_corr(x, y).alias("r"), F.count_if(both).alias("n")))
 
 
-def _exact(r):
-    """Rounding can leave a perfect correlation a few units short of one, or beyond it."""
-    return F.when(F.abs(r) >= 1 - 1e-15, F.signum(r)).otherwise(r)
+def _corr(x: str, y: str) -> Column:
+    """Pearson's r over complete pairs, NULL if a side is constant. Rounding can leave a perfect correlation a few units
+    short of one, or beyond it."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    size = F.stddev_pop(F.when(both, F.col(x))) * F.stddev_pop(F.when(both, F.col(y)))
+    r = ratio(F.covar_pop(x, y), size)
+    return F.when(F.abs(r) >= 1 - 1e-14, F.signum(r)).otherwise(r)
 
 
 def cor_with(df: DataFrame, target: str, min_abs: float = 0.7, cols: Sequence[str] | None = None,
@@ -46,7 +51,7 @@ def cor_with(df: DataFrame, target: str, min_abs: float = 0.7, cols: Sequence[st
     """
     others = [c for c in (cols or df.columns) if c != target]
     whole = lambda c: (F.count(c) == F.count(F.lit(1))) & (F.count(target) == F.count(F.lit(1)))
-    row = df.agg(*[(F.when(whole(c), F.corr(c, target)) if strict else F.corr(c, target)).alias(c) for c in others])
+    row = df.agg(*[(F.when(whole(c), _corr(c, target)) if strict else _corr(c, target)).alias(c) for c in others])
     long = row.unpivot([], others, "variable", "r")
     return (long.where((F.abs("r") >= min_abs) & (F.col("r") != 1))
                 .orderBy(F.abs("r").desc(), "variable"))
@@ -75,10 +80,10 @@ def cor_pvalues(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return tested.select("row", "col", "var1", "var2", "r", "n", "p")
 
 
-def _mid_ranks(pairs: DataFrame, col: str, name: str) -> DataFrame:
-    """Mean position of every distinct value."""
-    ranks, _ = ranked_values(pairs, col, F.col("times"))
-    return ranks.select(F.col("value").alias(col), (F.col("upto") - (F.col("n") - 1) / 2).alias(name))
+def _mid_ranks(pairs: DataFrame, col: str, name: str) -> tuple[DataFrame, int]:
+    """Mean position of every distinct value, and the number of rows."""
+    ranks, total = ranked_values(pairs, col, F.col("times"))
+    return ranks.select(F.col("value").alias(col), (F.col("upto") - (F.col("n") - 1) / 2).alias(name)), total
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -87,10 +92,12 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     Equal pairs are counted first, so frequent values shrink before anything is sorted or joined. Mid-ranks
     average (n + 1) / 2 exactly, which makes the sums centred from the start.
     """
-    pairs = (df.select(F.col(x).alias("x"), F.col(y).alias("y")).dropna("any")
-               .groupBy("x", "y").agg(F.count(F.lit(1)).alias("times")))
-    ranked = pairs.join(_mid_ranks(pairs, "x", "rx"), "x").join(_mid_ranks(pairs, "y", "ry"), "y")
-    middle = (pairs.agg(F.sum("times")).scalar() + 1) / 2
+    # read once: both rankings and the join use the counted pairs
+    pairs = settle(df.select(F.col(x).alias("x"), F.col(y).alias("y")).dropna("any")
+                   .groupBy("x", "y").agg(F.count(F.lit(1)).alias("times")))
+    (ranks_x, total), (ranks_y, _) = _mid_ranks(pairs, "x", "rx"), _mid_ranks(pairs, "y", "ry")
+    ranked = pairs.join(ranks_x, "x").join(ranks_y, "y")
+    middle = F.lit((total + 1) / 2)
     centred = ranked.select("times", (F.col("rx") - middle).alias("a"), (F.col("ry") - middle).alias("b"))
     sums = centred.agg(F.sum("times").alias("n"), F.sum(F.expr("times * a * b")).alias("sab"),
                        F.sum(F.expr("times * a * a")).alias("saa"), F.sum(F.expr("times * b * b")).alias("sbb"))

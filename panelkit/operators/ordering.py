@@ -34,8 +34,10 @@ def _with_running(df: DataFrame, order: Sequence[Column], weight: Column, name:
         offsets.append((part, before))
         before += n
     starts = lookup(df.sparkSession, offsets, "_part long, _start long")
+    # every range stays one task of its own: hashing a few part numbers would put several of them together
+    apart = tagged.repartitionById(max(1, max((part for part, _ in offsets), default=0) + 1), F.col("_part").cast("int"))
     inside = F.sum("_w").over(Window.partitionBy("_part").orderBy("_pos"))
-    rows = (tagged.withColumn("_inside", inside).join(starts, "_part")
+    rows = (apart.withColumn("_inside", inside).join(starts, "_part")
                   .withColumn(name, F.col("_start") + F.col("_inside"))
                   .drop("_w", "_pos", "_part", "_inside", "_start"))
     return rows, before

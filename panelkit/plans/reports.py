@@ -21,6 +21,7 @@ NO_LONGER = "No longer reporting"
 NO_UPDATE_DAILY = "No updated data from usafacts.org today. Check back tomorrow."
 NO_UPDATE_WEEKLY = ("No updated data from https://usafacts.org/visualizations/coronavirus-covid-19-spread-map "
                     "this week. Check back next week.")
+HEADING = "COVID in "
 POST_PATTERN = r"by State for (\p{L}+ \d{2}, \d{4}) \("
 
 
@@ -47,12 +48,20 @@ def map_layer(panel: DataFrame, metric: str, d: dt.date | str, low: float = 0.00
 
 
 def compare(panel: DataFrame, names: Sequence[str], metric: str, name: str = "NAME") -> DataFrame:
-    """Series of the chosen counties for one metric, with chart title and axis label."""
+    """Series of the chosen counties for one metric, with heading, chart title and axis label.
+
+    The heading names one or two counties (or more) in the order in which they were chosen.
+    """
     titles = {m: (t, a) for m, t, a in METRICS}
     title, axis = titles.get(metric, titles["cases"])
     return panel.where(F.col(name).isin(list(names))).select(
         F.col(name).alias("name"), "date", F.col(metric).alias("value"),
-        F.lit(title).alias("title"), F.lit(axis).alias("axis"))
+        F.lit(comparison_heading(names)).alias("heading"), F.lit(title).alias("title"), F.lit(axis).alias("axis"))
+
+
+def comparison_heading(names: Sequence[str]) -> str:
+    """``COVID in A, XX and B, YY``."""
+    return HEADING + " and ".join(n for n in names if n)
 
 
 def _reported(total: Column) -> Column:

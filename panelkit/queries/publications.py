@@ -37,17 +37,16 @@ def map_layer_query(t: Tables) -> DataFrame:
 TITLES = {m: (a, b) for m, a, b in METRICS}
 
 
+COMPARED = ["NATION_3, EUROPE", "NATION_11, AMERICA"]
+
+
 @query("compared_counties", f"""
 WITH {I.panel_sql()}
-SELECT NAME AS name, date, round(avg_7_day_rate, 6) AS value, '{TITLES["avg_7_day_rate"][0]}' AS title,
-       '{TITLES["avg_7_day_rate"][1]}' AS axis
-FROM panel WHERE county_name IN ('NATION_3', 'NATION_11')""")
+SELECT NAME AS name, date, round(avg_7_day_rate, 6) AS value, 'COVID in {COMPARED[0]} and {COMPARED[1]}' AS heading,
+       '{TITLES["avg_7_day_rate"][0]}' AS title, '{TITLES["avg_7_day_rate"][1]}' AS axis
+FROM panel WHERE NAME IN ('{COMPARED[0]}', '{COMPARED[1]}')""")
 def compared_counties(t: Tables) -> DataFrame:
-    panel = I.full_panel(t)
-    geo = (t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
-           .where(F.col("n_name").isin("NATION_3", "NATION_11")).select(F.concat("n_name", F.lit(", "), "r_name")))
-    names = [row[0] for row in geo.collect()]
-    return rounded(compare(panel, names, "avg_7_day_rate"))
+    return rounded(compare(I.full_panel(t), COMPARED, "avg_7_day_rate"))
 
 
 def _reported_sql(column: str) -> str:
