@@ -11,7 +11,7 @@ from panelkit.operators.ordering import ranked_values
 from panelkit.session import settle
 
 
-def _t_columns(test: DataFrame) -> DataFrame:
+def tested(test: DataFrame) -> DataFrame:
     """From r and n: degrees of freedom, t, p and the 95 % interval by Fisher's z.
 
     A perfect correlation has an infinite t, p = 0 and the interval [r, r]; with n < 3 there is no test, with n = 3 no
@@ -30,8 +30,12 @@ def _t_columns(test: DataFrame) -> DataFrame:
 
 def cor_test(df: DataFrame, x: str, y: str) -> DataFrame:
     """Pearson correlation over the pairs where both are present: r, n, df, t, p, low, high."""
-    both = F.col(x).isNotNull() & F.col(y).isNotNull()
-    return _t_columns(df.agg(_corr(x, y).alias("r"), F.count_if(both).alias("n")))
+    return tested(df.agg(*correlation_of(x, y)))
+
+
+def correlation_of(x: str, y: str) -> list[Column]:
+    """Aggregates ``r`` and ``n``, the pairs where both are present."""
+    return [_corr(x, y).alias("r"), F.count_if(F.col(x).isNotNull() & F.col(y).isNotNull()).alias("n")]
 
 
 def _corr(x: str, y: str) -> Column:
@@ -76,7 +80,7 @@ def cor_matrix(df: DataFrame, cols: Sequence[str], digits: int | None = 2, stric
 def cor_pvalues(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Matrix of correlation p values over complete pairs; the diagonal is 0."""
     long = cor_matrix(df, cols, digits=None, strict=False)
-    tested = _t_columns(long).withColumn("p", F.when(F.col("row") == F.col("col"), F.lit(0.0)).otherwise(F.col("p")))
+    tested = tested(long).withColumn("p", F.when(F.col("row") == F.col("col"), F.lit(0.0)).otherwise(F.col("p")))
     return tested.select("row", "col", "var1", "var2", "r", "n", "p")
 
 
@@ -103,4 +107,4 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
                        F.sum(F.expr("times * a * a")).alias("saa"), F.sum(F.expr("times * b * b")).alias("sbb"))
     test = sums.select(ratio("sab", F.sqrt(F.col("saa") * F.col("sbb"))).alias("r"),
                        F.coalesce("n", F.lit(0)).alias("n"))
-    return _t_columns(test).drop("low", "high").withColumnRenamed("r", "rho")
+    return tested(test).drop("low", "high").withColumnRenamed("r", "rho")

@@ -50,6 +50,14 @@ def two_level_share(df: DataFrame, key: str, cat: str | Sequence[str], value: st
     return cells.withColumn("pop", pop).withColumn("prop", ratio("count", "pop"))
 
 
+def member(label: str, members: Sequence[str] | str | Callable[[Column], Column]) -> Column:
+    """Whether a label is in a list, matches a regular expression, or fulfils a predicate."""
+    c = F.col(label)
+    if callable(members):
+        return members(c)
+    return c.rlike(members) if isinstance(members, str) else c.isin(list(members))
+
+
 def category_share(df: DataFrame, key: str, label: str, members: Sequence[str] | str | Callable[[Column], Column],
                    value: str, name: str, na_rm: bool = False) -> DataFrame:
     """One row per key: the part of its total that falls on the member labels.
@@ -57,13 +65,7 @@ def category_share(df: DataFrame, key: str, label: str, members: Sequence[str] |
     ``members`` is a list of labels, a regular expression, or a predicate on the label. Share, filter, sum and
     distinct collapse into one conditional aggregate. A key without any member row is left out.
     """
-    c = F.col(label)
-    if callable(members):
-        hit = members(c)
-    elif isinstance(members, str):
-        hit = c.rlike(members)
-    else:
-        hit = c.isin(list(members))
+    hit = member(label, members)
     sums = df.groupBy(key).agg(
         _sum(value, na_rm).alias("_n"),
         F.sum(F.when(hit, F.col(value))).alias("_in"),

@@ -188,3 +188,31 @@ def test_scratch_folder_rules(spark, tmp_path):
         spark.read.parquet(path)
     with pytest.raises(ValueError):
         session.drop_scratch(spark, str(tmp_path))
+
+
+# ---------------------------------------------------------------- city reports in one pass
+
+def test_city_report_equals_the_single_studies_and_reads_once(spark, tmp_path):
+    from panelkit.plans.city import city_report, city_study
+    from panelkit.plans.specs import CITY_CATEGORIES
+
+    draw = random.Random(9)
+    tables = sorted({(s.tidy or s).table for s in CITY_CATEGORIES.values()})
+    labels = ["Estimate!!Total!!Male!!Under 6 years", "Estimate!!Total!!Female!!Bachelor's degree", "Estimate!!Total!!White alone",
+              "Estimate!!Median income", "Estimate!!Total!!Male!!65 years and over!!With health insurance coverage"]
+    names = [(f"{t}_{k:03d}", draw.choice(labels)) for t in tables for k in range(1, 40)]
+    rows = [(str(z), v, draw.choice([None, 1.0, 5.0, 9.0])) for z in range(8) for v, _ in names if draw.random() < 0.9]
+    cases = [(str(z), float(z * z % 5), 1.0) for z in range(9)]
+    for name, data, schema in (("acs", rows, "GEOID string, variable string, estimate double"),
+                               ("cases", cases, "zip string, case_rate double, death_rate double")):
+        spark.createDataFrame(data, schema).write.parquet(str(tmp_path / name))
+    acs, covid = (spark.read.parquet(str(tmp_path / n)) for n in ("acs", "cases"))
+    variables = spark.createDataFrame(names, "variable string, label string")
+    report = city_report(covid, acs, variables, None, CITY_CATEGORIES, above=4)
+    got = {r["measure"]: (r["n"], r["r"]) for r in report.collect()}
+    assert len(got) == len({s.name for s in CITY_CATEGORIES.values()})
+    for spec in list(CITY_CATEGORIES.values())[::4]:
+        one = city_study(covid, acs, variables, None, spec, above=4).first()
+        assert got[spec.name][0] == one["n"] and got[spec.name][1] == (None if one["r"] is None else pytest.approx(one["r"])), spec.name
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(" Relation [") == 2
