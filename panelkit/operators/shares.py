@@ -98,22 +98,61 @@ def subset_totals(df: DataFrame, key: str, dims: Sequence[str], value: str, na_r
             .withColumn("prop", ratio("total", "pop")))
 
 
+def _chains(dims: Sequence[str]) -> list[list[str]]:
+    """As few orders of dimensions as possible whose beginnings are all proper subsets: each size is matched with the next."""
+    level = [[s for s in map(frozenset, _subsets(dims)) if len(s) == size] for size in range(len(dims))]
+    below: dict[frozenset, frozenset] = {}
+
+    def place(part: frozenset, seen: set) -> bool:
+        for whole in level[len(part) + 1]:
+            if part < whole and whole not in seen:
+                seen.add(whole)
+                if whole not in below or place(below[whole], seen):
+                    below[whole] = part
+                    return True
+        return False
+
+    for sets in level[1:-1]:
+        for part in sets:
+            place(part, set())
+    chains = []
+    for top in (s for sets in level[1:] for s in sets if s not in below.values()):
+        order, inside = [], top
+        while inside:
+            inner = below.get(inside, frozenset())
+            order += [d for d in dims if d in inside - inner]
+            inside = inner
+        chains.append(order[::-1])
+    return chains
+
+
 def subset_cells(df: DataFrame, key: str, dims: Sequence[str], value: str, total: str = "zip_pop",
                  na_rm: bool = False) -> DataFrame:
     """One row per key and cell, with the key total and the share of every non-empty subset of the dimensions.
 
     Share columns read ``prop_<dim>_<dim>``. The windows run over cells, whose number per key is the product
-    of the dimension sizes; all of them reuse the one exchange on the key, and each sorts only by its subset.
+    of the dimension sizes; all of them reuse the one exchange on the key. Subsets are taken in chains, each the beginning
+    of the one before, so that a chain is sorted once.
     """
     cells = df.groupBy(key, *dims).agg(_sum(value, na_rm).alias("_v")).repartition(F.col(key))
 
     def over(*by: str) -> Column:
         return _window_sum("_v", Window.partitionBy(key, *by), na_rm)
 
-    out = cells.withColumn(total, over()).withColumn("prop_" + "_".join(dims), ratio("_v", total))
-    for subset in _subsets(dims)[1:-1]:
-        out = out.withColumn("prop_" + "_".join(subset), ratio(over(*subset), total))
-    return out.drop("_v")
+    # sorted once by the whole chain, the rows are in order for all its beginnings, and for the key alone
+    out = cells
+    for chain in _chains(dims):
+        out = out.sortWithinPartitions(key, *chain)
+        if total not in out.columns:
+            out = out.withColumn(total, over())
+        for size in range(1, len(chain) + 1):
+            name = "prop_" + "_".join(d for d in dims if d in chain[:size])
+            if name not in out.columns:
+                out = out.withColumn(name, ratio(over(*chain[:size]), total))
+    if total not in out.columns:
+        out = out.withColumn(total, over())
+    out = out.withColumn("prop_" + "_".join(dims), ratio("_v", total))
+    return out.select(key, *dims, total, "prop_" + "_".join(dims), *["prop_" + "_".join(s) for s in _subsets(dims)[1:-1]])
 
 
 def subset_shares(df: DataFrame, key: str, dims: Sequence[str], value: str, total: str = "zip_pop",

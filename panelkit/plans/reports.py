@@ -22,6 +22,8 @@ NO_UPDATE_DAILY = "No updated data from usafacts.org today. Check back tomorrow.
 NO_UPDATE_WEEKLY = ("No updated data from https://usafacts.org/visualizations/coronavirus-covid-19-spread-map "
                     "this week. Check back next week.")
 HEADING = "COVID in "
+POPUP = (("Cases", "cases", 0), ("Deaths", "deaths", 0), ("Case Rate", "case_rate", 2), ("Death Rate", "death_rate", 2),
+         ("New Cases", "new_cases", 0), ("7 Day Average", "moving_7_day_avg", 2), ("7 Day Avg Rate", "avg_7_day_rate", 2))
 POST_PATTERN = r"by State for (\p{L}+ \d{2}, \d{4}) \("
 
 
@@ -29,9 +31,7 @@ def popup(c_date: str = "date") -> Column:
     """The text shown when a county is touched."""
     parts = [F.lit("<strong>"), F.col("county_name"), F.lit(", "), F.col("state"), F.lit("</strong><br /><strong>"),
              short_date(c_date), F.lit("</strong>")]
-    for title, column, digits in (("Cases", "cases", 0), ("Deaths", "deaths", 0), ("Case Rate", "case_rate", 2),
-                                  ("Death Rate", "death_rate", 2), ("New Cases", "new_cases", 0),
-                                  ("7 Day Average", "moving_7_day_avg", 2), ("7 Day Avg Rate", "avg_7_day_rate", 2)):
+    for title, column, digits in POPUP:
         parts += [F.lit(f"<br /> {title}: "), number_text(column, digits)]
     return F.concat(*parts)
 

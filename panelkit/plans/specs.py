@@ -67,7 +67,7 @@ class TidySpec:
     fill: Mapping[str, str] = field(default_factory=dict)
 
 
-# The county tables of the dashboard.
+# The county tables of the dashboard, with the published codes and labels.
 CENSUS_TABLES = {
     "income": TidySpec("B19101", drop=["B19101_001"], remove=(), last=True),
     "insurance": TidySpec("B27001", depth_from=4, into=("Sex", "Age", "HI_Coverage"),
@@ -145,6 +145,7 @@ CITY_CATEGORIES = {
 }
 
 
+# The ancestry table.
 ANCESTRY = TidySpec("B04006", drop=["B04006_001"], remove=(), last=True)
 
 
@@ -159,6 +160,7 @@ class FeatureSpec:
     na_rm: bool = False
 
 
+# Published age labels.
 _MINOR = ["Under 5 years", "5 to 9 years", "10 to 14 years", "15 to 17 years"]
 
 # The blocks of the 34-predictor table, with the feature names of its dictionary.

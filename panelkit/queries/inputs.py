@@ -160,6 +160,7 @@ def wide_file(counts: DataFrame, value: str, days: list[dt.date]) -> DataFrame:
 
 # ---------------------------------------------------------------- census rows
 
+# Published labels.
 SEXES = ["Male", "Female"]
 AGES = ["Under 6 years", "6 to 18 years", "19 to 25 years", "26 to 34 years", "35 to 44 years"]
 COVERAGE = ["With health insurance coverage", "No health insurance coverage"]

@@ -216,3 +216,14 @@ def test_city_report_equals_the_single_studies_and_reads_once(spark, tmp_path):
         assert got[spec.name][0] == one["n"] and got[spec.name][1] == (None if one["r"] is None else pytest.approx(one["r"])), spec.name
     plan = report._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(" Relation [") == 2
+
+
+def test_subset_shares_sort_once_for_each_chain(spark):
+    from panelkit.operators.shares import _chains, subset_cells
+
+    for dims in (["a"], ["a", "b"], ["a", "b", "c"], ["a", "b", "c", "d"]):
+        found = {frozenset(c[:k]) for c in _chains(dims) for k in range(1, len(c) + 1)}
+        assert len(found) == 2 ** len(dims) - 2
+    df = spark.range(20).select((F.col("id") % 2).alias("k"), *[(F.col("id") % n).alias(f"d{n}") for n in (2, 3, 5)], F.lit(1.0).alias("v"))
+    plan = subset_cells(df, "k", ["d2", "d3", "d5"], "v", "total")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("+- Sort [") <= 3
