@@ -80,8 +80,8 @@ def cor_matrix(df: DataFrame, cols: Sequence[str], digits: int | None = 2, stric
 def cor_pvalues(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Matrix of correlation p values over complete pairs; the diagonal is 0."""
     long = cor_matrix(df, cols, digits=None, strict=False)
-    tested = tested(long).withColumn("p", F.when(F.col("row") == F.col("col"), F.lit(0.0)).otherwise(F.col("p")))
-    return tested.select("row", "col", "var1", "var2", "r", "n", "p")
+    test = tested(long).withColumn("p", F.when(F.col("row") == F.col("col"), F.lit(0.0)).otherwise(F.col("p")))
+    return test.select("row", "col", "var1", "var2", "r", "n", "p")
 
 
 def _mid_ranks(pairs: DataFrame, col: str, name: str) -> tuple[DataFrame, int]:
