@@ -1,26 +1,31 @@
 """LM scoring: prediction by partial matching over bytes, pretrained on the corpus, beside a smoothed unigram base.
 
-Spark counts every run of ``ORDER`` bytes and the symbol behind it (a byte, or the text's end) over all training texts. Of
-each order the contexts with at least 1/``CONTEXTS`` of all places are kept, so there are at most ``CONTEXTS`` of an order,
-however large the corpus is; their counts cover all of it. A context gives a symbol it has seen c / (n + d), with n places
-and d different symbols, and leaves d / (n + d) to the next shorter context, from which the symbols seen are excluded.
-The shortest one leaves the rest to all symbols alike. So the chances of all texts add up to one.
+Spark counts every run of ``ORDER`` bytes and the symbol behind it (a byte, or the text's end) over all training texts, and
+of every shorter context likewise; none is left out. A context gives a symbol it has seen c / (n + d), with n places and d
+different symbols, and leaves d / (n + d) to the next shorter context, from which the symbols seen are excluded. The
+shortest one leaves the rest to all symbols alike. So the chances of all texts add up to one.
+
+The chances are tables, joined to the different runs of each text. ``FAST`` of the most frequent runs are broadcast with
+their chances, so that only the others are joined; how many those are changes no result.
 """
 
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from panelkit.llm.common import flat, map_texts, ship, steps
 from panelkit.llm.toxicity import Numbers
 from panelkit.session import settle
 
-ORDER, CONTEXTS = 6, 200_000
+ORDER = 6
+#: Runs whose chances are broadcast, at most; all others are joined.
+FAST = 1 << 21
 #: Bytes UTF-8 never uses, for the place before a text and the end behind it; all symbols are 256 bytes and the end.
 BEGIN, END, SYMBOLS = 0xFE, 0xFF, 257
 #: A word with at least this share of all tokens is broadcast; there are at most that many. The others are joined.
@@ -44,13 +49,19 @@ def stream(texts: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return out, np.sort(np.concatenate([place, ends])), offsets[:-1] + np.arange(n)
 
 
+def codes(out: np.ndarray, place: np.ndarray, order: int) -> np.ndarray:
+    """The run of ``order`` bytes and the symbol at each place, as a number with the symbol lowest."""
+    code = np.zeros(max(len(out) - order, 0), np.int64)
+    for first in range(order + 1):
+        code <<= 8
+        code |= out[first:first + len(code)]
+    return code[place - order]
+
+
 def grams(texts: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
     """The different runs of ``order`` bytes and a symbol, as numbers with the symbol lowest, and their counts."""
     out, place, _ = stream(texts, order)
-    code = np.zeros(len(place), np.int64)
-    for back in range(order, -1, -1):
-        code = code << 8 | out[place - back]
-    return np.unique(code, return_counts=True)
+    return np.unique(codes(out, place, order), return_counts=True)
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +96,9 @@ def gram_counts(df: DataFrame, text: str = "text", order: int = ORDER) -> DataFr
 
 @dataclass(frozen=True)
 class Trie:
-    """``child[node, older]`` is the node with one more byte in front (-1: none), ``log10[node, symbol]`` the chance of a symbol
+    """The same model in memory, for a small corpus; ``scored`` does not use it.
+
+    ``child[node, older]`` is the node with one more byte in front (-1: none), ``log10[node, symbol]`` the chance of a symbol
     behind a node; ``older`` and ``symbol`` number the bytes, the last column of ``log10`` is any symbol never seen."""
 
     order: int
@@ -129,9 +142,9 @@ def trie(length: np.ndarray, context: np.ndarray, symbols: list[np.ndarray], cou
     return Trie(order, older, symbol, child, np.log10(np.maximum(chance, 1e-300)).astype(np.float32))
 
 
-def learn(df: DataFrame, text: str = "text", order: int = ORDER, keep: int = CONTEXTS) -> Trie:
-    """Count all texts of ``df`` and build the trie of the contexts that are frequent enough; an empty table gives a trie
-    that finds all symbols equally likely."""
+def learn(df: DataFrame, text: str = "text", order: int = ORDER, keep: int = 200_000) -> Trie:
+    """Count all texts of ``df`` and build the trie of the contexts with at least 1/``keep`` of all places; an empty table
+    gives a trie that finds all symbols equally likely."""
     counted = settle(gram_counts(df, text, order))
     places = counted.agg(F.sum("n")).first()[0] or 0
     context, sym = F.shiftright("gram", 8), F.col("gram").bitwiseAND(F.lit(255).cast("long")).cast("int")
@@ -167,6 +180,116 @@ def log_chance(model: Trie, texts: pa.Array) -> np.ndarray:
     return np.add.reduceat(result.astype(np.float64), begin)
 
 
+def _counted(grams: DataFrame) -> DataFrame:
+    """``(gram, n, places, kinds)``: beside each run's count the places and different symbols of its context."""
+    context = grams.groupBy(F.shiftright("gram", 8).alias("context")).agg(
+        F.sum("n").alias("places"), F.count(F.lit(1)).alias("kinds"), F.collect_list(F.struct("gram", "n")).alias("all"))
+    return context.select("places", "kinds", F.explode("all").alias("g")).select("g.gram", "g.n", "places", "kinds")
+
+
+def orders(counts: DataFrame, order: int = ORDER) -> list[DataFrame]:
+    """For each length of context from 0 to ``order`` its runs, from the ``(gram, n)`` of the longest."""
+    out = [settle(_counted(counts))]
+    for k in range(order - 1, -1, -1):
+        shorter = out[0].groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1).cast("long")).alias("gram"))
+        out.insert(0, settle(_counted(shorter.agg(F.sum("n").alias("n")))))
+    return out
+
+
+def _seen() -> Column:
+    """log10 of the chance of a run that was seen in training."""
+    return F.log10(F.col("n") / (F.col("places") + F.col("kinds")))
+
+
+def _escapes(longer: DataFrame, shorter: DataFrame, k: int, needed: DataFrame) -> DataFrame:
+    """``(context, escape)`` for the seen ones of the ``needed`` contexts of ``k`` bytes: log10 of what the context leaves to
+    the next shorter one, over the share that one gives to symbols not excluded."""
+    suffix = F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1).cast("long"))
+    mine = longer.withColumn("context", F.shiftright("gram", 8)).join(needed, "context", "left_semi").withColumn("suffix", suffix)
+    below = shorter.select(F.col("gram").alias("suffix"), F.col("n").alias("m"), (F.col("places") + F.col("kinds")).alias("under"))
+    # every run seen behind a context was also seen behind the shorter one
+    sums = mine.join(below, "suffix").groupBy("context").agg(
+        F.first("places").alias("places"), F.first("kinds").alias("kinds"), F.first("under").alias("under"), F.sum("m").alias("m"))
+    return sums.select("context", F.log10(F.col("kinds") / (F.col("places") + F.col("kinds")) * F.col("under")
+                                          / (F.col("under") - F.col("m"))).alias("escape"))
+
+
+def unseen_chances(grams: DataFrame, model: list[DataFrame]) -> DataFrame:
+    """``(gram, log)`` for different runs that the longest context never saw: the escapes down to the context that did."""
+    # the tables of the shortest contexts have at most 65,536 rows
+    small = lambda df, k: F.broadcast(df) if k <= 2 else df
+    state = settle(grams.select(F.col("gram").alias("asked"), "gram", F.lit(0.0).alias("log")))
+    found = []
+    for k in range(len(model) - 1, 0, -1):
+        state = state.withColumn("context", F.shiftright("gram", 8))
+        escapes = _escapes(model[k], model[k - 1], k, state.select("context").distinct())
+        left = state.join(small(escapes, k), "context", "left").select(
+            "asked", F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1).cast("long")).alias("gram"),
+            (F.col("log") + F.coalesce("escape", F.lit(0.0))).alias("log"))
+        met = settle(left.join(small(model[k - 1], k), "gram", "left"))
+        found.append(met.filter("n IS NOT NULL").select(F.col("asked").alias("gram"), (F.col("log") + _seen()).alias("log")))
+        state = met.filter("n IS NULL").select("asked", "gram", "log")
+    root = model[0].first()
+    rest = 1 / SYMBOLS if root is None else root["kinds"] / (root["places"] + root["kinds"]) / (SYMBOLS - root["kinds"])
+    found.append(state.select(F.col("asked").alias("gram"), (F.col("log") + math.log10(rest)).alias("log")))
+    return reduce(DataFrame.unionByName, found)
+
+
+class Frequent:
+    """Chances by run, in two hash tables without chains; a run that finds both its places taken is not held."""
+
+    TURNS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+
+    def __init__(self, gram: np.ndarray, log: np.ndarray):
+        self.gram, self.log = np.append(gram, -1), np.append(log, np.nan)
+        self.bits = max(4, len(gram).bit_length() + 1)
+        self.slots = []
+        left = np.arange(len(gram), dtype=np.int32)
+        for turn in self.TURNS:
+            slot = np.full(1 << self.bits, len(gram), np.int32)
+            at = self._place(gram[left], turn)
+            slot[at] = left
+            left = left[slot[at] != left]
+            self.slots.append(slot)
+
+    def _place(self, gram: np.ndarray, turn: np.uint64) -> np.ndarray:
+        return (gram.astype(np.uint64) * turn >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def chances(self, gram: np.ndarray) -> np.ndarray:
+        """log10 of the chance of each run, not a number if it is not held."""
+        out = np.empty(len(gram))
+        for first in range(0, len(gram), 1 << 16):
+            part = gram[first:first + (1 << 16)]
+            at = self.slots[0].take(self._place(part, self.TURNS[0]))
+            missed = np.flatnonzero(self.gram.take(at) != part)
+            if len(missed):
+                other = self.slots[1].take(self._place(part[missed], self.TURNS[1]))
+                at[missed] = np.where(self.gram.take(other) == part[missed], other, len(self.gram) - 1)
+            out[first:first + len(part)] = self.log.take(at)
+        return out
+
+
+def frequent_runs(longest: DataFrame) -> Frequent:
+    """The most frequent runs, at most ``FAST``: from the smallest eighth of a power of two on that leaves no more."""
+    eighth = F.floor(F.log2("n") * 8)
+    held, least = 0, None
+    for r in sorted(longest.groupBy(eighth.alias("e")).count().collect(), key=lambda r: -r["e"]):
+        held += r["count"]
+        if held > FAST:
+            break
+        least = r["e"]
+    if least is None:
+        return Frequent(np.zeros(0, np.int64), np.zeros(0))
+    rows = longest.filter(eighth >= least).select("gram", _seen().alias("log")).toArrow()  # at most FAST rows
+    return Frequent(rows["gram"].to_numpy(), rows["log"].to_numpy())
+
+
+def _lists(row: np.ndarray, rows: int, **columns: pa.Array) -> pa.ListArray:
+    """Structs of ``columns`` as a list for each of ``rows`` rows; ``row`` is sorted."""
+    borders = np.searchsorted(row, np.arange(rows + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(borders), pa.StructArray.from_arrays(list(columns.values()), list(columns)))
+
+
 def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
     """``(word, n)`` over all texts: A-Z lowered, cut at white space."""
 
@@ -195,7 +318,8 @@ def scored(df: DataFrame, learnt: DataFrame, key: str = "doc_id", keep: tuple[st
     rows are scored alike, each on its own.
     """
     spark = df.sparkSession
-    model = spark.sparkContext.broadcast(learn(learnt, text))  # bounded by the kept contexts
+    model = orders(gram_counts(learnt, text))
+    runs = spark.sparkContext.broadcast(frequent_runs(model[-1]))
     counts = settle(word_counts(learnt, text))
     texts = learnt.count()
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
@@ -219,22 +343,40 @@ def scored(df: DataFrame, learnt: DataFrame, key: str = "doc_id", keep: tuple[st
         base = np.bincount(row[known], worth[ids[known]], len(found)) if len(words) else np.zeros(len(found))
         pair, count = np.unique(row[~known] * max(len(words), 1) + ids[~known], return_counts=True)
         of_row, of_word = pair // max(len(words), 1), pair % max(len(words), 1)
-        rare = pa.StructArray.from_arrays([pa.array(words, pa.binary()).take(pa.array(of_word)), pa.array(count.astype(np.int64))], ["word", "n"])
-        borders = np.searchsorted(of_row, np.arange(len(found) + 1)).astype(np.int32)
+        rare = _lists(of_row, len(found), word=pa.array(words, pa.binary()).take(pa.array(of_word)), n=pa.array(count.astype(np.int64)))
+        out, place, begin = stream(column, ORDER)
+        code = codes(out, place, ORDER)
+        log = runs.value.chances(code)
+        met = ~np.isnan(log)
+        score = np.add.reduceat(np.where(met, log, 0), begin) if len(begin) else np.zeros(0)
+        missed = np.flatnonzero(~met)
+        different, back = np.unique(code[missed], return_inverse=True)
+        owner = np.searchsorted(begin, missed, "right") - 1
+        pair, times = np.unique(owner * max(len(different), 1) + back.reshape(-1), return_counts=True)
+        of_text, of_run = pair // max(len(different), 1), pair % max(len(different), 1)
+        others = _lists(of_text, len(found), gram=pa.array(different[of_run]), n=pa.array(times.astype(np.int64)))
         return {"_tokens": sizes + 1, "_known": np.bincount(row[known], minlength=len(found)), "_base": base + end,
-                "_score": log_chance(model.value, column), "_rare": pa.ListArray.from_arrays(pa.array(borders), rare)}
+                "_score": score, "_rare": rare, "_runs": others}
 
-    added = "_tokens long, _known long, _base double, _score double, _rare array<struct<word:binary,n:long>>"
+    added = ("_tokens long, _known long, _base double, _score double, _rare array<struct<word:binary,n:long>>, "
+             "_runs array<struct<gram:long,n:long>>")
     kept = list(dict.fromkeys([key, *keep]))
     # rows get a number of their own for the way back; written, it stays the same
     rows = settle(map_texts(df, text, kept, added, work).withColumn("_row", F.monotonically_increasing_id()))
     rare = rows.select("_row", F.explode("_rare").alias("r")).select("_row", "r.word", F.col("r.n").alias("times"))
     worth = F.log10((F.coalesce("n", F.lit(0)) + SMOOTH) / under)
-    back = rare.join(counts, "word", "left").groupBy("_row").agg(
-        F.sum(F.col("times") * worth).alias("_more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("_seen"))
     zero = F.lit(0).cast("long")
-    return rows.drop("_rare").join(back, "_row", "left").select(
+    of_words = rare.join(counts, "word", "left").select(
+        "_row", (F.col("times") * worth).alias("more"), F.when(F.col("n") > 0, F.col("times")).otherwise(zero).alias("seen"), F.lit(0.0).alias("log"))
+    joined = rows.select("_row", F.explode("_runs").alias("r")).select("_row", "r.gram", F.col("r.n").alias("times"))
+    unseen = joined.select("gram").distinct().join(model[-1], "gram", "left_anti")
+    chances = model[-1].select("gram", _seen().alias("log")).unionByName(unseen_chances(unseen, model))
+    of_runs = joined.join(chances, "gram").select("_row", F.lit(0.0).alias("more"), zero.alias("seen"), (F.col("times") * F.col("log")).alias("log"))
+    back = of_words.unionByName(of_runs).groupBy("_row").agg(
+        F.sum("more").alias("_more"), F.sum("seen").alias("_seen"), F.sum("log").alias("_log"))
+    score = F.col("_score") + F.coalesce("_log", F.lit(0.0))
+    return rows.drop("_rare", "_runs").join(back, "_row", "left").select(
         *kept, F.col("_tokens").alias("n_tokens"),
         (F.col("_known") + F.coalesce("_seen", zero) + int(texts > 0)).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("_base") + F.coalesce("_more", F.lit(0.0))).alias("base_score"), F.col("_score").alias("score"),
-        (F.col("_score") * -math.log2(10)).alias("code_bits"))
+        (F.col("_base") + F.coalesce("_more", F.lit(0.0))).alias("base_score"), score.alias("score"),
+        (score * -math.log2(10)).alias("code_bits"))

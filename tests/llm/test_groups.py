@@ -148,6 +148,20 @@ def test_exclusion_by_hand(spark):
     assert ppm.log_chance(model, pa.array(["a"]))[0] == pytest.approx(want, abs=1e-5)
 
 
+def test_scores_use_every_context_of_the_training_texts(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(300)
+    extra = spark.createDataFrame([(-1, "zqxjk vwpfz once"), (-2, "Ωmega zqxjk"), (-3, ""), (-4, None)], "doc_id long, text string")
+    docs = docs.unionByName(extra).localCheckpoint()
+    learnt = docs.filter("doc_id % 3 != 0")
+    whole = ppm.learn(learnt, keep=1 << 60)
+    rows = docs.collect()
+    want = dict(zip([r["doc_id"] for r in rows], ppm.log_chance(whole, pa.array([r["text"] for r in rows], pa.string()))))
+    for fast in (0, 5000, 1 << 21):                   # all joined, most joined, all broadcast
+        monkeypatch.setattr(ppm, "FAST", fast)
+        got = {r["doc_id"]: r["score"] for r in ppm.scored(docs, learnt).collect()}
+        assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], rel=1e-5) for i in want)
+
+
 def test_scores_equal_plain_counting(spark, odd_docs, no_docs, monkeypatch):
     monkeypatch.setattr(ppm, "FREQUENT", 20)
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
