@@ -95,6 +95,24 @@ def test_similar_texts_are_grouped_and_others_are_not(spark):
     assert all(got[100 + i] == i and got[i] == i and got[200 + i] == 200 + i for i in range(20))
 
 
+def test_similar_texts_equal_all_pairs_around_the_bound(spark):
+    draw = random.Random(8)
+    rows, key = [], 0
+    for changed in (5, 13, 14, 15, 16, 17, 18, 19, 20, 22, 24, 26, 30, 34):   # the similarity is (150 - k) / (150 + k)
+        for _ in range(12):
+            base = [f"w{draw.randrange(10 ** 6)}" for _ in range(154)]
+            rows += [(key, " ".join(base)), (key + 1, " ".join(base[:154 - changed] + [f"x{draw.randrange(10 ** 6)}" for _ in range(changed)]))]
+            key += 2
+    rows += [(key, "a b c d e f g h i"), (key + 1, "a b c d e f g h"), (key + 2, "a b c d e f g")]   # 4 of 5, and 3 of 4
+    sets = {k: set(simhash.shingle_hashes(t.encode(), 5)) for k, t in rows}
+    alike = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = {k: k for k in sets}
+    for a, b in alike:                                # every text has one partner at most
+        want[b] = want[a]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and 30 < len(alike) < 120
+
+
 # ---------------------------------------------------------------- vectors
 
 def test_range_links_equal_all_pairs(spark, monkeypatch):
