@@ -6,20 +6,24 @@ SimHashed. Two fingerprints within ``RADIUS`` bits differ in at most two bits in
 are indexed under all bytes within two bits of theirs, and every such pair is found. Pairs within the radius are then
 compared exactly: the sum of the smaller over the sum of the larger multiplicities of all shingles of window and item.
 
+An item of more than ``PART`` words is not cut either, but its windows are not written out: a run of places in a document
+counts for the windows that begin in an interval, and running sums over the intervals' borders give the shared shingles of
+every window at once, without fingerprints.
+
 Benchmarks are broadcast in blocks of at most ``BLOCK`` shingles; a larger one takes several passes over the documents.
 """
 
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelkit.session import settle
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Two bits in each of eight bytes, and all but one of them more: 8 * 3 - 1.
 RADIUS, NEAR = 23, 2
-#: Shingles of benchmark items broadcast at once, and words of an item in one part: a longer one counts as several.
+#: Shingles of benchmark items broadcast at once, and words of an item whose windows are written out and fingerprinted.
 BLOCK, PART = 500_000, 4096
 SPACES = " \t\n\u000b\f\r"
 
@@ -92,16 +96,16 @@ def _first_near(differ: Column) -> Column:
 
 
 def items(benchmark: DataFrame, text: str = "text", item: str = "item_id") -> DataFrame:
-    """``(item_id, part, size, n, shingles, print)``: ``size`` words in a shingle (five, or all of a shorter item)."""
+    """``(item_id, part, size, n, shingles, print)``: ``part`` numbers the rows, ``size`` words are in a shingle (five, or all of
+    a shorter item); items of more than ``PART`` words have no fingerprint."""
     some = benchmark.select(F.col(f"`{item}`").alias("item_id"), words(F.col(f"`{text}`")).alias("w")).filter(F.size("w") > 0)
-    begin = F.sequence(F.lit(0), F.floor((F.size("w") - 1) / PART))
-    parts = some.select("item_id", F.posexplode(F.transform(begin, lambda i: F.slice(
-        "w", (i * PART + 1).cast("int"), PART))).alias("part", "w"))
+    parts = some.withColumn("part", F.monotonically_increasing_id())
     sized = parts.withColumn("size", F.least(F.size("w"), F.lit(SHINGLE)))
     made = sized.withColumn("shingles", reduce(
         lambda out, k: out.when(F.col("size") == k, shingles(F.col("w"), k)), range(2, SHINGLE + 1),
         F.when(F.col("size") == 1, F.col("w"))))
-    return made.select("item_id", "part", "size", F.size("shingles").alias("n"), "shingles", simhash(F.col("shingles")).alias("print"))
+    return made.select("item_id", "part", "size", F.size("shingles").alias("n"), "shingles",
+                       F.when(F.size("w") <= PART, simhash(F.col("shingles"))).alias("print"))
 
 
 def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -133,14 +137,40 @@ def _in_block(documents: DataFrame, some: DataFrame, size: int) -> DataFrame:
     differ = F.col("p").bitwiseXOR(F.col("print"))
     pairs = asked.join(F.broadcast(index), ["n", "byte", "value"]).filter(
         (F.bit_count(differ) <= RADIUS) & (_first_near(differ) == F.col("byte")))
-    mine = some.select("item_id", "part", numbered(F.col("shingles")).alias("marks"))
+    mine = some.select("part", numbered(F.col("shingles")).alias("marks"))
     pairs = _once(pairs.select("doc_id", "item_id", "part", "place", "n", "w"), "s", shingles(F.col("w"), size))
-    both = pairs.join(F.broadcast(mine), ["item_id", "part"])
+    both = pairs.join(F.broadcast(mine), "part")
     exact = _once(both, "shared", F.size(F.array_intersect(numbered(F.col("s")), F.col("marks")))).withColumn(
         "similarity", F.col("shared") / (F.size("s") + F.col("n") - F.col("shared")))
     return exact.filter(F.col("similarity") >= SIMILARITY).select("doc_id", "item_id", "place", "similarity")
 
 
+def _in_long(documents: DataFrame, some: DataFrame) -> DataFrame:
+    """Matches of long items, small enough to broadcast. Of an item's ``c`` copies of a shingle, a window counts the place of
+    one in the document if the ``c``-th place of it before that lies before the window."""
+    split = lambda c: [F.get(F.split(c, " "), F.lit(k)) for k in range(SHINGLE)]
+    own = some.select("part", "item_id", "n", F.explode("shingles").alias("s")).groupBy("part", "item_id", "n", "s").agg(
+        F.count(F.lit(1)).cast("int").alias("c")).withColumn("hash", F.xxhash64(*split("s")))
+    cut = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", words(F.col("text")).alias("w"))
+    at = cut.select("row", "doc_id", "w", F.explode(F.when(F.size("w") >= SHINGLE, F.sequence(F.lit(0), F.size("w") - SHINGLE))).alias("place"))
+    met = at.withColumn("hash", F.xxhash64(*[F.get("w", F.col("place") + k) for k in range(SHINGLE)])).join(F.broadcast(own), "hash")
+    same = F.array_join(F.slice("w", F.col("place") + 1, SHINGLE), " ") == F.col("s")
+    total = (F.size("w") - (SHINGLE - 1)).alias("total")
+    pair = ["row", "doc_id", "part", "item_id", "n", "total"]
+    found = met.filter(same).select("row", "doc_id", "part", "item_id", "n", total, "s", "c", "place")
+    places = found.groupBy(*pair, "s", "c").agg(F.sort_array(F.collect_list("place")).alias("places")).select(
+        *pair, "c", "places", F.posexplode("places").alias("i", "q"))
+    first = F.greatest(F.col("q") - F.col("n") + 1, F.coalesce(F.get("places", F.col("i") - F.col("c")), F.lit(-1)) + 1)
+    mark = lambda at, step, start: F.struct(at.alias("place"), F.lit(step).alias("step"), F.lit(start).alias("start"))
+    marks = F.explode(F.array(mark(first, 1, 0), mark(F.col("q") + 1, -1, 0), mark(F.col("q"), 0, 1))).alias("m")
+    steps = places.select(*pair, marks).groupBy(*pair, "m.place").agg(F.sum("m.step").alias("step"), F.max("m.start").alias("start"))
+    before = Window.partitionBy(*pair).orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    shared = steps.withColumn("shared", F.sum("step").over(before)).filter("start = 1")
+    length = F.least(F.col("n"), F.col("total") - F.col("place"))
+    return shared.withColumn("similarity", F.col("shared") / (length + F.col("n") - F.col("shared"))).filter(
+        F.col("similarity") >= SIMILARITY).select("doc_id", "item_id", "place", "similarity")
+
+
 def contaminated(documents: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text",
                  item: str = "item_id", item_text: str = "text") -> DataFrame:
     """``(doc_id, item_id, similarity, first_word, n_windows)``: one row per document and item with a window of at least
@@ -151,13 +181,14 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, doc: str = "doc_id"
     """
     rows = documents.select(F.col(f"`{doc}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     known = settle(items(benchmark, item_text, item))
-    load = {r["size"]: r["total"] for r in known.groupBy("size").agg(F.sum("n").alias("total")).collect()}
+    long = F.col("print").isNull()
+    loads = known.groupBy("size", long.alias("long")).agg(F.sum("n").alias("total")).collect()
     found = []
-    for size, total in sorted(load.items()):
+    for size, is_long, total in sorted((r["size"], r["long"], r["total"]) for r in loads):
         blocks = -(-total // BLOCK)
         for block in range(blocks):
-            mine = (F.col("size") == size) & (F.pmod(F.xxhash64("item_id", "part"), F.lit(blocks)) == block)
-            found.append(_in_block(rows, known.filter(mine), size))
+            mine = known.filter((F.col("size") == size) & (long == is_long) & (F.pmod(F.xxhash64("part"), F.lit(blocks)) == block))
+            found.append(_in_long(rows, mine) if is_long else _in_block(rows, mine, size))
     if not found:
         return rows.crossJoin(known.limit(0)).select("doc_id", "item_id", F.lit(0.0).alias("similarity"),
                                                      F.lit(0).alias("first_word"), F.lit(0).cast("long").alias("n_windows"))

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from panelkit.llm import components, ppm, simhash, vectors
+from panelkit.llm import components, decontaminate, ppm, simhash, vectors
 from panelkit.llm.decontaminate import contaminated
 from panelkit.llm.queries import QUERIES
 
@@ -220,6 +220,40 @@ def test_contaminated_finds_passages_and_leaves_others(spark, odd_docs, no_docs)
     assert contaminated(no_docs, bench).collect() == contaminated(docs, bench.limit(0)).collect() == []
 
 
+def test_long_items_are_compared_whole(spark, monkeypatch):
+    item = [f"i{k}" for k in range(4101)]
+    rows = [(1, "so " + " ".join(item[4096:]) + " it ends"), (2, "a " + " ".join(item[:4096])), (3, "x y " + " ".join(item) + " z"),
+            (4, " ".join(item[:3000])), (5, "p " + " ".join(item[:3900] + ["q"] * 200))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(10, " ".join(item))], "item_id long, text string")
+    got = {r["doc_id"]: r for r in contaminated(docs, bench).collect()}
+    assert set(got) == {2, 3, 5} and got[3]["similarity"] == 1 and got[3]["first_word"] == 2
+    assert got[2]["similarity"] == pytest.approx(4092 / 4097) and got[5]["first_word"] == 1
+    # counting by running sums equals the windows written out, repeated shingles and cut windows included
+    draw = random.Random(4)
+    passages = [draw.choices("abcd", k=60) for _ in range(6)] + [["r"] * 50 + list("stuvwxyz") * 4]
+    texts = [draw.choices("abcd", k=draw.randrange(30)) + p[:draw.randrange(45, 70)] + draw.choices("abc", k=draw.randrange(30))
+             for p in passages for _ in range(6)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(p)) for i, p in enumerate(passages)], "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "PART", 10)
+    counted = {(r["doc_id"], r["item_id"]): (round(r["similarity"], 9), r["first_word"], r["n_windows"]) for r in contaminated(docs, bench).collect()}
+    numbered = lambda s: {(g, s[:k].count(g)) for k, g in enumerate(s)}
+    fives = lambda t: [tuple(t[k:k + 5]) for k in range(len(t) - 4)]
+    want = {}
+    for d, t in enumerate(texts):
+        for b, p in enumerate(passages):
+            all_, own = fives(t), fives(p)
+            hits = []
+            for k in (k for k, g in enumerate(all_) if g in own):
+                window, marks = numbered(all_[k:k + len(own)]), numbered(own)
+                hits.append((len(window & marks) / len(window | marks), -k))
+            hits = [h for h in hits if h[0] >= 0.8]
+            if hits:
+                want[d, b] = (round(max(hits)[0], 9), -max(hits)[1], len(hits))
+    assert counted == want and len(want) > 20
+
+
 # ---------------------------------------------------------------- pipeline
 
 def test_pipeline_stages_return_documents_and_survive_odd_rows(spark, odd_docs, no_docs):
