@@ -27,6 +27,12 @@ FORMATS = {
 ANY = "|".join(p.replace("([./])", rf"(?<sep>[./])").replace(r"\1", r"\k<sep>") for p in FORMATS.values())
 
 
+#: Digits with spaces and hyphens between them, in which card numbers are looked for group by group.
+RUN = r"(?<!\d)\d[\d -]{11,}\d(?!\d)"
+#: Groupings of card numbers that come before all others.
+GROUPINGS = ["4,4,4,4", "4,6,5", "4,6,4", "16"]
+
+
 def _digest(key: str, label: Column, turn: Column, half: Column, size: Column) -> Column:
     message = F.concat_ws("|", F.lit(key), label, turn.cast("string"), half.cast("string"))
     inner = F.sha2(message, 256)
@@ -181,6 +187,52 @@ def _alone(pattern: str) -> str:
     return pattern[begin:end]
 
 
+def _pieces(text: Column) -> Column:
+    """``text`` as an array of ``(value, found)``, where the found ones are the card numbers in its runs of digits."""
+    plain = lambda c: F.array(F.struct(c.alias("value"), F.lit(False).alias("found")))
+    cut = F.flatten(F.zip_with(F.split(text, RUN, -1), F.regexp_extract_all(text, F.lit(RUN), F.lit(0)), lambda gap, run: F.when(
+        run.isNull(), plain(gap)).otherwise(F.concat(plain(gap), _cards(run)))))
+    return F.when(text.rlike(RUN), cut).otherwise(plain(text))
+
+
+def _cards(run: Column) -> Column:
+    """A run of digits cut at its separators. Of the stretches of whole groups with 13 to 19 digits and a valid check digit,
+    those with a usual grouping come first, then the ones further left, then the longer; what a chosen one covers is taken."""
+    joined = lambda c: F.array_join(c, "")
+
+    def chosen(tokens: Column) -> Column:
+        # every token is a group with the separator behind it; an empty group stands between two separators
+        starts = F.sequence(F.lit(1), F.size(tokens))
+        stretches = _with(F.transform(tokens, _only_digits), lambda groups: F.flatten(F.transform(starts, lambda i: F.transform(
+            F.sequence(F.lit(1), F.least(F.lit(19), F.size(groups) - i + 1)),
+            lambda k: F.struct(i.alias("first"), (i + k).alias("next"), F.slice(groups, i, k).alias("groups"))))))
+        sized = F.filter(stretches, lambda s: F.length(joined(s["groups"])).between(13, 19) & ~F.array_contains(s["groups"], ""))
+        valid = F.filter(sized, lambda s: F.call_function("luhn_check", joined(s["groups"])))
+        usual = lambda s: F.array_join(F.transform(s["groups"], lambda g: F.length(g).cast("string")), ",").isin(GROUPINGS)
+        ranked = F.array_sort(F.transform(valid, lambda s: F.struct(
+            F.when(usual(s), 0).otherwise(1).alias("rank"), s["first"].alias("first"), (-s["next"]).alias("back"))))
+        none = F.expr("cast(array() as array<struct<first:int,next:int>>)")
+        return F.array_sort(F.aggregate(ranked, none, lambda taken, s: F.when(
+            F.exists(taken, lambda t: (t["first"] < -s["back"]) & (s["first"] < t["next"])), taken).otherwise(
+                F.concat(taken, F.array(F.struct(s["first"].alias("first"), (-s["back"]).alias("next")))))))
+
+    def pieces(tokens: Column) -> Column:
+        stretch = lambda a, b: joined(F.slice(tokens, a, b - a))
+        piece = lambda value, found: F.struct(value.alias("value"), F.lit(found).alias("found"))
+
+        def cut(taken: Column) -> Column:
+            begins = F.concat(F.array(F.lit(1)), F.transform(taken, lambda t: t["next"]))
+            return F.flatten(F.zip_with(begins, taken, lambda begin, t: F.when(
+                t.isNull(), F.array(piece(stretch(begin, F.size(tokens) + 1), False))).otherwise(F.array(
+                    piece(stretch(begin, t["first"]), False),
+                    piece(F.regexp_replace(stretch(t["first"], t["next"]), "[ -]$", ""), True),
+                    piece(F.regexp_extract(stretch(t["first"], t["next"]), "[ -]?$", 0), False)))))
+
+        return _with(chosen(tokens), cut)
+
+    return _with(F.regexp_extract_all(run, F.lit("[0-9]+[ -]?|[ -]"), F.lit(0)), pieces)
+
+
 def pseudonym(value: Column, key: str, undo: bool = False) -> Column:
     """The pseudonym of one match; a match that fails its check is returned as it is."""
     kind = kind_of(value)
@@ -194,21 +246,27 @@ def pseudonymized(df: DataFrame, key: str, text: str = "text", out: str = "text"
                   undo: bool = False) -> DataFrame:
     """``df`` with the texts rewritten in ``out`` and ``found``, an array of ``(kind, pseudonym)`` in order of place.
 
-    A null text stays null with no finds, an empty one empty. Numbers and dates that fail their check stay as they are.
+    A null text stays null with no finds, an empty one empty. Numbers and dates that fail their check stay as they are; within
+    longer runs of digits, card numbers are found group by group. Where stretches overlap that all have 13 to 19 digits,
+    ``undo`` may take another one, if that one's pseudonym happens to pass the check.
     Repeated rows are rewritten alike; other columns pass through (``found`` must not be one of them).
     """
     if found in df.columns:
         raise ValueError(f"column exists: {found}")
     source = F.col(f"`{text}`")
-    parts = F.when(source.rlike("[0-9@]") & source.rlike(ANY), F.struct(
-        F.split(source, ANY, -1).alias("gaps"),
-        F.transform(F.regexp_extract_all(source, F.lit(ANY), F.lit(0)), lambda m: F.struct(
-            m.alias("value"), kind_of(m).alias("kind"), pseudonym(m, key, undo).alias("name"))).alias("marks")))
+    # what lies between matches, and a match that fails its check, may still hold card numbers beside other digits
+    match = lambda m: F.when(kind_of(m).isNull(), _pieces(m)).otherwise(
+        F.array(F.struct(m.alias("value"), F.lit(True).alias("found"))))
+    pieces = F.flatten(F.zip_with(
+        F.split(source, ANY, -1), F.regexp_extract_all(source, F.lit(ANY), F.lit(0)),
+        lambda gap, m: F.when(m.isNull(), _pieces(gap)).otherwise(F.concat(_pieces(gap), match(m)))))
+    parts = F.when(source.rlike("[0-9@]") & (source.rlike(ANY) | source.rlike(RUN)), F.transform(pieces, lambda p: F.struct(
+        F.when(p["found"], kind_of(p["value"])).alias("kind"),
+        F.when(p["found"], pseudonym(p["value"], key, undo)).otherwise(p["value"]).alias("name"))))
     cut = df.withColumn(found, parts)
-    marks, gaps = F.col(found)["marks"], F.col(found)["gaps"]
-    whole = F.array_join(F.zip_with(gaps, marks, lambda g, m: F.concat(g, F.coalesce(m["name"], F.lit("")))), "")
-    kept = F.transform(F.filter(marks, lambda m: m["kind"].isNotNull()),
-                       lambda m: F.struct(m["kind"].alias("kind"), m["name"].alias("pseudonym")))
+    whole = F.array_join(F.transform(found, lambda p: p["name"]), "")
+    kept = F.transform(F.filter(found, lambda p: p["kind"].isNotNull()),
+                       lambda p: F.struct(p["kind"].alias("kind"), p["name"].alias("pseudonym")))
     return cut.withColumns({out: F.when(F.col(found).isNull(), source).otherwise(whole),
                             found: F.coalesce(kept, F.expr("cast(array() as array<struct<kind:string,pseudonym:string>>)"))})
 

@@ -218,6 +218,23 @@ def test_pseudonyms_keep_format_link_and_can_be_undone(spark, odd_docs, no_docs)
         pseudonyms.pseudonymized(odd_docs, "key")          # it has a column pii
 
 
+def test_cards_beside_other_digits_are_found(spark):
+    card, other = "4111 1111 1111 1111", "3782 822463 10005"
+    texts = [f"{card} 12/26", f"qty 2 {card}", f"{card} {card}", f"{card}-{other} 7", f"10.0.0.1 {card}", f"a {card}  55 b",
+             "4111111111111111 4111-1111-1111-1111 99 99", "1234 5678 9012 3456 78 90", "7 " * 300 + "x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made = pseudonyms.pseudonymized(docs, "key")
+    got = {r["doc_id"]: r for r in made.collect()}
+    assert [sum(p["kind"] == "card" for p in got[i]["pii"]) for i in range(7)] == [1, 1, 2, 2, 1, 1, 2]
+    name = [p["pseudonym"] for p in got[0]["pii"]][0]
+    assert got[0]["text"] == f"{name} 12/26" and got[1]["text"] == f"qty 2 {name}" and got[2]["text"] == f"{name} {name}"
+    assert got[3]["text"].startswith(f"{name}-") and got[3]["text"].endswith(" 7") and got[5]["text"] == f"a {name}  55 b"
+    assert name != card and not any(card in got[i]["text"] or other in got[i]["text"] for i in range(7))
+    assert all(re.sub("[0-9]", "9", got[i]["text"]) == re.sub("[0-9]", "9", t) for i, t in enumerate(texts) if i != 4)
+    back = {r["doc_id"]: r["text"] for r in pseudonyms.pseudonymized(made.select("doc_id", "text"), "key", undo=True).collect()}
+    assert all(back[i] == texts[i] for i in range(7))
+
+
 def test_feistel_permutes_a_small_domain(spark):
     pairs = spark.range(35).select((F.col("id") / 7).cast("int").alias("l"), (F.col("id") % 7).alias("r"))
     moved = pairs.select(pseudonyms.feistel(F.col("l"), F.col("r"), F.lit(5), F.lit(7), "k", F.lit("t")).alias("s")).distinct()
