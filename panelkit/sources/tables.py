@@ -29,14 +29,17 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
 
 
 def _header(spark: SparkSession, file: str) -> str:
-    """The first line of one file, read through the file system that holds it."""
+    """The first line of one file that is not blank, empty if there is none, read through the file system that holds it."""
     path = spark._jvm.org.apache.hadoop.fs.Path(file)
     source = path.getFileSystem(spark._jsc.hadoopConfiguration()).open(path)
     codec = spark._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(spark._jsc.hadoopConfiguration()).getCodec(path)
     reader = spark._jvm.java.io.BufferedReader(
         spark._jvm.java.io.InputStreamReader(codec.createInputStream(source) if codec else source, "UTF-8"))
     try:
-        return reader.readLine() or ""
+        line = reader.readLine()
+        while line is not None and not line.strip():
+            line = reader.readLine()
+        return line or ""
     finally:
         reader.close()
 
@@ -50,7 +53,7 @@ def read_wide(spark: SparkSession, path: str, id_cols: Sequence[str]) -> DataFra
     files: dict[str, list[str]] = {}
     for file in sorted(spark.read.text(path).inputFiles()):
         files.setdefault(_header(spark, file), []).append(file)
-    files.pop("", None)  # an empty file has no rows
+    files.pop("", None)  # a file without a header has no rows
     reader = spark.read.option("header", True)
     if len(files) < 2:
         df = _strip_mark(reader.csv(path))

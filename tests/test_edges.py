@@ -118,6 +118,14 @@ def test_wide_files_of_different_width_meet_by_name(spark, tmp_path):
         read_wide(spark, str(tmp_path), ["State"])
 
 
+def test_wide_files_may_begin_with_blank_lines(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("County,2020-01-01\nA,1\n")
+    (tmp_path / "b.csv").write_text("\n  \nCounty,2020-01-02\nB,2\n")
+    (tmp_path / "c.csv").write_text("\n\n")
+    rows = {(r["County"], r["2020-01-01"], r["2020-01-02"]) for r in read_wide(spark, str(tmp_path), ["County"]).collect()}
+    assert rows == {("A", "1", None), ("B", None, "2")}
+
+
 def test_declared_columns_must_match_the_header(spark, tmp_path):
     path = tmp_path / "t.csv"
     path.write_text("b,a\n1,2\n")
