@@ -54,11 +54,22 @@ def numbered(values: Column) -> Column:
 
 
 def simhash(values: Column) -> Column:
-    """SimHash of an array of strings: bit k is set if it is set in over half the XXH64 values.
+    """SimHash of an array of strings: bit k is set if it is set in over half the XXH64 values. Repeats have values of their
+    own, so that the share of differing bits follows the similarity of multisets.
 
     Sixteen numbers hold four 16-bit counters each; multiplying spreads the bits of half a byte over four counters.
     """
-    return _bound(F.transform(values, lambda v: F.xxhash64(v)), _simhash)
+    return _bound(_bound(F.transform(values, lambda v: F.xxhash64(v)), _apart), _simhash)
+
+
+def _apart(hashes: Column) -> Column:
+    """The second and later ones of equal hashes hashed again with their number."""
+
+    def repeats(ordered: Column) -> Column:
+        return F.transform(ordered, lambda h, i: _bound(i + 1 - F.array_position(ordered, h), lambda k: F.when(
+            k == 0, h).otherwise(F.xxhash64(h, k))))
+
+    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), hashes).otherwise(_bound(F.sort_array(hashes), repeats))
 
 
 def _bound(value: Column, then: Callable[[Column], Column]) -> Column:

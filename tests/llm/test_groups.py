@@ -254,6 +254,15 @@ def test_long_items_are_compared_whole(spark, monkeypatch):
     assert counted == want and len(want) > 20
 
 
+def test_items_with_repeated_shingles_are_found(spark):
+    distinct = {k: [f"d{k}x{i}" for i in range(44)] for k in range(40)}
+    # 45 shingles shared of 54: the item has nine more copies of one
+    docs = spark.createDataFrame([(k, " ".join(d + ["r"] * 5)) for k, d in distinct.items()], "doc_id long, text string")
+    items = spark.createDataFrame([(k, " ".join(d + ["r"] * 14)) for k, d in distinct.items()], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in contaminated(docs, items).collect()}
+    assert got.keys() == {(k, k) for k in distinct} and all(v == pytest.approx(45 / 54) for v in got.values())
+
+
 # ---------------------------------------------------------------- pipeline
 
 def test_pipeline_stages_return_documents_and_survive_odd_rows(spark, odd_docs, no_docs):
