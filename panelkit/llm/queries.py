@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelkit.llm import chat, decontaminate, toxicity
+from panelkit.llm import chat, decontaminate, prefixes, toxicity
 from panelkit.llm.common import remainder, table
 from panelkit.llm.langid import learn, with_language
 from panelkit.llm.pieces import encoded
@@ -112,3 +112,12 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 
 
 SQL["op10_decontaminate"] = decontaminate.SQL
+
+
+@query
+def op11_prefixes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every distinct beginning of the rebuilt conversations, with the totals of what follows it."""
+    return prefixes.trie_report(table(spark, folder, "conversations"))
+
+
+SQL["op11_prefixes"] = prefixes.SQL
