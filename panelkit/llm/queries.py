@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelkit.llm import chat, decontaminate, prefixes, toxicity
+from panelkit.llm import chat, decontaminate, prefixes, quality, toxicity
 from panelkit.llm.common import remainder, table
 from panelkit.llm.langid import learn, with_language
 from panelkit.llm.pieces import encoded
@@ -13,6 +13,7 @@ from panelkit.llm.pseudonyms import pseudonym_report
 from panelkit.llm.secrets import secret_report
 from panelkit.llm.simhash import simhash_report
 from panelkit.llm.vectors import range_links
+from panelkit.llm.whitening import whitened
 
 #: The public vocabulary the queries use; operators take the path as a parameter.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -121,3 +122,18 @@ def op11_prefixes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 SQL["op11_prefixes"] = prefixes.SQL
+
+
+@query
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Every usable vector's share of the sixteen leading components, scaled to unit covariance."""
+    return whitened(table(spark, folder, "embeddings"))
+
+
+@query
+def op13_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document, learnt from trusted texts and unlabelled ones that are not held out."""
+    docs = table(spark, folder, "documents").withColumn("held_out", remainder("doc_id", 4) == 2)
+    labels = table(spark, folder, "labels").filter(remainder("doc_id", 4) != 2)
+    net = quality.learn(docs.filter(~F.col("held_out")), labels)
+    return quality.with_quality(docs, net, ["doc_id", "held_out"])
