@@ -27,32 +27,32 @@ class _Nfa:
         self.edges[at].append((allowed, to))
         return to
 
-    def add(self, at: int, items, fold: bool) -> int:
-        """Append the parsed ``items`` behind state ``at``; the state where they end."""
-        for op, arg in items:
+    def add(self, at: int, items, fold: bool, back: bool = False) -> int:
+        """Append the parsed ``items`` behind state ``at``, from the last to the first if ``back``; the state where they end."""
+        for op, arg in reversed(list(items)) if back else items:
             if op in (sre.LITERAL, sre.NOT_LITERAL, sre.IN, sre.ANY):
                 at = self.on(at, _allowed(op, arg, fold))
             elif op is sre.SUBPATTERN:
-                at = self.add(at, arg[3], fold)
+                at = self.add(at, arg[3], fold, back)
             elif op is sre.BRANCH:
-                ends = [self.add(at, option, fold) for option in arg[1]]
+                ends = [self.add(at, option, fold, back) for option in arg[1]]
                 at = self.state()
                 for end in ends:
                     self.empty[end].append(at)
             elif op is sre.MAX_REPEAT:
                 least, most, body = arg
                 for _ in range(least):
-                    at = self.add(at, body, fold)
+                    at = self.add(at, body, fold, back)
                 if most is sre.MAXREPEAT:
                     loop = self.state()
                     self.empty[at].append(loop)
-                    self.empty[self.add(loop, body, fold)].append(loop)
+                    self.empty[self.add(loop, body, fold, back)].append(loop)
                     at = loop
                 else:
                     done = self.state()
                     self.empty[at].append(done)
                     for _ in range(most - least):
-                        at = self.add(at, body, fold)
+                        at = self.add(at, body, fold, back)
                         self.empty[at].append(done)
                     at = done
             else:
@@ -106,11 +106,12 @@ class Automaton:
     safe: np.ndarray
 
 
-def compile_rules(patterns: list[tuple[bytes, bool]], anywhere: bool) -> Automaton:
+def compile_rules(patterns: list[tuple[bytes, bool]], anywhere: bool = False, back: bool = False) -> Automaton:
     """One automaton for ``(pattern, ignore case)`` rules.
 
     Anchored, it follows the matches that begin at the first byte. With ``anywhere`` a match may begin at every byte, and
-    all states in which some rule has ended are one that is never left: it tells whether a text holds a match at all.
+    all states in which some rule has ended are one that is never left: it tells whether a text holds a match at all. With
+    ``back`` it reads a text from its end: its state at a byte tells the rules that some match of begins there.
     """
     nfa = _Nfa()
     start = nfa.state()
@@ -118,11 +119,11 @@ def compile_rules(patterns: list[tuple[bytes, bool]], anywhere: bool) -> Automat
     for rule, (pattern, fold) in enumerate(patterns):
         begin = nfa.state()
         nfa.empty[start].append(begin)
-        end = nfa.add(begin, _parser.parse(pattern, IGNORECASE if fold else 0), fold)
+        end = nfa.add(begin, _parser.parse(pattern, IGNORECASE if fold else 0), fold, back)
         final.setdefault(end, 0)
         final[end] |= 1 << rule
     safe = ~np.array([allowed for edges in nfa.edges for allowed, _ in edges]).any(axis=0)
-    if anywhere:
+    if anywhere or back:
         nfa.edges[start].append((np.ones(256, bool), start))
     used = np.array([allowed for edges in nfa.edges for allowed, _ in edges])
     groups, klass = np.unique(used, axis=1, return_inverse=True)
@@ -201,26 +202,51 @@ def scan(machine: Automaton, data: np.ndarray, borders: np.ndarray) -> np.ndarra
     return found
 
 
-def spans(machine: Automaton, text: bytes, rules: int) -> list[tuple[int, int, int]]:
-    """``(rule, start, end)`` of the leftmost, longest, non-overlapping matches of each rule, from the anchored automaton."""
-    step, klass, ends, dead = machine.step.tolist(), text.translate(bytes(machine.klass.tolist())), machine.ends.tolist(), machine.dead
+def open_rules(machine: Automaton) -> np.ndarray:
+    """For each state of an anchored automaton the bit set of rules that can still end, here or further on."""
+    bits = machine.ends.copy()
+    while True:
+        more = bits | np.bitwise_or.reduce(bits[machine.step], axis=1)
+        if (more == bits).all():
+            return bits
+        bits = more
+
+
+def spans(machine: Automaton, behind: Automaton, text: bytes, rules: int) -> list[tuple[int, int, int]]:
+    """``(rule, start, end)`` of the leftmost, longest, non-overlapping matches of each rule.
+
+    ``behind``, the rules compiled with ``back``, marks in one pass from the end where matches of which rules begin; the
+    anchored ``machine`` then goes forward from marked places only, for the rules whose last match ends before, and only as
+    long as one of them can still end. So bytes inside a match are not gone through again for each of its suffixes.
+    """
+    step, klass = behind.step.tolist(), text.translate(bytes(behind.klass.tolist()))
+    ends = behind.ends.tolist()
+    marks = [0] * len(text)
+    state = 0
+    for at in range(len(text) - 1, -1, -1):
+        state = step[state][klass[at]]
+        marks[at] = ends[state]
+    step, klass, ends, open_ = machine.step.tolist(), text.translate(bytes(machine.klass.tolist())), machine.ends.tolist(), open_rules(machine).tolist()
     free = [0] * rules
     found = []
-    for begin in range(len(text)):
-        state, last = step[0][klass[begin]], {}
-        at = begin + 1
-        while state != dead:
-            bits = ends[state]
-            if bits:
-                for rule in range(rules):
-                    if bits >> rule & 1:
-                        last[rule] = at
-            if at == len(text):
-                break
+    for begin, mark in enumerate(marks):
+        if not mark:
+            continue
+        wanted = [rule for rule in range(rules) if mark >> rule & 1 and begin >= free[rule]]
+        if not wanted:
+            continue
+        bits = sum(1 << rule for rule in wanted)
+        state, at, last = 0, begin, {}
+        while at < len(text):
             state = step[state][klass[at]]
             at += 1
+            if ends[state] & bits:
+                for rule in wanted:
+                    if ends[state] >> rule & 1:
+                        last[rule] = at
+            if not open_[state] & bits:
+                break
         for rule, end in last.items():
-            if begin >= free[rule]:
-                free[rule] = end
-                found.append((rule, begin, end))
+            free[rule] = end
+            found.append((rule, begin, end))
     return found

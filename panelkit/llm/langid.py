@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from panelkit.llm.common import flat, map_texts
 
 UNKNOWN = "und"
+#: The answer for windows of no language, where a network has learnt that class.
+NO_LANGUAGE = ""
 PAD = 256
 
 
@@ -26,6 +28,8 @@ class Settings:
     windows: int = 4
     languages: int = 256
     window: int = 256
+    #: windows of no language for each of a language; their class, ``NO_LANGUAGE``, is then among the answers
+    background: float = 0.0
     widths: tuple[int, ...] = (2, 3, 4)
     filters: int = 10
     embedding: int = 4
@@ -87,16 +91,18 @@ def log_probabilities(net: Network, rows: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: Sequence[bytes], labels: Sequence[str], settings: Settings = Settings()) -> Network | None:
-    """Train on one window per text. The same rows in the same order give the same network; without rows there is none."""
+    """Train on all windows of the texts. The same rows in the same order give the same network; without rows there is none."""
     if not len(texts):
         return None
     rng = np.random.default_rng(settings.seed)
     languages = tuple(sorted(set(labels)))
     wide, e = max(settings.widths), settings.embedding
-    joined = np.frombuffer(b"".join(t[:settings.window] for t in texts), np.uint8)
-    ends = np.concatenate([[0], np.cumsum([len(t[:settings.window]) for t in texts])])
+    joined = np.frombuffer(b"".join(texts), np.uint8)
+    ends = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     rows, owner, _ = windows(joined, ends, settings.window, wide - 1)
     y = np.array([languages.index(lang) for lang in labels])[owner]
+    if settings.background:
+        rows, y, languages = _with_background(rows, y, languages, settings, rng)
     fan = np.repeat(settings.widths, settings.filters)
     shape = np.arange(wide * e) < fan[:, None] * e
     net = Network(languages, settings.window,
@@ -141,12 +147,27 @@ def fit(texts: Sequence[bytes], labels: Sequence[str], settings: Settings = Sett
     return net
 
 
+def _with_background(rows: np.ndarray, y: np.ndarray, languages: tuple[str, ...], settings: Settings, rng) -> tuple[np.ndarray, np.ndarray, tuple[str, ...]]:
+    """The windows and ``background`` times as many of no language: windows whose bytes, or only letters and bytes above 127, were
+    exchanged for others, one exchange a window, so that scripts and letter sequences never seen have a class of their own."""
+    letters = np.array([b for b in range(128, 256)] + [*range(97, 123), *range(65, 91)])
+    made = rows[rng.choice(len(rows), int(np.ceil(settings.background * len(rows))))].copy()
+    for i, row in enumerate(made):
+        to = np.arange(PAD + 1)
+        own = np.arange(256) if i % 2 else letters
+        to[own] = rng.permutation(own)
+        made[i] = to[row]
+    return np.vstack([rows, made]), np.append(y, np.full(len(made), len(languages))), (*languages, NO_LANGUAGE)
+
+
 def training_windows(df: DataFrame, text: str, label: str, settings: Settings, order: Column) -> DataFrame:
     """``(label, order, piece)``: up to ``texts`` texts of each label, picked by a hash of the row, and of each up to
     ``windows`` pieces spread over its whole length. Rows without label or text teach nothing."""
     known = df.select(F.col(f"`{label}`").cast("string").alias("label"), F.col(f"`{text}`").alias("text"), order.alias("o"))
     known = known.filter(F.col("label").isNotNull() & (F.length("text") > 0))
-    counts = known.groupBy("label").count().orderBy(F.desc("count"), "label").limit(settings.languages).collect()
+    counts = known.groupBy("label").count().limit(settings.languages + 1).collect()
+    if len(counts) > settings.languages:
+        raise ValueError(f"more than {settings.languages} labels; Settings.languages bounds the network's last layer")
     if not counts:
         return known.select("label", "o", F.col("text").alias("piece")).limit(0)
     # a hash below this share of its range keeps about 1.5 times as many rows as wanted; the exact cut follows
@@ -156,7 +177,8 @@ def training_windows(df: DataFrame, text: str, label: str, settings: Settings, o
     step = F.greatest(F.lit(0.0), (F.length("text") - settings.window) / max(1, settings.windows - 1))
     pieces = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(settings.windows - 1)), lambda i: F.substring(
         F.col("text"), (i * step).cast("int") + 1, F.lit(settings.window))))
-    return some.select("label", "o", draw.alias("d"), pieces.alias("pieces"))
+    # copies of a text teach once, so those of a hot one are one row
+    return some.select("label", "o", draw.alias("d"), pieces.alias("pieces")).dropDuplicates(["label", "o"])
 
 
 def learn(df: DataFrame, text: str = "text", label: str = "lang", settings: Settings = Settings()) -> Network | None:

@@ -13,10 +13,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 ROUNDS = 8
 #: Days of four Gregorian centuries (1800-01-01 to 2199-12-31): 146,097 = 189 x 773.
 FIRST_DAY, DAYS = "1800-01-01", (189, 773)
-#: Formats in the order in which they are tried.
+#: Formats in the order in which they are tried. Groups that repeat without a bound are possessive: the engine
+#: then goes through them in a loop, where it would else recurse once a repeat and overflow its stack on a long text.
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 FORMATS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)",
     "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}([./])\d{2}\1\d{4})(?![\d]|[./-]\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",

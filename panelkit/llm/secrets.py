@@ -47,21 +47,22 @@ SEGMENT = 512
 
 
 @lru_cache(maxsize=4)
-def machines(rules: tuple[Rule, ...]) -> tuple[Automaton, Automaton]:
-    """The automaton that finds segments with a match, and the anchored one that finds their spans."""
+def machines(rules: tuple[Rule, ...]) -> tuple[Automaton, Automaton, Automaton]:
+    """The automaton that finds segments with a match, the anchored one that finds their spans, and the one that reads
+    backwards to mark where these begin."""
     first = compile_rules([(r.every or r.pattern, r.ignore_case) for r in rules], anywhere=True)
-    exact = compile_rules([(r.pattern, r.ignore_case) for r in rules], anywhere=False)
-    return first, exact
+    plain = [(r.pattern, r.ignore_case) for r in rules]
+    return first, compile_rules(plain), compile_rules(plain, back=True)
 
 
 def find(texts: pa.Array, rules: tuple[Rule, ...] = RULES,
-         compiled: tuple[Automaton, Automaton] | None = None) -> list[list[tuple[str, int, int]]]:
+         compiled: tuple[Automaton, Automaton, Automaton] | None = None) -> list[list[tuple[str, int, int]]]:
     """For each text its ``(kind, start, end)`` in code points, by start and then in the order of the rules.
 
     A null text is read as an empty one and holds nothing. Texts are cut only behind bytes that no match can hold, so
     segments run side by side without losing a match; those with one are gone through by the anchored automaton.
     """
-    first, exact = compiled or machines(rules)
+    first, exact, behind = compiled or machines(rules)
     data, offsets = flat(texts)
     found: list[list[tuple[int, int, int]]] = [[] for _ in range(len(texts))]
     if len(data):
@@ -74,7 +75,7 @@ def find(texts: pa.Array, rules: tuple[Rule, ...] = RULES,
             if owner != before:
                 before, points = owner, code_points(data[base:int(offsets[owner + 1])])
             segment = data[begin:end].tobytes()
-            for rule, a, b in spans(exact, segment, len(rules)):
+            for rule, a, b in spans(exact, behind, segment, len(rules)):
                 if long_enough(rules[rule], segment[a:b]):
                     found[owner].append((rule, int(points[begin - base + a]), int(points[begin - base + b])))
     return [[(rules[k].kind, a, b) for k, a, b in sorted(one, key=lambda s: (s[1], s[0]))] for one in found]
@@ -132,6 +133,19 @@ def redacted(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
         F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
 
 
+def masked(texts: Sequence[str | None], found: list[list[tuple[str, int, int]]], mark: str = "[SECRET]") -> list[str | None]:
+    """Texts with every span, overlapping or touching ones as one, replaced by ``mark``; each text is gone through once."""
+    out = []
+    for text, spans_ in zip(texts, found):
+        parts, at = [], 0
+        for a, b in sorted((a, b) for _, a, b in spans_):
+            if a > at or not parts:
+                parts += [text[at:a], mark]
+            at = max(at, b)
+        out.append("".join([*parts, text[at:]]) if parts else text)
+    return out
+
+
 def spelled(found: Column) -> Column:
     """``kind:start:end`` of each span, comma-joined."""
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"),

@@ -8,7 +8,6 @@ several trees, and every tree is sent to all the search parts of its shard, so n
 
 from collections.abc import Iterator, Sequence
 from itertools import accumulate, combinations
-import math
 
 import numpy as np
 import pyarrow as pa
@@ -119,106 +118,67 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
 
 
-def _shard_links(shard: np.ndarray, node: np.ndarray, size: np.ndarray, value: np.ndarray, role: np.ndarray,
-                 radius: int, ratio: float, sets: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Links within sorted shards; role bit 1: a member of the tree, bit 2: searched. Sizes of which one is under ``ratio``
-    of the other are not linked, nor are pairs of ``sets``, if given, that are less than ``ratio`` alike. Each group of linked
-    nodes comes out as links to one of them."""
+def _shard_links(shard: np.ndarray, node: np.ndarray, value: np.ndarray, role: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links within sorted shards; role bit 1: a member of the tree, bit 2: searched. Each node of a group of linked ones comes
+    out once, linked to the group's first, so copies of any number give as many links as there are nodes."""
     group = np.cumsum(np.concatenate([[0], (shard[1:] != shard[:-1]).astype(np.int64)]))
     live = np.bincount(group)[group] > 1
-    node, size, value, group, role = node[live], size[live], value[live], group[live], role[live]
-    sets = None if sets is None else [np.frombuffer(x, np.uint64) for x in sets[live]]
+    node, value, group, role = node[live], value[live], group[live], role[live]
     if not len(node):
         return node, node
     group = np.unique(group, return_inverse=True)[1].reshape(-1)
     tree, asked = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
     forest = Forest(value[tree], group[tree])
     load = np.cumsum(np.bincount(group[tree], minlength=group.max() + 1)[group[asked]])
-    left, right, first = [], [], 0
+    own = np.arange(len(node))
+    root, first = own, 0
     while first < len(asked):
         before = load[first - 1] if first else 0
         last = max(first + 1, int(np.searchsorted(load, before + PAIRS // value.shape[1], "right")))
         part = asked[first:last]
         i, j = forest.within(value[part], group[part], radius)
-        i, j = part[i], tree[j]
-        alike = np.minimum(size[i], size[j]) >= ratio * np.maximum(size[i], size[j])
-        i, j = i[alike], j[alike]
-        if sets is not None:
-            i, j = _verified(i, j, sets, ratio)
-        root = local_roots(len(node), i, j)
-        moved = np.flatnonzero(root != np.arange(len(node)))
-        left.append(node[moved])
-        right.append(node[root[moved]])
+        moved = np.flatnonzero(root != own)  # what earlier searches have linked
+        root = local_roots(len(node), np.concatenate([moved, part[i]]), np.concatenate([root[moved], tree[j]]))
         first = last
-    a, b = np.concatenate(left), np.concatenate(right)
-    return a[a != b], b[a != b]
-
-
-def _verified(i: np.ndarray, j: np.ndarray, sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Those of the pairs whose sets (sorted, without repeats) have at least the similarity ``least``. Pairs that others have
-    joined meanwhile are left out: each round compares the first pairs of each node, twice as many as the one before."""
-    left, right = [i[:0]], [j[:0]]
-    other = i != j
-    i, j = i[other], j[other]
-    many = 1
-    while len(i):
-        order = np.argsort(i, kind="stable")
-        i, j = i[order], j[order]
-        first = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
-        turn = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i)))) < many
-        alike = np.array([_similarity(sets[a], sets[b]) >= least for a, b in zip(i[turn].tolist(), j[turn].tolist())], bool)
-        left.append(i[turn][alike])
-        right.append(j[turn][alike])
-        root = local_roots(len(sets), np.concatenate(left), np.concatenate(right))
-        apart = ~turn & (root[i] != root[j])
-        i, j = i[apart], j[apart]
-        many *= 2
-    return np.concatenate(left), np.concatenate(right)
-
-
-def _similarity(a: np.ndarray, b: np.ndarray) -> float:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / max(len(a) + len(b) - both, 1)
-
-
-def _links(keyed: DataFrame, radius: int, ratio: float = 0.0) -> DataFrame:
-    """``(a, b)`` from ``(shard, node, size, v)``, ``v`` being the fingerprint as bytes: links whose closure joins all nodes
-    that meet in a shard within ``radius``, with sizes no further apart than ``ratio``. With a column ``set`` (bytes of sorted
-    64-bit numbers) pairs are links only if their sets are ``ratio`` alike."""
-    exact = ["set"] if "set" in keyed.columns else []
+    moved = np.flatnonzero(node != node[root])
+    return node[moved], node[root[moved]]
+
+
+def _links(keyed: DataFrame, radius: int) -> DataFrame:
+    """``(a, b)`` from ``(shard, node, v)``, ``v`` being the fingerprint as bytes: links whose closure joins all nodes that meet in
+    a shard within ``radius``."""
     sizes = keyed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = sizes.select("shard", F.ceil(F.col("n") / TREE).cast("int").alias("trees"))
     placed = keyed.join(shared, "shard")
     own = F.pmod(F.xxhash64("node"), F.col("trees")).cast("int")
-    spread = placed.select("shard", "node", "size", "v", *exact, own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("other"))
+    spread = placed.select("shard", "node", "v", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("other"))
     low, high = F.least("own", "other"), F.greatest("own", "other")
     # in the part (low, high) the trees of low are searched for the fingerprints of high
     role = (F.col("own") == low).cast("int") + 2 * (F.col("own") == high).cast("int")
-    parts = spread.select("node", "size", "v", *exact, F.xxhash64("shard", low, high).alias("shard"), role.alias("role"))
+    parts = spread.select("node", "v", F.xxhash64("shard", low, high).alias("shard"), role.alias("role"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         load = 0
 
         def links(*columns):
-            a, b = _shard_links(*columns[:5], radius, ratio, *columns[5:])
+            a, b = _shard_links(*columns, radius)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             values = flat_bytes(batch.column("v")).view(np.uint64).reshape(batch.num_rows, -1)
-            shard, node, size, role = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "node", "size", "role"))
-            sets = [batch.column(c).to_numpy(zero_copy_only=False) for c in exact]
-            held.append((shard, node, size, values, role, *sets))
-            load += values.size + sum(batch.column(c).nbytes // 8 for c in exact)
+            shard, node, role = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "node", "role"))
+            held.append((shard, node, values, role))
+            load += values.size
             if load >= 400_000:
                 whole = [np.concatenate(c) for c in zip(*held)]
                 last = int(np.flatnonzero(whole[0] != whole[0][-1])[-1]) + 1 if (whole[0] != whole[0][-1]).any() else 0
                 if last:
                     yield links(*[c[:last] for c in whole])
                 held = [tuple(c[last:] for c in whole)]
-                load = held[0][3].size + sum(len(x) // 8 for c in held[0][5:] for x in c)
+                load = held[0][2].size
         if held:
             yield links(*[np.concatenate(c) for c in zip(*held)])
 
@@ -230,7 +190,7 @@ def near_links(prints: DataFrame, value: str = "fingerprint", radius: int = RADI
     """``(a, b)``: links whose closure joins all distinct fingerprints of ``prints`` within ``radius`` of each other."""
     if radius != RADIUS:
         raise ValueError(f"the blocks are laid out for radius {RADIUS}")
-    return _links(prints.select(F.col(value).alias("node"), F.lit(1).cast("long").alias("size"), F.unhex(F.lpad(F.hex(value), 16, "0")).alias("v"),
+    return _links(prints.select(F.col(value).alias("node"), F.unhex(F.lpad(F.hex(value), 16, "0")).alias("v"),
                                 F.explode(shard_keys(F.col(value))).alias("shard")), radius)
 
 
@@ -256,107 +216,3 @@ def with_components(rows: DataFrame, key: str) -> DataFrame:
 
 def simhash_report(df: DataFrame) -> DataFrame:
     return near_duplicates(df).withColumn("fingerprint", F.lpad(F.lower(F.hex("fingerprint")), 16, "0"))
-
-
-# ---------------------------------------------------------------- similar texts, by wide fingerprints
-
-#: 64-bit words of a wide fingerprint, pairs of smallest shingles that serve as shard keys, and the similarity meant.
-WIDE, PAIRED, SIMILARITY = 16, 8, 0.8
-#: Odd numbers (golden ratio steps) that turn one hash of a shingle into many.
-TURNS = (np.arange(1, max(WIDE, 2 * PAIRED) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-
-
-#: Deviations beyond the mean distance within which candidates are looked for.
-DEVIATIONS = 5
-
-
-def wide_radius(similarity: float = SIMILARITY) -> int:
-    """Bits within which candidates are looked for: those in which wide fingerprints of sets with that Jaccard similarity
-    differ on average, and five standard deviations.
-
-    Equally large sets with similarity s have the cosine c = 2s / (1 + s), others a larger one; each bit of large sets differs
-    with chance acos(c) / pi. Small sets are counted out: the worst at 0.8 are four shingles of five.
-    """
-    chance = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    for a in range(1, 17):
-        for b in range(a, 17):
-            both = math.ceil(similarity * (a + b) / (1 + similarity) - 1e-9)
-            if both <= a:
-                chance = max(chance, _differ(both, a - both, b - both))
-    bits = 64 * WIDE
-    return int(bits * chance + DEVIATIONS * math.sqrt(bits * chance * (1 - chance)))
-
-
-def _differ(both: int, one: int, other: int) -> float:
-    """The chance that a bit of two sets' fingerprints differs; they share ``both`` members and have so many of their own."""
-    share = lambda n: [math.comb(n, k) / 2 ** n for k in range(n + 1)]
-    return sum(p * q * r for x, p in enumerate(share(both)) for y, q in enumerate(share(one)) for z, r in enumerate(share(other))
-               if (2 * (x + y) > both + one) != (2 * (x + z) > both + other))
-
-
-def sketch(hashes: Sequence[int]) -> tuple[bytes, list[int], int]:
-    """The wide SimHash of a set of shingles, the shard keys (pairs of its smallest shingles under several orders), and
-    the size of the set.
-
-    Two sets of similarity s share a key with the chance 1 - (1 - s^2)^8: 0.9997 at 0.8.
-    """
-    if not hashes:
-        return bytes(8 * WIDE), [0], 0
-    one = np.unique(np.array(hashes, np.uint64))
-    ones = np.zeros((WIDE, 64), np.int64)
-    lows = np.full(2 * PAIRED, np.iinfo(np.uint64).max, np.uint64)
-    for first in range(0, len(one), 1024):
-        turned = one[first:first + 1024, None] * TURNS
-        turned ^= turned >> np.uint64(29)
-        turned *= np.uint64(0xBF58476D1CE4E5B9)
-        turned ^= turned >> np.uint64(32)
-        bits = np.unpackbits(np.ascontiguousarray(turned[:, :WIDE]).view(np.uint8), axis=1, bitorder="little")
-        ones += np.add.reduce(bits, axis=0, dtype=np.uint16).reshape(WIDE, 64)
-        lows = np.minimum(lows, turned[:, :2 * PAIRED].min(axis=0))
-    value = np.packbits(2 * ones > len(one), axis=1, bitorder="little").tobytes()
-    keys = (lows[:PAIRED] * np.uint64(31) + lows[PAIRED:]) ^ np.arange(PAIRED, dtype=np.uint64)
-    return value, keys.view(np.int64).tolist(), len(one)
-
-
-def shingle_set(hashes: Sequence[int]) -> bytes:
-    """The different hashes in order, as bytes."""
-    return np.unique(np.array(hashes, np.uint64)).tobytes()
-
-
-def similar_texts(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5,
-                  similarity: float = SIMILARITY) -> DataFrame:
-    """``(key, component_id)`` for each different key: texts whose shingle sets have at least ``similarity`` are linked, and the
-    component is the smallest key reachable.
-
-    Wide fingerprints only propose pairs, within a radius that leaves out next to none of that similarity; each pair is then
-    compared on its shingle sets. Equal sets are one node. Texts without words are alike. Rows with a null key are left out.
-    Repeated keys with different texts link those texts.
-    """
-
-    def work(batch: pa.RecordBatch) -> dict[str, object]:
-        hashes = [shingle_hashes(t or b"", words) for t in batch.column(text).cast(pa.large_binary()).to_pylist()]
-        made = [sketch(h) for h in hashes]
-        return {"v": pa.array([m[0] for m in made], pa.binary()), "keys": pa.array([m[1] for m in made], pa.list_(pa.int64())),
-                "size": pa.array([m[2] for m in made], pa.int64()),
-                "digest": pa.array([xxhash.xxh3_128_digest(shingle_set(h)) for h in hashes], pa.binary())}
-
-    def sets(batch: pa.RecordBatch) -> dict[str, object]:
-        made = [shingle_set(shingle_hashes(t or b"", words)) for t in batch.column(text).cast(pa.large_binary()).to_pylist()]
-        return {"set": pa.array(made, pa.binary()), "digest": pa.array([xxhash.xxh3_128_digest(x) for x in made], pa.binary())}
-
-    known = df.filter(F.col(key).isNotNull())
-    rows = settle(map_texts(known, text, [key], "v binary, keys array<long>, size long, digest binary", work))
-    nodes = settle(rows.groupBy("digest").agg(F.min(key).alias("node"), F.first("v").alias("v"), F.first("keys").alias("keys"),
-                                              F.first("size").alias("size")))
-    keyed = nodes.select("node", "digest", "size", "v", F.explode("keys").alias("shard"))
-    # only texts with a candidate beside them have their sets made and sent to the shards
-    near = settle(_links(keyed.select("shard", F.xxhash64("digest").alias("node"), "size", "v"), wide_radius(similarity), similarity))
-    asked = near.select(F.explode(F.array("a", "b")).alias("short")).distinct()
-    some = nodes.join(asked, F.xxhash64("digest") == F.col("short"), "left_semi").select("node", "digest")
-    texts = known.select(F.col(key).alias("node"), text).join(some.select("node").distinct(), "node", "left_semi")
-    own = map_texts(texts, text, ["node"], "set binary, digest binary", sets).join(some, ["node", "digest"], "left_semi")
-    with_sets = keyed.join(own.dropDuplicates(["node", "digest"]), ["node", "digest"]).select("shard", "node", "size", "v", "set")
-    same = rows.join(nodes.select("digest", "node"), "digest").select(F.col(key).alias("a"), F.col("node").alias("b"))
-    roots = components(_links(with_sets, wide_radius(similarity), similarity).union(same))
-    found = rows.select(F.col(key).alias("node")).distinct().join(roots, "node", "left")
-    return found.select(F.col("node").alias(key), F.coalesce("root", "node").alias("component_id"))

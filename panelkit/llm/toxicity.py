@@ -19,11 +19,13 @@ from panelkit.llm.common import map_texts
 
 @dataclass(frozen=True)
 class Settings:
-    """Bounds of the training sample (rows of each label, letters of a text) and the shape of the network."""
+    """Bounds of the training sample (rows of each label, and the pieces of ``piece`` letters, spread over the whole text, by
+    which a text longer than all of them teaches) and the shape of the network."""
 
     toxic: int = 900
     clean: int = 1800
-    letters: int = 8_000
+    pieces: int = 20
+    piece: int = 400
     window: int = 32
     hidden: int = 8
     words: int = 1 << 14
@@ -272,8 +274,9 @@ def score_texts(net: Network, texts: Sequence[str | None]) -> np.ndarray:
 
 
 def learn(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Network | None:
-    """Fit on a bounded sample: for either label the rows of ``labels (doc_id, toxic)`` with the smallest hashes, with their
-    texts of at most ``letters`` letters. Of several labels of one document the worst counts."""
+    """Fit on a bounded sample: for either label the rows of ``labels (doc_id, toxic)`` with the smallest hashes. A text of more
+    than ``pieces`` times ``piece`` letters teaches by pieces at even distances from its beginning to its end. Of several labels
+    of one document the worst counts; of several texts of one document one teaches, any of them."""
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     wanted = {0: settings.clean, 1: settings.toxic}
@@ -281,8 +284,13 @@ def learn(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     share = F.when(F.col("toxic") == 1, min(1.0, 1.6 * wanted[1] / counts.get(1, 1))).otherwise(min(1.0, 1.6 * wanted[0] / counts.get(0, 1)))
     # about 1.6 times as many rows as wanted: a bounded table
     some = known.filter(draw < share).withColumn("draw", draw)
-    short = docs.select("doc_id", "text").filter(F.length("text").between(1, settings.letters))
-    rows = short.join(F.broadcast(some), "doc_id").select("doc_id", "draw", "toxic", "text").collect()
+    many, size = settings.pieces, settings.piece
+    step = (F.length("text") - size) / max(1, many - 1)
+    spread = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(many - 1)), lambda i: F.substring(
+        F.col("text"), (i * step).cast("int") + 1, F.lit(size))), " ")
+    teaching = F.when(F.length("text") > many * size, spread).otherwise(F.col("text")).alias("text")
+    drawn = docs.select("doc_id", "text").filter(F.length("text") > 0).join(F.broadcast(some), "doc_id")
+    rows = drawn.select("doc_id", "draw", "toxic", teaching).dropDuplicates(["doc_id"]).collect()
     rows.sort(key=lambda r: (r["draw"], r["doc_id"], r["text"]))
     kept = [r for label in (0, 1) for r in [x for x in rows if x["toxic"] == label][:wanted[label]]]
     return fit([r["text"] for r in kept], [r["toxic"] for r in kept], settings)

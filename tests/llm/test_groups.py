@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 import pytest
 import xxhash
 
@@ -14,6 +15,7 @@ import corpus_pipeline
 from panelkit.llm import components, decontaminate, ppm, simhash, vectors
 from panelkit.llm.decontaminate import contaminated
 from panelkit.llm.queries import QUERIES
+from panelkit.session import settle
 
 
 # ---------------------------------------------------------------- components
@@ -81,36 +83,19 @@ def test_near_duplicates_equal_all_pairs(spark, odd_docs, no_docs, monkeypatch):
     assert simhash.simhash_report(no_docs).collect() == []
 
 
-def test_similar_texts_are_grouped_and_others_are_not(spark):
-    draw = random.Random(5)
-    words = [f"w{i}" for i in range(500)]
-    base = [draw.choices(words, k=150) for _ in range(20)]
-    rows = [(i, " ".join(b)) for i, b in enumerate(base)]
-    for i, b in enumerate(base):                      # one word of 150 changed: similarity 141 / 151
-        copy = list(b)
-        copy[70] = "other"
-        rows.append((100 + i, " ".join(copy)))
-        rows.append((200 + i, " ".join(b[:40] + draw.choices(words, k=110))))
-    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert all(got[100 + i] == i and got[i] == i and got[200 + i] == 200 + i for i in range(20))
-
-
-def test_similar_texts_equal_all_pairs_around_the_bound(spark):
-    draw = random.Random(8)
-    rows, key = [], 0
-    for changed in (5, 13, 14, 15, 16, 17, 18, 19, 20, 22, 24, 26, 30, 34):   # the similarity is (150 - k) / (150 + k)
-        for _ in range(12):
-            base = [f"w{draw.randrange(10 ** 6)}" for _ in range(154)]
-            rows += [(key, " ".join(base)), (key + 1, " ".join(base[:154 - changed] + [f"x{draw.randrange(10 ** 6)}" for _ in range(changed)]))]
-            key += 2
-    rows += [(key, "a b c d e f g h i"), (key + 1, "a b c d e f g h"), (key + 2, "a b c d e f g")]   # 4 of 5, and 3 of 4
-    sets = {k: set(simhash.shingle_hashes(t.encode(), 5)) for k, t in rows}
-    alike = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
-    want = {k: k for k in sets}
-    for a, b in alike:                                # every text has one partner at most
-        want[b] = want[a]
-    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == want and 30 < len(alike) < 120
+def test_links_of_one_shard_are_no_more_than_its_nodes(monkeypatch):
+    monkeypatch.setattr(simhash, "PAIRS", 50_000)     # many steps
+    draw = np.random.default_rng(6)
+    for n in (500, 2000, 4000):
+        # a chain of near copies: each differs from the one before in one bit
+        value = np.bitwise_xor.accumulate(np.append(np.uint64(12345), np.uint64(1) << draw.integers(0, 64, n - 1).astype(np.uint64)))
+        value = np.unique(value)
+        m = len(value)
+        a, b = simhash._shard_links(np.zeros(m, np.int64), np.arange(m), value[:, None], np.full(m, 3), 3)
+        assert len(a) < m and len(set(a.tolist())) == len(a)
+        root = components.local_roots(m, a, b)
+        near = np.bitwise_count(value[:, None] ^ value[None]) <= 3
+        assert (root == components.local_roots(m, *np.nonzero(near))).all()
 
 
 # ---------------------------------------------------------------- vectors
@@ -169,7 +154,7 @@ def test_exclusion_by_hand(spark):
 def test_scores_use_every_context_of_the_training_texts(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(300)
     extra = spark.createDataFrame([(-1, "zqxjk vwpfz once"), (-2, "Ωmega zqxjk"), (-3, ""), (-4, None)], "doc_id long, text string")
-    docs = docs.unionByName(extra).localCheckpoint()
+    docs = settle(docs.unionByName(extra))
     learnt = docs.filter("doc_id % 3 != 0")
     whole = ppm.learn(learnt, keep=1 << 60)
     rows = docs.collect()
@@ -270,6 +255,7 @@ def test_pipeline_stages_return_documents_and_survive_odd_rows(spark, odd_docs,
     for docs in (odd_docs, no_docs):
         for name, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, docs, folder)
+            assert out.dtypes == docs.dtypes, name
             assert out.columns == docs.columns, name
             kept = {r["doc_id"] for r in out.collect()}
             assert kept <= {r["doc_id"] for r in docs.collect()}, name
@@ -291,3 +277,26 @@ def test_pipeline_decisions_take_effect(spark):
     masked = corpus_pipeline.secret_free(spark, free, folder).filter("doc_id = 90003").first()
     assert masked["text"] == "key is [SECRET] ok then" and masked["n_chars"] == 23
     assert corpus_pipeline.run(spark, folder).count() > 0
+
+
+def test_pipeline_judges_rows_without_an_id_or_with_a_shared_one(spark):
+    folder = "/root/testdata/sf0.001"
+    leak = spark.read.parquet(f"{folder}/benchmark.parquet").first()["text"]
+    rows = [(None, leak, "en", "s", 1), (None, "some clean words of a text without an id", "en", "s", 1), (5, leak, "en", "s", 1),
+            (5, "another clean text that shares an id with a leak", "en", "s", 1), (5, "another clean text that shares an id with a leak", "en", "s", 2),
+            (4, "some clean words of a text without an id", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, row_number long")
+    free = corpus_pipeline.benchmark_free(spark, docs, folder)
+    assert sorted((r["doc_id"] or 0, r["text"][:4]) for r in free.collect()) == [(0, "some"), (4, "some"), (5, "anot"), (5, "anot")]
+    single = corpus_pipeline.near_duplicate(spark, docs, folder)
+    assert sorted((r["doc_id"], r["text"][:4]) for r in single.collect()) == sorted([(4, "some"), (5, "anot"), (5, leak[:4])])
+
+
+def test_language_stage_rejects_what_no_label_teaches(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    draw = random.Random(4)
+    other = ["".join(draw.choices("абвгдежзиклмнопрстуфхцчшщ", k=6)) for _ in range(300)]
+    foreign = [(10 ** 6 + i, " ".join(draw.choices(other, k=80)), None, "s", 1) for i in range(40)]
+    kept = corpus_pipeline.language(spark, docs.unionByName(spark.createDataFrame(foreign, docs.schema)), "/root/testdata/sf0.01")
+    assert kept.filter("doc_id < 1000000").count() >= 0.99 * docs.filter(F.col("text").rlike(r"\p{L}")).count()
+    assert kept.filter("doc_id >= 1000000").count() <= 20
