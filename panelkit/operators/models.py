@@ -1,8 +1,8 @@
 """Analysis of variance, least squares, lasso and stepwise selection.
 
-All linear models here depend on the data only through counts, means and centred cross-products. Spark
-computes those once, as mergeable aggregates over the whole table; what is solved afterwards is a matrix as
-wide as the number of predictors.
+All linear models here depend on the data only through a triangular factor (least squares, stepwise selection) or
+through counts, means and centred cross-products (lasso). Spark computes those once, as mergeable aggregates over the whole
+table; what is solved afterwards is a matrix as wide as the number of predictors.
 """
 
 from collections.abc import Mapping, Sequence
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from panelkit.functions import f_upper, ratio
 from panelkit.functions.tails import t_tail
 from panelkit.session import settle
-from panelkit.operators.moments import Moments, fold_moments, moments
+from panelkit.operators.moments import Moments, fold_moments, triangle
 
 INTERCEPT = "(Intercept)"
 SWEEPS = 100_000
@@ -34,35 +34,39 @@ def anova(df: DataFrame, y: str, g: str) -> DataFrame:
     return sums.withColumn("f", f).withColumn("p", f_upper(F.col("f"), F.col("df_between"), F.col("df_within")))
 
 
-def independent(m: Moments, xs: Sequence[int], tolerance: float = 1e-7) -> list[int]:
-    """Those of ``xs`` that are no combination of the ones before them, nor constant: the others are aliased.
+def independent(r: np.ndarray, xs: Sequence[int], tolerance: float = 1e-7) -> list[int]:
+    """Those of the columns ``xs`` of a triangular factor that are no combination of the ones before them and the constant (its
+    column 0): the others are aliased.
 
-    A column is aliased if less than ``tolerance`` of its scale is left once the kept ones are projected out.
+    A column is aliased if less than ``tolerance`` of its length is left once the kept ones are projected out.
     """
     kept: list[int] = []
-    for x in xs:
-        size = m.cross[x, x]
-        if size <= 0:
-            continue
-        scale = np.sqrt(np.diag(m.cross)[kept])
-        a = m.cross[np.ix_(kept, kept)] / np.outer(scale, scale)
-        b = m.cross[kept, x] / (scale * math.sqrt(size))
-        left = 1 - b @ np.linalg.solve(a, b) if kept else 1.0
-        if left > tolerance:
+    basis = np.zeros((len(r), 0))
+    for x in [0, *xs]:
+        column = r[:, x]
+        left = column - basis @ (basis.T @ column)
+        left -= basis @ (basis.T @ left)  # twice, so that the rest is orthogonal to the last digit
+        length = np.linalg.norm(left)
+        if length > tolerance * np.linalg.norm(column):
             kept.append(x)
-    return kept
+            basis = np.column_stack([basis, left / length])
+    return kept[1:]
 
 
-def _fit(m: Moments, y: int, xs: Sequence[int]) -> tuple[np.ndarray, float]:
-    """Slopes and residual sum of squares. Columns are scaled first to keep the system well conditioned."""
-    if not xs:
-        return np.zeros(0), float(m.cross[y, y])
-    scale = np.sqrt(np.diag(m.cross)[list(xs)])
-    a = m.cross[np.ix_(xs, xs)] / np.outer(scale, scale)
-    b = m.cross[list(xs), y] / scale
-    slopes = np.linalg.solve(a, b)
-    rss = float(m.cross[y, y] - 2 * slopes @ b + slopes @ a @ slopes)
-    return slopes / scale, max(rss, 0.0)
+def _fit(r: np.ndarray, y: int, xs: Sequence[int]) -> tuple[np.ndarray, np.ndarray, float]:
+    """Coefficients (the constant first), the inverse triangle of their columns, and the residual sum of squares.
+
+    Columns are scaled to length one first; the inverse is that of the columns as they are.
+    """
+    columns = r[:, [0, *xs, y]]
+    scale = np.linalg.norm(columns[:, :-1], axis=0)
+    small = np.linalg.qr(np.column_stack([columns[:, :-1] / scale, columns[:, -1]]), mode="r")
+    k = len(scale)
+    inverse = np.linalg.inv(small[:k, :k])
+    rest = np.linalg.norm(small[k:, k])
+    # what rounding leaves of a perfect fit is none
+    rss = float(rest ** 2) if rest > 1e-14 * np.linalg.norm(columns[:, -1]) else 0.0
+    return inverse @ small[:k, k] / scale, inverse / scale[:, None], rss
 
 
 def ols(df: DataFrame, y: str, xs: Sequence[str]) -> DataFrame:
@@ -71,25 +75,24 @@ def ols(df: DataFrame, y: str, xs: Sequence[str]) -> DataFrame:
     A term that is constant or a combination of earlier ones is aliased: it is left out of the fit, its own numbers are
     NULL, and the degrees of freedom count the terms kept. r2 of a constant response is NULL.
     """
-    k = len(xs)
-    m = moments(df, [*xs, y])
-    used = independent(m, range(k))
-    slopes, rss = _fit(m, k, used)
-    free = m.n - len(used) - 1
+    k = len(xs) + 1
+    n, r = triangle(df, [*xs, y])
+    used = independent(r, range(1, k))
+    slopes, inverse, rss = _fit(r, k, used)
+    constant = not independent(r, [k], 1e-12)
+    total = 0.0 if constant else _fit(r, k, [])[2]
+    rss = 0.0 if constant else rss
+    free = n - len(used) - 1
     sigma2 = rss / free if free > 0 else math.nan
-    scale = np.sqrt(np.diag(m.cross)[used])
-    inverse = np.linalg.inv(m.cross[np.ix_(used, used)] / np.outer(scale, scale)) / np.outer(scale, scale)
-    middle = m.mean[used]
-    numbers = {-1: (float(m.mean[k] - slopes @ middle), math.sqrt(sigma2 * (1 / m.n + middle @ inverse @ middle)))}
-    numbers |= {x: (float(b), math.sqrt(sigma2 * v)) for x, b, v in zip(used, slopes, np.diag(inverse))}
-    r2 = float(1 - rss / m.cross[k, k]) if m.cross[k, k] > 0 else None
-    r2adj = 1 - (1 - r2) * (m.n - 1) / free if r2 is not None and free > 0 else None
+    numbers = {x: (float(b), math.sqrt(sigma2 * float(v @ v))) for x, b, v in zip([0, *used], slopes, inverse)}
+    r2 = float(1 - rss / total) if total > 0 else None
+    r2adj = 1 - (1 - r2) * (n - 1) / free if r2 is not None and free > 0 else None
     known = lambda v: None if math.isnan(v) else v
     out = []
     for i, term in enumerate([INTERCEPT, *xs]):
-        b, se = numbers.get(i - 1, (math.nan, math.nan))
+        b, se = numbers.get(i, (math.nan, math.nan))
         t = b / se if se else math.copysign(math.inf, b) if b else math.nan
-        out.append((i, term, known(b), known(se), known(t), known(t_tail(t, free)), r2, r2adj, int(m.n)))
+        out.append((i, term, known(b), known(se), known(t), known(t_tail(t, free)), r2, r2adj, n))
     return df.sparkSession.createDataFrame(
         out, "pos int, term string, estimate double, std_error double, t double, p double, "
              "r2 double, r2adj double, n long")
@@ -186,13 +189,13 @@ def step_aic(df: DataFrame, y: str, xs: Sequence[str], direction: str = "both",
     if direction not in ("forward", "backward", "both"):
         raise ValueError(f"unknown direction: {direction}")
     k = len(xs)
-    m = moments(df, [*xs, y])
+    n, r = triangle(df, [*xs, y])
 
     def aic(chosen: list[int]) -> float:
         """Aliased terms add nothing to the fit and count for nothing."""
-        used = independent(m, chosen)
-        rss = _fit(m, k, used)[1]
-        return m.n * math.log(rss / m.n) + 2 * (len(used) + 1) if rss > 0 else -math.inf
+        used = independent(r, [i + 1 for i in chosen])
+        rss = _fit(r, k + 1, used)[2]
+        return n * math.log(rss / n) + 2 * (len(used) + 1) if rss > 0 else -math.inf
 
     begin = start if start is not None else (xs if direction == "backward" else [])
     model = [xs.index(x) for x in begin]

@@ -1,8 +1,9 @@
-"""Counts, means and centred cross-products of many columns in one pass.
+"""Counts, means, centred cross-products and triangular factors of many columns in one pass.
 
-Each task multiplies whole Arrow batches and keeps one centred partial per fold; partials are merged two by two with the
-update that never subtracts large sums, first within a fixed number of tasks and then on the driver, which sees matrices as
-wide as the number of columns and no rows. Workers need not have this package: the functions themselves are shipped.
+Each task works on whole Arrow batches and keeps one partial per fold; partials are merged two by two, first within a few
+tasks and then on the driver, which sees matrices as wide as the number of columns and no rows. Cross-products are merged with
+the update that never subtracts large sums. Triangular factors (QR of each batch, then of two factors one on the other) keep
+the digits that squaring the columns would lose. Workers need not have this package: the functions themselves are shipped.
 """
 
 from collections.abc import Iterator, Sequence
@@ -16,7 +17,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-MERGERS = 16
+#: Groups of tasks whose partials are merged before the driver; adaptive execution puts groups of few bytes together.
+MERGERS = 64
 
 
 @dataclass
@@ -54,6 +56,11 @@ class PairMoments:
 
 def _batch(x: np.ndarray, seen: np.ndarray) -> np.ndarray:
     """``(n, mean, cross, square)`` of every pair in a batch, stacked."""
+    if seen.all():
+        middle = x.mean(axis=0)
+        centred = x - middle
+        cross, wide = centred.T @ centred, np.ones((x.shape[1], x.shape[1]))
+        return np.stack([wide * len(x), middle[:, None] * wide, cross, np.diag(cross)[:, None] * wide])
     count = seen.sum(axis=0)
     middle = np.divide(np.where(seen, x, 0).sum(axis=0), count, out=np.zeros(x.shape[1]), where=count > 0)
     centred = np.where(seen, x - middle, 0.0)
@@ -94,9 +101,10 @@ def _partials(df: DataFrame, cols: Sequence[str], fold: Column) -> dict[object,
             folds = batch.column(0).to_numpy(zero_copy_only=False)
             x = np.column_stack([batch.column(i + 1).to_numpy(zero_copy_only=False) for i in range(k)])
             seen = np.column_stack([np.asarray(batch.column(i + 1).is_valid()) for i in range(k)])
-            for name in np.unique(folds).tolist():
+            names = np.unique(folds).tolist()
+            for name in names:
                 mine = folds == name
-                add(held, name, _batch(x[mine], seen[mine]))
+                add(held, name, _batch(x, seen) if len(names) == 1 else _batch(x[mine], seen[mine]))
         yield out(held)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,13 +115,63 @@ def _partials(df: DataFrame, cols: Sequence[str], fold: Column) -> dict[object,
         yield out(held)
 
     numbers = df.select(fold.cast("long").alias("_fold"), *[F.col(f"`{c}`").cast("double").alias(f"_{i}") for i, c in enumerate(cols)])
-    rows = numbers.mapInArrow(read, schema).repartition(MERGERS).mapInArrow(join, schema).collect()
+    rows = _together(numbers.mapInArrow(read, schema)).mapInArrow(join, schema).collect()
     held: dict = {}
     for row in sorted(rows, key=lambda r: (r["fold"], r["part"])):
         add(held, row["fold"], np.array(row["part"]).reshape(4, k, k))
     return held
 
 
+def _together(parts: DataFrame) -> DataFrame:
+    """The partials of all tasks in a few tasks, in one if they are small."""
+    columns = parts.columns
+    return parts.withColumn("_slot", F.spark_partition_id() % MERGERS).repartition("_slot").select(columns)
+
+
+def triangle(df: DataFrame, cols: Sequence[str]) -> tuple[int, np.ndarray]:
+    """The number of complete rows, and the triangular factor of a column of ones and ``cols`` over them: with Q of
+    orthonormal columns, (1, cols) = Q R. It holds all that least squares on any of the columns needs."""
+    wide = len(cols) + 1
+    schema = "n long, part array<double>"
+
+    def reduced(x: np.ndarray) -> np.ndarray:
+        return np.linalg.qr(x, mode="r") if len(x) > wide else x
+
+    def out(n: int, r: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([r.ravel().tolist()], pa.list_(pa.float64()))], ["n", "part"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, r = 0, np.zeros((0, wide))
+        for batch in batches:
+            if batch.num_rows:
+                x = np.column_stack([np.ones(batch.num_rows), *[c.to_numpy(zero_copy_only=False) for c in batch.columns]])
+                n, r = n + len(x), reduced(np.vstack([r, reduced(x)]))
+        if n:
+            yield out(n, r)
+
+    def merged(rows: list[tuple[int, np.ndarray]]) -> tuple[int, np.ndarray]:
+        """Two by two, in one order whatever task came first."""
+        rows = sorted(rows, key=lambda row: (row[0], row[1].tolist()))
+        while len(rows) > 1:
+            rows = [(sum(n for n, _ in rows[i:i + 2]), reduced(np.vstack([r for _, r in rows[i:i + 2]]))) for i in range(0, len(rows), 2)]
+        return rows[0] if rows else (0, np.zeros((0, wide)))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+        for batch in batches:
+            held += [(n, np.array(part).reshape(-1, wide)) for n, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            held = [merged(held)] if len(held) > MERGERS else held
+        if held:
+            yield out(*merged(held))
+
+    numbers = _complete(df, cols).select(*[F.col(f"`{c}`").cast("double").alias(f"_{i}") for i, c in enumerate(cols)])
+    rows = _together(numbers.mapInArrow(read, schema)).mapInArrow(join, schema).collect()
+    n, r = merged([(row["n"], np.array(row["part"]).reshape(-1, wide)) for row in rows])
+    if not n:
+        raise ValueError("no complete row")
+    return n, r
+
+
 def _complete(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.dropna("any", subset=list(cols))
 

@@ -152,6 +152,23 @@ def two_predictor_regression(t: Tables) -> DataFrame:
                       F.round("r2", 6).alias("r2"), F.round("r2adj", 6).alias("r2adj"))
 
 
+@query("near_collinear_predictors", """
+WITH x AS (SELECT l_extendedprice AS y, l_quantity AS q, CAST((l_orderkey * 7 + l_linenumber * 13) % 101 - 50 AS DOUBLE) AS e FROM lineitem),
+m AS (SELECT count(*) AS n, avg(q) AS mq, avg(e) AS me, avg(y) AS my, var_pop(q) * count(*) AS sqq, var_pop(e) * count(*) AS see,
+        covar_pop(q, e) * count(*) AS sqe, covar_pop(q, y) * count(*) AS sqy, covar_pop(e, y) * count(*) AS sey, var_pop(y) * count(*) AS syy FROM x),
+b AS (SELECT *, sqq * see - sqe * sqe AS det, (sqy * see - sey * sqe) / (sqq * see - sqe * sqe) AS bq, (sey * sqq - sqy * sqe) / (sqq * see - sqe * sqe) AS be FROM m),
+f AS (SELECT *, (syy - bq * sqy - be * sey) / (n - 3) AS s2, 0.0001 AS h FROM b)
+SELECT 'q' AS term, round((bq - be / h) / 1000, 3) AS estimate, round(sqrt(s2 * (see + sqq / h / h + 2 * sqe / h) / det) / 1000, 4) AS std_error FROM f
+UNION ALL SELECT 'near', round(be / h / 1000, 3), round(sqrt(s2 * sqq / det) / h / 1000, 4) FROM f""")
+def near_collinear_predictors(t: Tables) -> DataFrame:
+    """A predictor and the same with a ten-thousandth of noise: both are estimated. The SQL takes the noise for a predictor of
+    its own, which is the same model without the loss of digits."""
+    noise = (F.pmod(F.col("l_orderkey") * 7 + F.col("l_linenumber") * 13, F.lit(101)) - 50).cast("double")
+    rows = t.lineitem.select("l_extendedprice", F.col("l_quantity").cast("double").alias("q"), noise.alias("e"))
+    fit = ols(rows.withColumn("near", F.col("q") + F.col("e") * 0.0001), "l_extendedprice", ["q", "near"])
+    return fit.filter("pos > 0").select("term", F.round(F.col("estimate") / 1000, 3).alias("estimate"), F.round(F.col("std_error") / 1000, 4).alias("std_error"))
+
+
 MODEL_COLUMNS = ["l_quantity", "l_discount", "l_tax", "l_linenumber", "late"]
 
 

@@ -235,3 +235,31 @@ def test_subset_shares_sort_once_for_each_chain(spark):
     df = spark.range(20).select((F.col("id") % 2).alias("k"), *[(F.col("id") % n).alias(f"d{n}") for n in (2, 3, 5)], F.lit(1.0).alias("v"))
     plan = subset_cells(df, "k", ["d2", "d3", "d5"], "v", "total")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("+- Sort [") <= 3
+
+
+def test_near_collinear_terms_are_kept_and_copies_are_not(spark):
+    draw = np.random.default_rng(3)
+    x, noise, z = draw.normal(size=(3, 5000))
+    near = x + 1e-4 * noise
+    y = 3000 * x - 3000 * near + z + draw.normal(size=5000) * 0.1
+    rows = [tuple(map(float, r)) for r in zip(x, near, z, y, x - near)]
+    df = spark.createDataFrame(rows, "x double, near double, z double, y double, gap double").repartition(7)
+    fit = {r["term"]: r for r in ols(df.withColumn("again", F.col("x")), "y", ["x", "again", "near", "z", "gap"]).collect()}
+    want = np.linalg.lstsq(np.column_stack([np.ones(5000), x, near, z]), y, rcond=None)[0]
+    assert [fit[t]["estimate"] for t in ("(Intercept)", "x", "near", "z")] == pytest.approx(want.tolist(), rel=1e-7)
+    assert fit["again"]["estimate"] is None and fit["gap"]["estimate"] is None and fit["z"]["n"] == 5000
+    steps = step_aic(df, "y", ["x", "near", "z"]).collect()
+    assert sorted(steps[-1]["terms"]) == ["near", "x", "z"]
+
+
+def test_estimates_keep_their_digits_at_a_condition_of_1e8(spark):
+    draw = np.random.default_rng(5)
+    u, _ = np.linalg.qr(draw.normal(size=(400, 6)))
+    v, _ = np.linalg.qr(draw.normal(size=(6, 6)))
+    x = u * 10.0 ** -np.linspace(0, 6, 6) @ v.T * 1e3
+    y = x @ np.arange(1, 7) + draw.normal(size=400) * 1e-6
+    names = [f"x{i}" for i in range(6)]
+    df = spark.createDataFrame([tuple(map(float, [*a, b])) for a, b in zip(x, y)], ", ".join(f"{c} double" for c in [*names, "y"]))
+    got = [r["estimate"] for r in ols(df.repartition(5), "y", names).orderBy("pos").collect()]
+    want = np.linalg.lstsq(np.column_stack([np.ones(400), x]), y, rcond=None)[0]
+    assert got[1:] == pytest.approx(want[1:].tolist(), rel=1e-6)

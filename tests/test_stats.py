@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from panelkit.operators import (
     anova, apply_linear, cor_matrix, cor_pvalues, cor_test, cor_with, lasso, ols, quantiles, share, spearman, step_aic, upper_triangle,
 )
-from panelkit.operators.models import moments
+from panelkit.operators.moments import moments
 
 
 @pytest.fixture(scope="module")
