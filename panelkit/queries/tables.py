@@ -1,5 +1,7 @@
 """Sources, projections, filters, joins and reshaping."""
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from panelkit.functions import (
@@ -13,7 +15,7 @@ from panelkit.plans.specs import CITY_MARKERS, STATE_NAMES
 from panelkit.queries import inputs as I
 from panelkit.queries.registry import query, rounded, Tables
 from panelkit.session import scratch_path
-from panelkit.sources import acs_table, extract_links, first_links, lookup, read_table, read_wide, write_table
+from panelkit.sources import acs_table, extract_links, first_links, lookup, read_table, read_wide, read_wide_panel, write_table
 
 # ---------------------------------------------------------------- sources and sinks
 
@@ -39,6 +41,24 @@ def wide_text_round_trip(t: Tables) -> DataFrame:
     return melt_panel(wide, I.KEYS, "cases").withColumn("cases", clean_number("cases"))
 
 
+@query("wide_files_read", f"""
+WITH {I.E_SQL} SELECT county_name, state, date, cases FROM e
+WHERE state IN ('NATION_1', 'NATION_4', 'NATION_7', 'NATION_12', 'NATION_20') AND date >= DATE '2024-01-11' AND date < DATE '2024-01-21'""")
+def wide_files_read(t: Tables) -> DataFrame:
+    """Counts to many wide files, one for each state and third of the calendar, so that headers differ; read back as long rows,
+    states and dates chosen by the reader, which takes the filters from the plan."""
+    days = I.event_days(t)
+    counts = I.event_counts(t, days)
+    path = scratch_path(t.spark, "wide")
+    for i in range(3):
+        wide = I.wide_file(counts, "cases", days[i::3]).withColumn("part", F.col("State"))
+        wide.repartition("part").write.mode("append").option("header", True).partitionBy("part").csv(f"{path}/{i}")
+    rows = read_wide_panel(t.spark, path, ["County Name", "State"], push=True)
+    some = rows.filter(F.col("State").isin("NATION_1", "NATION_4", "NATION_7", "NATION_12", "NATION_20")
+                       & (F.col("date") >= F.lit(dt.date(2024, 1, 11))) & (F.col("date") < F.lit(dt.date(2024, 1, 21))))
+    return some.select(F.col("County Name").alias("county_name"), F.col("State").alias("state"), "date", clean_number("value").alias("cases"))
+
+
 @query("inferred_text_read", """
 SELECT o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total, min(CAST(o_orderdate AS DATE)) AS first_date
 FROM orders GROUP BY 1""")

@@ -28,20 +28,16 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
     return reader.parquet(path)
 
 
-def _header(spark: SparkSession, file: str) -> str:
-    """The first line of one file that is not blank, empty if there is none, read through the file system that holds it."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(file)
-    source = path.getFileSystem(spark._jsc.hadoopConfiguration()).open(path)
-    codec = spark._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(spark._jsc.hadoopConfiguration()).getCodec(path)
-    reader = spark._jvm.java.io.BufferedReader(
-        spark._jvm.java.io.InputStreamReader(codec.createInputStream(source) if codec else source, "UTF-8"))
-    try:
-        line = reader.readLine()
-        while line is not None and not line.strip():
-            line = reader.readLine()
-        return line or ""
-    finally:
-        reader.close()
+def _headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Files by their first line that is not blank; those without one are left out. The lines are read in tasks."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                                         F.monotonically_increasing_id().alias("place"), "value").filter(F.trim("value") != "")
+    # a file's parts lie in order within the numbers of their tasks only; its first line is in the part that begins it
+    firsts = lines.groupBy("file").agg(F.min_by("value", F.struct("block", "place")).alias("header"))
+    found: dict[str, list[str]] = {}
+    for header, files in sorted(firsts.groupBy("header").agg(F.sort_array(F.collect_list("file"))).collect()):
+        found[header] = files
+    return found
 
 
 def read_wide(spark: SparkSession, path: str, id_cols: Sequence[str]) -> DataFrame:
@@ -50,10 +46,7 @@ def read_wide(spark: SparkSession, path: str, id_cols: Sequence[str]) -> DataFra
     Counts stay text because some cells carry thousands commas; ``clean_number`` repairs them. Files of a folder may have
     different columns or another order: those with one header are read together, and columns meet by name.
     """
-    files: dict[str, list[str]] = {}
-    for file in sorted(spark.read.text(path).inputFiles()):
-        files.setdefault(_header(spark, file), []).append(file)
-    files.pop("", None)  # a file without a header has no rows
+    files = _headers(spark, path)  # a file without a header has no rows
     reader = spark.read.option("header", True)
     if len(files) < 2:
         df = _strip_mark(reader.csv(path))

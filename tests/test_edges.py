@@ -246,9 +246,9 @@ def test_near_collinear_terms_are_kept_and_copies_are_not(spark):
     df = spark.createDataFrame(rows, "x double, near double, z double, y double, gap double").repartition(7)
     fit = {r["term"]: r for r in ols(df.withColumn("again", F.col("x")), "y", ["x", "again", "near", "z", "gap"]).collect()}
     want = np.linalg.lstsq(np.column_stack([np.ones(5000), x, near, z]), y, rcond=None)[0]
-    assert [fit[t]["estimate"] for t in ("(Intercept)", "x", "near", "z")] == pytest.approx(want.tolist(), rel=1e-7)
+    assert [fit[t]["estimate"] for t in ("(Intercept)", "x", "near", "z")] == pytest.approx(want.tolist(), rel=1e-6, abs=1e-6)
     assert fit["again"]["estimate"] is None and fit["gap"]["estimate"] is None and fit["z"]["n"] == 5000
-    steps = step_aic(df, "y", ["x", "near", "z"]).collect()
+    steps = step_aic(df, "y", ["x", "near", "z"], "backward").collect()
     assert sorted(steps[-1]["terms"]) == ["near", "x", "z"]
 
 

@@ -1,5 +1,6 @@
 """Sources, selection, joins and reshaping."""
 
+import datetime as dt
 import os
 
 import pytest
@@ -10,7 +11,7 @@ from panelkit.operators import (
     ordered_levels, quantiles, recode, rename_like, running_total, split_label, spread, top_k, without_outliers,
 )
 from panelkit.session import checkpoint_dir, settle
-from panelkit.sources import acs_table, extract_links, first_links, lookup, read_table, read_wide, write_table
+from panelkit.sources import acs_table, extract_links, first_links, lookup, read_table, read_wide, read_wide_panel, write_table
 
 
 def rows(df, *order):
@@ -156,3 +157,56 @@ def test_settled_rows_keep_their_values(spark):
     df = settle(spark.range(5))
     assert rows(df, "id") == [(i,) for i in range(5)]
     assert checkpoint_dir(spark) == spark.sparkContext.getCheckpointDir()
+
+
+# ---------------------------------------------------------------- wide files as a data source
+
+IDS = ["County Name", "State"]
+
+
+def long_rows(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+def test_wide_source_reads_any_headers_cut_anywhere(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('State,"County Name",2020-01-01,2020-01-02\nIN,"A, b","1,000",2\r\nKY,C,,5\n')
+    (tmp_path / "b.csv").write_text("\n \n\ufeffCounty Name,State,note,2020-01-03\nZ,OH,x,7\nY,IN,y,8", encoding="utf-8")
+    (tmp_path / "c.csv").write_text("\n")
+    (tmp_path / "d.csv").write_text("County Name,State,2020-01-09\n")
+    (tmp_path / "_note").write_text("no data")
+    want = sorted([("A, b", "IN", dt.date(2020, 1, 1), "1,000"), ("A, b", "IN", dt.date(2020, 1, 2), "2"), ("C", "KY", dt.date(2020, 1, 1), None),
+                   ("C", "KY", dt.date(2020, 1, 2), "5"), ("Z", "OH", dt.date(2020, 1, 3), "7"), ("Y", "IN", dt.date(2020, 1, 3), "8")], key=str)
+    for size in (1, 2, 7, 20, 41, 1 << 20):
+        assert long_rows(read_wide_panel(spark, str(tmp_path), IDS, partitionBytes=size)) == want, size
+    some = read_wide_panel(spark, f"file://{tmp_path}", IDS, where={"State": ["IN", "XX"]}, first=dt.date(2020, 1, 2), last=dt.date(2020, 1, 3))
+    assert long_rows(some) == [r for r in want if r[1] == "IN" and r[2] >= dt.date(2020, 1, 2)]
+    assert read_wide_panel(spark, str(tmp_path / "c.csv"), IDS).count() == 0
+    with pytest.raises(ValueError):
+        read_wide_panel(spark, str(tmp_path), IDS, where={"Town": ["x"]})
+    (tmp_path / "e.csv").write_text("State,2020-01-09\nIN,1\n")
+    with pytest.raises(Exception, match="id columns not in"):
+        read_wide_panel(spark, str(tmp_path), IDS).collect()
+
+
+def test_wide_source_takes_filters_from_the_plan(spark, tmp_path, capsys):
+    days = [dt.date(2020, 1, 1) + dt.timedelta(days=i) for i in range(60)]
+    for k in range(4):
+        lines = ["County Name,State," + ",".join(map(str, days[k::4]))] + [f"c{i},S{i % 5}," + ",".join(str(i * 100 + j) for j in range(15)) for i in range(50)]
+        (tmp_path / f"{k}.csv").write_text("\n".join(lines))
+    wanted = (F.col("State") == "S3") & F.col("date").between(dt.date(2020, 1, 10), dt.date(2020, 1, 20)) & (F.col("value") != "5")
+    got = read_wide_panel(spark, str(tmp_path), IDS, push=True).filter(wanted)
+    got.explain("formatted")
+    plan = capsys.readouterr().out
+    pushed = next(line for line in plan.splitlines() if "PushedFilters" in line)
+    assert "EqualTo(State,S3)" in pushed and "GreaterThanOrEqual(date" in pushed and "LessThanOrEqual(date" in pushed and "value" not in pushed
+    assert long_rows(got) == long_rows(read_wide_panel(spark, str(tmp_path), IDS).filter(wanted)) and got.count() == 10 * 11
+
+
+def test_ten_thousand_small_files_are_planned_without_being_opened(spark, tmp_path):
+    for i in range(10_000):
+        order = ("County Name,State", f"c{i},IN") if i % 2 else ("State,County Name", f"IN,c{i}")
+        (tmp_path / f"{i}.csv").write_text(f"{order[0]},2020-01-{1 + i % 28:02d}\n{order[1]},{i}\n")
+    df = read_wide_panel(spark, str(tmp_path), IDS)
+    assert df.rdd.getNumPartitions() < 1000
+    row = df.agg(F.count("value").alias("n"), F.sum(F.col("value").cast("long")).alias("s"), F.countDistinct("date").alias("d")).first()
+    assert tuple(row) == (10_000, sum(range(10_000)), 28)
