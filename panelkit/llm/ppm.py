@@ -5,14 +5,16 @@ of every shorter context likewise; none is left out. A context gives a symbol it
 different symbols, and leaves d / (n + d) to the next shorter context, from which the symbols seen are excluded. The
 shortest one leaves the rest to all symbols alike. So the chances of all texts add up to one.
 
-The chances are tables, joined to the different runs of each text. ``FAST`` of the most frequent runs are broadcast with
-their chances, so that only the others are joined; how many those are changes no result.
+The trie is laid out by reversed context: a context, all its longer ones and their symbols lie side by side, so a range of
+reversed contexts is a branch. Runs are dealt to tasks by branch, the texts' questions (a run and how often) behind them; each
+task builds its branch in arrays and answers. A branch with too many runs or questions is cut one byte deeper; the few
+contexts above the cuts are broadcast. ``FAST`` of the most frequent runs are broadcast with their chances and answered on
+the spot; how many those are changes no result.
 """
 
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 import math
 
 import numpy as np
@@ -26,6 +28,8 @@ from panelkit.session import settle
 ORDER = 6
 #: Runs whose chances are broadcast, at most; all others are joined.
 FAST = 1 << 21
+#: Runs and questions of a branch before it is cut deeper, and of the branches that a task holds in memory at once.
+BRANCH = 1 << 21
 #: Bytes UTF-8 never uses, for the place before a text and the end behind it; all symbols are 256 bytes and the end.
 BEGIN, END, SYMBOLS = 0xFE, 0xFF, 257
 #: A word with at least this share of all tokens is broadcast; there are at most that many. The others are joined.
@@ -94,145 +98,192 @@ def gram_counts(df: DataFrame, text: str = "text", order: int = ORDER) -> DataFr
     return df.select(text).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
+# ---------------------------------------------------------------- branches
+
+def reverse(gram: np.ndarray, order: int) -> np.ndarray:
+    """The context's bytes in reverse, the nearest one highest, and the symbol lowest."""
+    out = np.zeros(len(gram), np.int64)
+    rest = gram >> 8
+    for _ in range(order):
+        out = out << 8 | rest & 0xFF
+        rest >>= 8
+    return out << 8 | gram & 0xFF
+
+
+@dataclass(frozen=True)
+class Level:
+    """The runs of one context length, by reversed context: sorted runs with counts, and sorted contexts with the places they
+    were seen at, their different symbols, and log10 of what they leave to a symbol the next shorter one is asked for."""
+
+    run: np.ndarray
+    n: np.ndarray
+    context: np.ndarray
+    places: np.ndarray
+    kinds: np.ndarray
+    escape: np.ndarray
+
+    def find(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each context is, and whether it is there at all."""
+        at = np.minimum(np.searchsorted(self.context, context), max(len(self.context) - 1, 0))
+        return at, (self.context[at] == context) if len(self.context) else np.zeros(len(context), bool)
+
+
+def _level(run: np.ndarray, n: np.ndarray, below: Level | None) -> Level:
+    """From runs in any order; ``below`` is the level of contexts one byte shorter, which has them all."""
+    run, n = _merged([(run, n)])
+    begin = np.flatnonzero(np.append(True, run[1:] >> 8 != run[:-1] >> 8)) if len(run) else np.zeros(0, np.int64)
+    context, places = run[begin] >> 8, np.add.reduceat(n, begin) if len(run) else n
+    kinds = np.diff(np.append(begin, len(run)))
+    escape = np.zeros(len(context))
+    if below is not None and len(run):
+        at, _ = below.find(context >> 8)
+        under = (below.places + below.kinds)[at]
+        known = below.n[np.searchsorted(below.run, (run >> 16) << 8 | run & 0xFF)]
+        # the symbols seen here are excluded below
+        escape = np.log10(kinds / (places + kinds) * under / (under - np.add.reduceat(known, begin)))
+    return Level(run, n, context, places, kinds, escape)
+
+
+def branch(gram: np.ndarray, n: np.ndarray, cut: np.ndarray, upper: list[tuple[np.ndarray, np.ndarray]], order: int) -> list[Level]:
+    """The levels from context length 0 to ``order`` of some branches, from their runs of the longest; ``cut`` is the length of
+    context each run's branch was cut at. ``upper`` holds, by length, the runs of the contexts above the cuts."""
+    whole = reverse(gram, order)
+    levels: list[Level] = []
+    for k in range(order + 1):
+        mine = cut <= k
+        run = (whole[mine] >> 8 * (order - k + 1)) << 8 | whole[mine] & 0xFF
+        parts = [(run, n[mine]), *upper[k:k + 1]]
+        levels.append(_level(np.concatenate([r for r, _ in parts]), np.concatenate([m for _, m in parts]), levels[-1] if k else None))
+    return levels
+
+
+def answers(levels: list[Level], gram: np.ndarray, order: int) -> np.ndarray:
+    """log10 of the chance of each run: escapes from the longest context down to the one that has seen its symbol."""
+    whole = reverse(gram, order)
+    out = np.zeros(len(gram))
+    left = np.arange(len(gram))
+    for k in range(order, -1, -1):
+        level = levels[k]
+        context = whole[left] >> 8 * (order - k + 1)
+        at, there = level.find(context)
+        run = context << 8 | whole[left] & 0xFF
+        place = np.minimum(np.searchsorted(level.run, run), max(len(level.run) - 1, 0))
+        met = there & (level.run[place] == run) if len(level.run) else there
+        out[left[met]] += np.log10(level.n[place[met]] / (level.places + level.kinds)[at[met]])
+        gone = there & ~met
+        if k:
+            out[left[gone]] += level.escape[at[gone]]
+        left = left[~met]
+    root = levels[0]
+    rest = 1 / SYMBOLS if not len(root.run) else root.kinds[0] / (root.places[0] + root.kinds[0]) / (SYMBOLS - root.kinds[0])
+    out[left] += math.log10(rest)
+    return out
+
+
+def _nearest(k: int, gram: Column | str = "gram") -> Column:
+    """The ``k`` bytes nearest to the symbol, as a number."""
+    return F.shiftright(gram, 8).bitwiseAND(F.lit((1 << 8 * k) - 1).cast("long"))
+
+
 @dataclass(frozen=True)
-class Trie:
-    """The same model in memory, for a small corpus; ``scored`` does not use it.
-
-    ``child[node, older]`` is the node with one more byte in front (-1: none), ``log10[node, symbol]`` the chance of a symbol
-    behind a node; ``older`` and ``symbol`` number the bytes, the last column of ``log10`` is any symbol never seen."""
-
-    order: int
-    older: np.ndarray
-    symbol: np.ndarray
-    child: np.ndarray
-    log10: np.ndarray
-
-
-def trie(length: np.ndarray, context: np.ndarray, symbols: list[np.ndarray], counts: list[np.ndarray], order: int) -> Trie:
-    """From the contexts' lengths and bytes (as numbers), and the symbols seen behind each with their counts; the context of
-    length 0 is among them if anything was counted."""
-    rank = np.lexsort((context, length))
-    length, context = length[rank], context[rank]
-    used = np.sort(symbols[rank[0]]) if len(rank) else np.zeros(0, np.int64)
-    symbol = np.full(256, len(used), np.int32)
-    symbol[used] = np.arange(len(used))
-    front = np.where(length > 0, context >> 8 * np.maximum(length - 1, 0) & 0xFF, 0)
-    first = np.unique(front[length > 0])
-    older = np.full(256, len(first), np.int32)
-    older[first] = np.arange(len(first))
-    unseen = SYMBOLS - len(used)
-    number = {pair: i for i, pair in enumerate(zip(length.tolist(), context.tolist()))}
-    chance = np.zeros((max(len(rank), 1), len(used) + 1))
-    child = np.full((max(len(rank), 1), len(first) + 1), -1, np.int32)
-    chance[0, -1] = 1 / SYMBOLS
-    for i, ((size, c), r) in enumerate(zip(number, rank.tolist())):
-        at, count = symbol[symbols[r]], counts[r].astype(np.float64)
-        total = count.sum() + len(count)
-        if size:
-            below = number[size - 1, c & ((1 << 8 * (size - 1)) - 1)]
-            child[below, older[front[i]]] = i
-            rest = chance[below].copy()
-            rest[at] = 0
-            mass = rest[:-1].sum() + rest[-1] * unseen
-        else:
-            rest = np.append(np.zeros(len(used)), 1.0)
-            mass = float(unseen)
-        chance[i] = rest * (len(count) / total / mass) if mass > 0 else 0
-        chance[i, at] = count / (total if mass > 0 else count.sum())
-    return Trie(order, older, symbol, child, np.log10(np.maximum(chance, 1e-300)).astype(np.float32))
-
-
-def learn(df: DataFrame, text: str = "text", order: int = ORDER, keep: int = 200_000) -> Trie:
-    """Count all texts of ``df`` and build the trie of the contexts with at least 1/``keep`` of all places; an empty table
-    gives a trie that finds all symbols equally likely."""
-    counted = settle(gram_counts(df, text, order))
-    places = counted.agg(F.sum("n")).first()[0] or 0
-    context, sym = F.shiftright("gram", 8), F.col("gram").bitwiseAND(F.lit(255).cast("long")).cast("int")
-    lengths = F.explode(F.array(*[F.struct(F.lit(k).alias("length"), context.bitwiseAND(F.lit((1 << 8 * k) - 1).cast("long")).alias("context"))
-                                  for k in range(order + 1)]))
-    each = counted.select(lengths.alias("c"), sym.alias("symbol"), "n").groupBy("c.length", "c.context", "symbol").agg(F.sum("n").alias("n"))
-    kept = (each.groupBy("length", "context").agg(F.sum("n").alias("places"), F.collect_list("symbol").alias("symbols"), F.collect_list("n").alias("counts"))
-            .filter((F.col("length") == 0) | (F.col("places") >= places / keep)))
-    rows = kept.select("length", "context", "symbols", "counts").toArrow()  # at most ``keep`` contexts of a length
-    arrays = [c.combine_chunks() for c in rows.columns]
-    parts = [np.split(a.flatten().to_numpy(), np.asarray(a.offsets)[1:-1] - a.offsets[0].as_py()) if len(a) else [] for a in arrays[2:]]
-    return trie(arrays[0].to_numpy().astype(np.int64), arrays[1].to_numpy(), *parts, order)
-
-
-def log_chance(model: Trie, texts: pa.Array) -> np.ndarray:
-    """log10 of each whole text's chance, its end included; a null text is empty."""
-    if not len(texts):
-        return np.zeros(0)
-    out, place, begin = stream(texts, model.order)
-    older = model.older[out]
-    wide, tall = model.child.shape[1], model.log10.shape[1]
-    child, table = model.child.ravel(), model.log10.ravel()
-    result = np.empty(len(place), np.float32)
-    for first in range(0, len(place), 1 << 16):
-        at = place[first:first + (1 << 16)]
-        node = np.zeros(len(at), np.int32)
-        live = np.ones(len(at), bool)
-        for back in range(1, model.order + 1):
-            longer = child.take(node * wide + older.take(at - back))
-            live &= longer >= 0
-            node = np.where(live, longer, node)
-        result[first:first + (1 << 16)] = table.take(node * tall + model.symbol.take(out.take(at)))
-    return np.add.reduceat(result.astype(np.float64), begin)
-
-
-def _counted(grams: DataFrame) -> DataFrame:
-    """``(gram, n, places, kinds)``: beside each run's count the places and different symbols of its context."""
-    context = grams.groupBy(F.shiftright("gram", 8).alias("context")).agg(
-        F.sum("n").alias("places"), F.count(F.lit(1)).alias("kinds"), F.collect_list(F.struct("gram", "n")).alias("all"))
-    return context.select("places", "kinds", F.explode("all").alias("g")).select("g.gram", "g.n", "places", "kinds")
-
-
-def orders(counts: DataFrame, order: int = ORDER) -> list[DataFrame]:
-    """For each length of context from 0 to ``order`` its runs, from the ``(gram, n)`` of the longest."""
-    out = [settle(_counted(counts))]
-    for k in range(order - 1, -1, -1):
-        shorter = out[0].groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1).cast("long")).alias("gram"))
-        out.insert(0, settle(_counted(shorter.agg(F.sum("n").alias("n")))))
+class Cuts:
+    """Where branches are cut: for each length from 2 on the nearest bytes whose branch goes on one byte deeper, and in how many
+    parts the questions of a whole context are dealt (its few runs go to all of them)."""
+
+    deeper: dict[int, list[int]]
+    parts: dict[int, int]
+
+    def length(self, order: int) -> Column:
+        """The length of context at which a run's branch is cut."""
+        out = F.lit(min(2, order))
+        for k, found in sorted(self.deeper.items()):
+            out = F.when(_nearest(k).isin(found), F.lit(k + 1)).otherwise(out)
+        return out
+
+    def shares(self, order: int) -> Column:
+        if not self.parts:
+            return F.lit(1)
+        chosen = F.create_map(*[F.lit(x) for pair in self.parts.items() for x in pair])
+        return F.coalesce(F.try_element_at(chosen, _nearest(order)), F.lit(1))
+
+
+def cuts(counts: DataFrame, asked: DataFrame, order: int) -> Cuts:
+    """Branches of at most ``BRANCH`` runs and questions, from tables with a column ``gram``."""
+    both = counts.select("gram").unionByName(asked.select("gram"))
+    deeper, found = {}, None
+    for k in range(min(2, order), order + 1):
+        rows = both if found is None else both.filter(_nearest(k - 1).isin(found))
+        sizes = rows.groupBy(_nearest(k).alias("context")).count().filter(F.col("count") > BRANCH).collect()  # few: BRANCH rows behind each
+        if not sizes:
+            break
+        if k == order:
+            return Cuts(deeper, {r["context"]: -(-r["count"] // BRANCH) for r in sizes})
+        found = sorted(r["context"] for r in sizes)
+        deeper[k] = found
+    return Cuts(deeper, {})
+
+
+def upper_runs(counts: DataFrame, where: Cuts, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """By length of context the runs above the cuts, by reversed context: at most 65,536 of one byte, and 256 of each context
+    that was cut deeper."""
+    out = []
+    for k in range(min(2, order)) if not where.deeper else range(max(where.deeper) + 1):
+        rows = counts if k < 2 else counts.filter(_nearest(k).isin(where.deeper[k]))
+        code = F.shiftleft(_nearest(k), 8).bitwiseOR(F.col("gram").bitwiseAND(F.lit(255).cast("long")))
+        found = rows.groupBy(code.alias("run")).agg(F.sum("n").alias("n")).toArrow()
+        run, n = found["run"].to_numpy().astype(np.int64), found["n"].to_numpy().astype(np.int64)
+        out.append((reverse(run, k), n))
     return out
 
 
-def _seen() -> Column:
-    """log10 of the chance of a run that was seen in training."""
-    return F.log10(F.col("n") / (F.col("places") + F.col("kinds")))
-
-
-def _escapes(longer: DataFrame, shorter: DataFrame, k: int, needed: DataFrame) -> DataFrame:
-    """``(context, escape)`` for the seen ones of the ``needed`` contexts of ``k`` bytes: log10 of what the context leaves to
-    the next shorter one, over the share that one gives to symbols not excluded."""
-    suffix = F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1).cast("long"))
-    mine = longer.withColumn("context", F.shiftright("gram", 8)).join(needed, "context", "left_semi").withColumn("suffix", suffix)
-    below = shorter.select(F.col("gram").alias("suffix"), F.col("n").alias("m"), (F.col("places") + F.col("kinds")).alias("under"))
-    # every run seen behind a context was also seen behind the shorter one
-    sums = mine.join(below, "suffix").groupBy("context").agg(
-        F.first("places").alias("places"), F.first("kinds").alias("kinds"), F.first("under").alias("under"), F.sum("m").alias("m"))
-    return sums.select("context", F.log10(F.col("kinds") / (F.col("places") + F.col("kinds")) * F.col("under")
-                                          / (F.col("under") - F.col("m"))).alias("escape"))
-
-
-def unseen_chances(grams: DataFrame, model: list[DataFrame]) -> DataFrame:
-    """``(gram, log)`` for different runs that the longest context never saw: the escapes down to the context that did."""
-    # the tables of the shortest contexts have at most 65,536 rows
-    small = lambda df, k: F.broadcast(df) if k <= 2 else df
-    state = settle(grams.select(F.col("gram").alias("asked"), "gram", F.lit(0.0).alias("log")))
-    found = []
-    for k in range(len(model) - 1, 0, -1):
-        state = state.withColumn("context", F.shiftright("gram", 8))
-        escapes = _escapes(model[k], model[k - 1], k, state.select("context").distinct())
-        left = state.join(small(escapes, k), "context", "left").select(
-            "asked", F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1).cast("long")).alias("gram"),
-            (F.col("log") + F.coalesce("escape", F.lit(0.0))).alias("log"))
-        met = settle(left.join(small(model[k - 1], k), "gram", "left"))
-        found.append(met.filter("n IS NOT NULL").select(F.col("asked").alias("gram"), (F.col("log") + _seen()).alias("log")))
-        state = met.filter("n IS NULL").select("asked", "gram", "log")
-    root = model[0].first()
-    rest = 1 / SYMBOLS if root is None else root["kinds"] / (root["places"] + root["kinds"]) / (SYMBOLS - root["kinds"])
-    found.append(state.select(F.col("asked").alias("gram"), (F.col("log") + math.log10(rest)).alias("log")))
-    return reduce(DataFrame.unionByName, found)
+def asked_chances(counts: DataFrame, asked: DataFrame, order: int = ORDER) -> DataFrame:
+    """``(row, log)``, partial sums: log10 of the chances of the questions ``(row, gram, times)`` under the runs ``(gram, n)``.
+
+    Runs and questions meet in one shuffle. A task holds ``BRANCH`` of them at a time; of a branch with more questions it
+    keeps the runs.
+    """
+    where = cuts(counts, asked, order)
+    top = counts.sparkSession.sparkContext.broadcast(upper_runs(counts, where, order))
+    cut = where.length(order).alias("cut")
+    context = F.shiftright("gram", 8)
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("cut") * 8) - 1
+    name = (context.bitwiseAND(mask) * 8 + F.col("cut")).alias("branch")  # never the same for two lengths
+    shares = where.shares(order)
+    runs = counts.select("gram", "n", cut, F.explode(F.sequence(F.lit(0), shares - 1)).alias("part")).select(
+        name, "part", F.lit(0).alias("kind"), "gram", "n", F.col("cut"), F.lit(0).cast("long").alias("row"))
+    questions = asked.select("gram", F.col("times").alias("n"), "row", cut, F.pmod(F.xxhash64("row"), shares).cast("int").alias("part")).select(
+        name, "part", F.lit(1).alias("kind"), "gram", "n", F.col("cut"), "row")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def flush(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, size
+            name, kind, gram, n, cut, row = (np.concatenate(c) for c in zip(*held))
+            ask = kind == 1
+            if ask.any():
+                _, own = np.unique(gram[~ask], return_index=True)  # a context whose questions are dealt in parts may be here twice
+                levels = branch(gram[~ask][own], n[~ask][own], cut[~ask][own], top.value, order)
+                log = answers(levels, gram[ask], order) * n[ask]
+                rows, back = np.unique(row[ask], return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.bincount(back.reshape(-1), log))], ["row", "log"])
+            stay = (name == name[-1]) & ~ask & (not last)  # the last branch may go on
+            held = [(name[stay], kind[stay], gram[stay], n[stay], cut[stay], row[stay])]
+            size = int(stay.sum())
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("branch", "kind", "gram", "n", "cut", "row")))
+                size += batch.num_rows
+                if size > 2 * BRANCH:
+                    yield from flush(False)
+        if held:
+            yield from flush(True)
+
+    ship(counts.sparkSession)
+    dealt = runs.unionByName(questions).repartition("branch", "part").sortWithinPartitions("branch", "part", "kind")
+    return dealt.mapInArrow(run, "row long, log double")
 
 
 class Frequent:
@@ -269,21 +320,38 @@ class Frequent:
         return out
 
 
-def frequent_runs(longest: DataFrame) -> Frequent:
-    """The most frequent runs, at most ``FAST``: from the smallest eighth of a power of two on that leaves no more."""
+def frequent_runs(counts: DataFrame) -> Frequent:
+    """The most frequent runs of ``(gram, n)``, at most ``FAST``: from the smallest eighth of a power of two on that leaves no
+    more."""
     eighth = F.floor(F.log2("n") * 8)
     held, least = 0, None
-    for r in sorted(longest.groupBy(eighth.alias("e")).count().collect(), key=lambda r: -r["e"]):
+    for r in sorted(counts.groupBy(eighth.alias("e")).count().collect(), key=lambda r: -r["e"]):
         held += r["count"]
         if held > FAST:
             break
         least = r["e"]
     if least is None:
         return Frequent(np.zeros(0, np.int64), np.zeros(0))
-    rows = longest.filter(eighth >= least).select("gram", _seen().alias("log")).toArrow()  # at most FAST rows
+    # at most 256 symbols behind a context, of which the frequent ones are kept
+    contexts = counts.groupBy(F.shiftright("gram", 8).alias("context")).agg(
+        F.sum("n").alias("places"), F.count(F.lit(1)).alias("kinds"), F.collect_list(F.when(eighth >= least, F.struct("gram", "n"))).alias("some"))
+    each = contexts.filter(F.size("some") > 0).select((F.col("places") + F.col("kinds")).alias("under"), F.explode("some").alias("g"))
+    rows = each.select("g.gram", F.log10(F.col("g.n") / F.col("under")).alias("log")).toArrow()  # at most FAST rows
     return Frequent(rows["gram"].to_numpy(), rows["log"].to_numpy())
 
 
+def _by_text(owner: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's different runs of 56 bits and their counts; ``owner`` is sorted. 256 texts at a time share 64 bits."""
+    texts, grams, counts = [owner[:0]], [code[:0]], [code[:0]]
+    for first in range(int(owner[0]) if len(owner) else 0, int(owner[-1]) + 1 if len(owner) else 0, 256):
+        a, b = np.searchsorted(owner, [first, first + 256])
+        pair, times = np.unique((owner[a:b] - first).astype(np.uint64) << np.uint64(56) | code[a:b].astype(np.uint64), return_counts=True)
+        texts.append((pair >> np.uint64(56)).astype(np.int64) + first)
+        grams.append((pair & np.uint64((1 << 56) - 1)).astype(np.int64))
+        counts.append(times.astype(np.int64))
+    return np.concatenate(texts), np.concatenate(grams), np.concatenate(counts)
+
+
 def _lists(row: np.ndarray, rows: int, **columns: pa.Array) -> pa.ListArray:
     """Structs of ``columns`` as a list for each of ``rows`` rows; ``row`` is sorted."""
     borders = np.searchsorted(row, np.arange(rows + 1)).astype(np.int32)
@@ -318,8 +386,8 @@ def scored(df: DataFrame, learnt: DataFrame, key: str = "doc_id", keep: tuple[st
     rows are scored alike, each on its own.
     """
     spark = df.sparkSession
-    model = orders(gram_counts(learnt, text))
-    runs = spark.sparkContext.broadcast(frequent_runs(model[-1]))
+    model = settle(gram_counts(learnt, text))
+    runs = spark.sparkContext.broadcast(frequent_runs(model))
     counts = settle(word_counts(learnt, text))
     texts = learnt.count()
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
@@ -350,11 +418,8 @@ def scored(df: DataFrame, learnt: DataFrame, key: str = "doc_id", keep: tuple[st
         met = ~np.isnan(log)
         score = np.add.reduceat(np.where(met, log, 0), begin) if len(begin) else np.zeros(0)
         missed = np.flatnonzero(~met)
-        different, back = np.unique(code[missed], return_inverse=True)
-        owner = np.searchsorted(begin, missed, "right") - 1
-        pair, times = np.unique(owner * max(len(different), 1) + back.reshape(-1), return_counts=True)
-        of_text, of_run = pair // max(len(different), 1), pair % max(len(different), 1)
-        others = _lists(of_text, len(found), gram=pa.array(different[of_run]), n=pa.array(times.astype(np.int64)))
+        of_text, gram, times = _by_text(np.searchsorted(begin, missed, "right") - 1, code[missed])
+        others = _lists(of_text, len(found), gram=pa.array(gram), n=pa.array(times))
         return {"_tokens": sizes + 1, "_known": np.bincount(row[known], minlength=len(found)), "_base": base + end,
                 "_score": score, "_rare": rare, "_runs": others}
 
@@ -368,10 +433,8 @@ def scored(df: DataFrame, learnt: DataFrame, key: str = "doc_id", keep: tuple[st
     zero = F.lit(0).cast("long")
     of_words = rare.join(counts, "word", "left").select(
         "_row", (F.col("times") * worth).alias("more"), F.when(F.col("n") > 0, F.col("times")).otherwise(zero).alias("seen"), F.lit(0.0).alias("log"))
-    joined = rows.select("_row", F.explode("_runs").alias("r")).select("_row", "r.gram", F.col("r.n").alias("times"))
-    unseen = joined.select("gram").distinct().join(model[-1], "gram", "left_anti")
-    chances = model[-1].select("gram", _seen().alias("log")).unionByName(unseen_chances(unseen, model))
-    of_runs = joined.join(chances, "gram").select("_row", F.lit(0.0).alias("more"), zero.alias("seen"), (F.col("times") * F.col("log")).alias("log"))
+    asked = rows.select(F.col("_row").alias("row"), F.explode("_runs").alias("r")).select("row", "r.gram", F.col("r.n").alias("times"))
+    of_runs = asked_chances(model, asked).select(F.col("row").alias("_row"), F.lit(0.0).alias("more"), zero.alias("seen"), "log")
     back = of_words.unionByName(of_runs).groupBy("_row").agg(
         F.sum("more").alias("_more"), F.sum("seen").alias("_seen"), F.sum("log").alias("_log"))
     score = F.col("_score") + F.coalesce("_log", F.lit(0.0))

@@ -12,6 +12,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
+import memory_trie
 from panelkit.llm import components, decontaminate, ppm, simhash, vectors
 from panelkit.llm.decontaminate import contaminated
 from panelkit.llm.queries import QUERIES
@@ -129,11 +130,11 @@ def test_range_links_without_vectors(spark):
 
 def test_chances_of_all_next_symbols_add_up_to_one(spark):
     docs = spark.createDataFrame([(1, "abracadabra"), (2, "abba"), (3, None)], "doc_id long, text string")
-    model = ppm.learn(docs, order=3, keep=1000)
+    model = memory_trie.learn(docs, order=3, keep=1000)
     for begin in ("", "a", "ab", "abr", "zz"):
         # the chance of a text is the chance of its bytes times that of the end
-        ends = ppm.log_chance(model, pa.array([begin]))[0]
-        longer = [ppm.log_chance(model, pa.array([begin + chr(c)]))[0] for c in range(128)]
+        ends = memory_trie.log_chance(model, pa.array([begin]))[0]
+        longer = [memory_trie.log_chance(model, pa.array([begin + chr(c)]))[0] for c in range(128)]
         assert 10 ** ends + sum(10 ** v for v in longer) < 1
     table = 10 ** model.log10.astype(float)
     used = table.shape[1] - 1
@@ -142,13 +143,13 @@ def test_chances_of_all_next_symbols_add_up_to_one(spark):
 
 def test_exclusion_by_hand(spark):
     docs = spark.createDataFrame([(1, "ab"), (2, "ac")], "doc_id long, text string")
-    model = ppm.learn(docs, order=1, keep=1000)
+    model = memory_trie.learn(docs, order=1, keep=1000)
     # behind "a": b and c once each of n = 2, d = 2; the end lies in the escape 2/4, from which b and c are excluded
     root = {s: n / (6 + 4) for s, n in {"a": 2, "b": 1, "c": 1, "end": 2}.items()}
     rest = 1 - root["b"] - root["c"]
     behind_begin = 2 / (2 + 1)
     want = math.log10(behind_begin) + math.log10(0.5 * root["end"] / rest)
-    assert ppm.log_chance(model, pa.array(["a"]))[0] == pytest.approx(want, abs=1e-5)
+    assert memory_trie.log_chance(model, pa.array(["a"]))[0] == pytest.approx(want, abs=1e-5)
 
 
 def test_scores_use_every_context_of_the_training_texts(spark, monkeypatch):
@@ -156,11 +157,13 @@ def test_scores_use_every_context_of_the_training_texts(spark, monkeypatch):
     extra = spark.createDataFrame([(-1, "zqxjk vwpfz once"), (-2, "Ωmega zqxjk"), (-3, ""), (-4, None)], "doc_id long, text string")
     docs = settle(docs.unionByName(extra))
     learnt = docs.filter("doc_id % 3 != 0")
-    whole = ppm.learn(learnt, keep=1 << 60)
+    whole = memory_trie.learn(learnt, keep=1 << 60)
     rows = docs.collect()
-    want = dict(zip([r["doc_id"] for r in rows], ppm.log_chance(whole, pa.array([r["text"] for r in rows], pa.string()))))
-    for fast in (0, 5000, 1 << 21):                   # all joined, most joined, all broadcast
+    want = dict(zip([r["doc_id"] for r in rows], memory_trie.log_chance(whole, pa.array([r["text"] for r in rows], pa.string()))))
+    # all asked, most asked, all broadcast; branches cut down to whole contexts, their questions dealt in parts
+    for fast, size in ((0, 1 << 21), (5000, 300), (0, 20), (1 << 21, 1 << 21)):
         monkeypatch.setattr(ppm, "FAST", fast)
+        monkeypatch.setattr(ppm, "BRANCH", size)
         got = {r["doc_id"]: r["score"] for r in ppm.scored(docs, learnt).collect()}
         assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], rel=1e-5) for i in want)
 
