@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from panelkit.functions import ratio, sum_strict
 from panelkit.operators.joins import group_join
+from panelkit.session import settle
 
 
 def _list(x: str | Sequence[str]) -> list[str]:
@@ -81,21 +82,27 @@ def _subsets(dims: Sequence[str]) -> list[tuple[str, ...]]:
 def subset_totals(df: DataFrame, key: str, dims: Sequence[str], value: str, na_rm: bool = False) -> DataFrame:
     """Long form over all subsets of the dimensions: sum, key total and share.
 
-    ``subset`` names the dimensions in use, joined by ``+``; the others are NULL. Rows are first summed to
-    cells, few per key. The cells move to their key once, are repeated per subset there, and both the subset
-    sums and the key total are formed in place.
+    ``subset`` names the dimensions in use, joined by ``+``; the others are NULL. Rows are first summed to cells, few per key,
+    which move to their key once. There the lattice is rolled up one dimension at a time: what has been summed so far is
+    kept, and summed once more without the dimension. So every subset comes from a parent that has one dimension more, and
+    the dimension with the most values, as measured on the cells, goes first, so that the parents are small.
     """
     cells = df.groupBy(key, *dims).agg(_sum(value, na_rm).alias("_v")).repartition(F.col(key))
     kinds = dict(df.dtypes)
-    subsets = F.array(*[
-        F.struct(F.lit("+".join(s)).alias("subset"),
-                 *[(F.col(d) if d in s else F.lit(None).cast(kinds[d])).alias(d) for d in dims])
-        for s in _subsets(dims)])
-    rows = cells.select(key, "_v", F.inline(subsets))
-    totals = rows.groupBy(key, "subset", *dims).agg(_sum("_v", na_rm).alias("total"))
-    whole = F.max(F.when(F.col("subset") == "", F.col("total"))).over(Window.partitionBy(key))
-    return (totals.select(key, *dims, "subset", "total", whole.alias("pop"))
-            .withColumn("prop", ratio("total", "pop")))
+    rows = settle(cells)  # sums, read twice
+    sizes = rows.agg(*[F.approx_count_distinct(d).alias(d) for d in dims]).first() if dims else None
+    pop = _window_sum("_v", Window.partitionBy(key), na_rm)
+    lattice = rows.repartition(F.col(key)).withColumn("pop", pop).withColumn("_without", F.lit(0))
+    for d in sorted(dims, key=lambda d: -sizes[d]):
+        place = 1 << list(dims).index(d)
+        kept = F.struct(F.col(d).alias(d), F.col("_without").alias("_without"))
+        dropped = F.struct(F.lit(None).cast(kinds[d]).alias(d), F.col("_without").bitwiseOR(F.lit(place)).alias("_without"))
+        others = [c for c in dims if c != d]
+        both = lattice.select(key, *others, "pop", "_v", F.inline(F.array(kept, dropped)))
+        lattice = both.groupBy(key, "pop", *dims, "_without").agg(_sum("_v", na_rm).alias("_v"))
+    names = F.create_map(*[F.lit(x) for s in _subsets(dims) for x in (
+        sum(1 << i for i, d in enumerate(dims) if d not in s), "+".join(s))])
+    return lattice.select(key, *dims, names[F.col("_without")].alias("subset"), F.col("_v").alias("total"), "pop").withColumn("prop", ratio("total", "pop"))
 
 
 def _chains(dims: Sequence[str]) -> list[list[str]]:

@@ -1,57 +1,54 @@
 """Distribution summaries and text collected in order."""
 
 from collections.abc import Sequence
-import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from panelkit.operators.ordering import ranked_values
+from panelkit.operators.selection import order_statistics
 
 
-def _values_at(ranks: DataFrame, positions: Sequence[int]) -> dict[int, float]:
-    """The values at the given places (from 1) of the sorted data; one short pass over the ranks."""
-    wanted = sorted(set(positions))
-    picks = [F.max(F.when((F.col("upto") >= p) & (F.col("upto") - F.col("n") < p), F.col("value"))).alias(f"p{i}")
-             for i, p in enumerate(wanted)]
-    row = ranks.agg(*picks).first()
-    return dict(zip(wanted, row))
+def _both_sides(places: Sequence[Column]) -> list[Column]:
+    return [f(p) for p in places for f in (F.floor, F.ceil)]
 
 
-def _between(values: dict[int, float], place: float) -> float:
-    low = math.floor(place)
-    a, b = values[low], values[math.ceil(place)]
-    return a + (place - low) * (b - a)
+def _type_7(total: Column, p: float) -> Column:
+    return F.lit(1.0) + (total - 1) * F.lit(float(p))
+
+
+def _between(i: int, place: Column) -> Column:
+    """Linear interpolation between the ``i``-th pair of order statistics."""
+    a, b = F.col(f"v{2 * i}"), F.col(f"v{2 * i + 1}")
+    return a + (place - F.floor(place)) * (b - a)
 
 
 def quantiles(df: DataFrame, col: str, probs: Sequence[float]) -> list[float | None]:
     """Exact quantiles with linear interpolation between order statistics (type 7)."""
-    ranks, total = ranked_values(df.select(F.col(col).cast("double").alias(col)), col)
-    if not total:
-        return [None for _ in probs]
-    places = [1 + (total - 1) * p for p in probs]
-    values = _values_at(ranks, [f(p) for p in places for f in (math.floor, math.ceil)])
-    return [_between(values, p) for p in places]
+    found = order_statistics(df, col, lambda n: _both_sides([_type_7(n, p) for p in probs]))
+    return list(found.select(*[_between(i, _type_7(F.col("total"), p)).alias(f"q{i}") for i, p in enumerate(probs)]).first())
 
 
 def hinges(df: DataFrame, col: str) -> list[float | None]:
     """Minimum, lower hinge, median, upper hinge, maximum, as a box plot draws them."""
-    ranks, total = ranked_values(df.select(F.col(col).cast("double").alias(col)), col)
-    if not total:
-        return [None] * 5
-    depth = math.floor((total + 3) / 2) / 2
-    places = [1, depth, (total + 1) / 2, total + 1 - depth, total]
-    values = _values_at(ranks, [f(p) for p in places for f in (math.floor, math.ceil)])
-    return [(values[math.floor(p)] + values[math.ceil(p)]) / 2 for p in places]
-
-
-def five_number(df: DataFrame, col: str) -> DataFrame:
-    """One row: min, q1, median, mean, q3, max, and the number of missing values."""
-    q1, median, q3 = quantiles(df, col, [0.25, 0.5, 0.75])
-    c = F.col(col).cast("double")
-    fixed = [F.lit(v).cast("double").alias(n) for v, n in ((q1, "q1"), (median, "median"), (q3, "q3"))]
-    base = df.agg(F.min(c).alias("min"), F.avg(c).alias("mean"), F.max(c).alias("max"),
-                  F.count_if(c.isNull()).alias("missing"))
-    return base.select("min", fixed[0], fixed[1], "mean", fixed[2], "max", "missing")
+    def places(n: Column) -> list[Column]:
+        depth = F.floor((n + 3) / 2) / 2
+        return [F.lit(1), depth, (n + 1) / 2, n + 1 - depth, n]
+
+    found = order_statistics(df, col, lambda n: _both_sides(places(n)))
+    return list(found.select(*[((F.col(f"v{2 * i}") + F.col(f"v{2 * i + 1}")) / 2).alias(f"h{i}") for i in range(5)]).first())
+
+
+def five_number(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
+    """One row, or one a group: min, q1, median, mean, q3, max, and the number of missing values.
+
+    All of it comes from the same scans, two as a rule, without a sort.
+    """
+    probs = [0.25, 0.5, 0.75]
+    extra = [F.col("_x"), F.when(F.col("_x").isNull(), 1).otherwise(0)]
+    found = order_statistics(df, col, lambda n: [*_both_sides([_type_7(n, p) for p in probs]), F.lit(1), n], by, extra)
+    q1, median, q3 = (_between(i, _type_7(F.col("total"), p)) for i, p in enumerate(probs))
+    mean = F.when(F.col("total") > 0, F.col("e0") / F.col("total"))
+    return found.select(*by, F.col("v6").alias("min"), q1.alias("q1"), median.alias("median"), mean.alias("mean"), q3.alias("q3"),
+                        F.col("v7").alias("max"), F.coalesce("e1", F.lit(0)).cast("long").alias("missing"))
 
 
 def box_outliers(df: DataFrame, col: str, k: float = 1.5) -> DataFrame:

@@ -78,6 +78,15 @@ def price_summary(t: Tables) -> DataFrame:
     return rounded(rounded(five_number(t.orders, "o_totalprice"), 4, "mean"))
 
 
+@query("price_summary_by_priority", """
+SELECT o_orderpriority, round(min(o_totalprice), 4) AS min, round(quantile_cont(o_totalprice, 0.25), 4) AS q1, round(median(o_totalprice), 4) AS median,
+       round(avg(o_totalprice), 4) AS mean, round(quantile_cont(o_totalprice, 0.75), 4) AS q3, round(max(o_totalprice), 4) AS max, 0 AS missing
+FROM orders GROUP BY 1""")
+def price_summary_by_priority(t: Tables) -> DataFrame:
+    """The same for every group at once."""
+    return rounded(five_number(t.orders, "o_totalprice", ["o_orderpriority"]), 4)
+
+
 @query("price_outliers", """
 WITH total AS (SELECT o_custkey, sum(o_totalprice) AS x FROM orders GROUP BY 1),
 r AS (SELECT x, row_number() OVER (ORDER BY x) AS i, count(*) OVER () AS n FROM total),

@@ -1,8 +1,14 @@
 """Sources, selection, joins and reshaping."""
 
 import datetime as dt
+from html.parser import HTMLParser
 import os
+import random
+import struct
+import time
+from urllib.parse import urljoin
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +16,7 @@ from panelkit.operators import (
     box_outliers, cols_like, drop_empty_columns, five_number, full_join_all, join_lines, latest_column, natural_join,
     ordered_levels, quantiles, recode, rename_like, running_total, split_label, spread, top_k, without_outliers,
 )
+from panelkit.operators.selection import ordered_bits
 from panelkit.session import checkpoint_dir, settle
 from panelkit.sources import acs_table, extract_links, first_links, lookup, read_table, read_wide, read_wide_panel, write_table
 
@@ -210,3 +217,92 @@ def test_ten_thousand_small_files_are_planned_without_being_opened(spark, tmp_pa
     assert df.rdd.getNumPartitions() < 1000
     row = df.agg(F.count("value").alias("n"), F.sum(F.col("value").cast("long")).alias("s"), F.countDistinct("date").alias("d")).first()
     assert tuple(row) == (10_000, sum(range(10_000)), 28)
+
+
+# ---------------------------------------------------------------- links, beside an independent parser
+
+class Links(HTMLParser):
+    """The standard library's parser, told which elements hold text alone."""
+
+    CDATA_CONTENT_ELEMENTS = ("script", "style", "title", "textarea")
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.found = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "a" and any(n == "href" for n, _ in attrs):
+            self.found.append((next(v for n, v in attrs if n == "href") or "").strip())
+
+
+PAGES = [
+    """<!-- <a href="/old.csv"> --><script>var x="<a href='/js.csv'>"</script><a href="/new.csv">""",
+    """<A HREF=/bare.csv>x</A><a class='b c' data-x="a>b" href='q"uote.csv' href=second.csv>""", "<a title=\"href=/no.csv\" href = '/a&amp;b.csv'>",
+    "<style>a[href='/s.csv'] {}</style><title><a href=/t.csv></title><textarea><a href=/u.csv></textarea><a href=/v.csv/>",
+    "<a name=x><a href><a href=''><abbr href=/w.csv><area href=/z.csv><a\nhref='/nl.csv'\n>", "text < a href=/no.csv> <a href='/open.csv'",
+    "<script>if (a < b) { s = '</scr' + 'ipt>'; t = '<a href=/x.csv>' }</script ><a/href=/slash.csv>", "<!doctype html><?php <a href=/p.csv> ?>",
+    "<a href=' /space.csv ' target=_blank>a</a><p><a href=\"x y.csv\">", "", None, "<!-- never closed <a href=/c.csv>"]
+
+
+def test_links_are_those_a_parser_finds(spark):
+    pages = spark.createDataFrame(list(enumerate(PAGES)), "page_id int, html string")
+    got = {}
+    for r in extract_links(pages, "").orderBy("page_id", "pos").collect():
+        got.setdefault(r["page_id"], []).append(r["href"])
+    for i, page in enumerate(PAGES):
+        parser = Links()
+        parser.feed(page or "")
+        assert got.get(i, []) == parser.found, page
+    assert got[0] == ["/new.csv"]
+
+
+@pytest.mark.parametrize("part", ["<a ", "<a href=x ", "<!--", "<script>", "<a href='", "<a a=b c='d' ", "<", "</", "<a href=/x.csv>"])
+def test_long_pages_take_time_in_proportion(spark, part):
+    pages = spark.createDataFrame([(1, part * (400_000 // len(part)))], "page_id int, html string")
+    begun = time.time()
+    assert extract_links(pages).count() == (400_000 // len(part) if part.endswith(".csv>") else 0)
+    assert time.time() - begun < 30
+
+
+def test_addresses_are_made_whole(spark):
+    base = "http://h.org/a/b/page.html?q=1#f"
+    links = ["x.csv", "/x.csv", "../x.csv", "../../../x.csv", "./x.csv", "//o.org/x.csv", "https://o.org/y", "?z=1", "#t", "", "c/../d/./x.csv", "..", "mailto:a@b"]
+    pages = spark.createDataFrame([(i, base, f'<a href="{link}">') for i, link in enumerate(links)]
+                                  + [(100, base, '<base href="/data/"><a href="x.csv">'), (101, base, '<base target=_top><a href="x.csv">')],
+                                  "page_id int, url string, html string")
+    got = {r["page_id"]: r["address"] for r in extract_links(pages, "", base="url").collect()}
+    assert [got[i] for i in range(len(links))] == [urljoin(base, link) if link else base.split("#")[0] for link in links]
+    assert got[100] == "http://h.org/data/x.csv" and got[101] == "http://h.org/a/b/x.csv"
+
+
+# ---------------------------------------------------------------- order statistics by bits
+
+def test_bits_are_in_the_order_of_the_numbers(spark):
+    draw = random.Random(1)
+    values = [0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.0, -1.0, 0.9999999999999999, 1.0000000000000002, 1.7976931348623157e308,
+              -1.7976931348623157e308, float("inf"), float("-inf"), 2.0 ** 52, 8.0, 7.999999999999999, 1e-300, 0.1]
+    values += [s * 2.0 ** e * (1 + d) for s in (1, -1) for e in range(-1022, 1024, 31) for d in (0.0, 2 ** -52, 1 - 2 ** -52, draw.random())]
+    rows = spark.createDataFrame([(v,) for v in values] + [(float("nan"),), (None,)], "v double").withColumn("k", ordered_bits("v")).collect()
+    known = {r["v"]: r["k"] for r in rows if r["v"] is not None and r["v"] == r["v"]}
+    for v, k in known.items():
+        raw = struct.unpack("<q", struct.pack("<d", abs(v)))[0]
+        assert k == (-raw if v < 0 else raw), v
+    assert rows[-1]["k"] is None and rows[-2]["k"] > max(known.values())
+
+
+def test_quantiles_of_groups_and_wide_ranges(spark, capsys):
+    draw = np.random.default_rng(2)
+    data = {"a": draw.normal(size=501), "b": 10.0 ** draw.uniform(-300, 300, 400) * draw.choice([-1, 1], 400), "c": np.array([7.0]), "d": np.repeat([1.0, 1 + 2 ** -52, 2.0], 5), None: draw.integers(0, 4, 30) * 1.0}
+    rows = [(g, float(v)) for g, vs in data.items() for v in vs] + [("a", None), ("e", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = {r["g"]: r for r in five_number(df, "v", ["g"]).collect()}
+    for g, vs in data.items():
+        want = [vs.min(), *np.quantile(vs, [0.25, 0.5]), vs.mean(), np.quantile(vs, 0.75), vs.max()]
+        assert list(got[g])[1:7] == pytest.approx(want, rel=1e-12), g
+    assert got["a"]["missing"] == 1 and got["e"]["missing"] == 1 and got["e"]["median"] is None
+    some = df.filter("g = 'd'")
+    assert quantiles(some, "v", [0.5]) == [1 + 2 ** -52] and quantiles(some, "v", [0, 1]) == [1.0, 2.0]
+    five_number(df, "v", ["g"]).explain()
+    plan = capsys.readouterr().out
+    assert "rangepartitioning" not in plan
+    assert tuple(five_number(df.limit(0), "v").first()) == (None,) * 6 + (0,) and five_number(df.limit(0), "v", ["g"]).count() == 0
