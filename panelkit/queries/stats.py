@@ -195,6 +195,36 @@ def lasso_one_term(t: Tables) -> DataFrame:
     return fit.select("term", shown.alias("estimate"), "kept")
 
 
+LASSO_PENALTIES = [2.0, 33.0, 60.0]
+
+
+def _two_term_lasso(penalty: float) -> str:
+    """All nine pairs of signs; the one whose solution has these signs, and leaves the others' slopes at the bound, is it."""
+    return f"""
+SELECT {penalty} AS penalty, b1 / s1 AS q, b2 / s2 AS near, my - b1 / s1 * m1 - b2 / s2 * m2 AS constant FROM (
+  SELECT *, CASE WHEN e1 <> 0 AND e2 <> 0 THEN ((c1 - {penalty} * e1) - rho * (c2 - {penalty} * e2)) / (1 - rho * rho) WHEN e1 <> 0 THEN c1 - {penalty} * e1 ELSE 0 END AS b1,
+    CASE WHEN e1 <> 0 AND e2 <> 0 THEN ((c2 - {penalty} * e2) - rho * (c1 - {penalty} * e1)) / (1 - rho * rho) WHEN e2 <> 0 THEN c2 - {penalty} * e2 ELSE 0 END AS b2
+  FROM m, (VALUES (-1), (0), (1)) AS x(e1), (VALUES (-1), (0), (1)) AS y(e2))
+WHERE sign(b1) = e1 AND sign(b2) = e2 AND (e1 <> 0 OR abs(c1 - rho * b2) <= {penalty}) AND (e2 <> 0 OR abs(c2 - rho * b1) <= {penalty})"""
+
+
+@query("lasso_two_terms", f"""
+WITH x AS (SELECT l_quantity * (1 + l_linenumber % 3) + 100 * l_tax AS y, l_quantity AS a, l_quantity * (l_linenumber % 3) AS b FROM lineitem),
+m AS (SELECT avg(a) AS m1, avg(b) AS m2, avg(y) AS my, stddev_pop(a) AS s1, stddev_pop(b) AS s2, corr(a, b) AS rho,
+        covar_pop(a, y) / stddev_pop(a) AS c1, covar_pop(b, y) / stddev_pop(b) AS c2 FROM x),
+f AS ({" UNION ALL ".join(_two_term_lasso(p) for p in LASSO_PENALTIES)})
+SELECT penalty, round(q, 4) AS q, round(near, 4) AS near, round(constant, 2) AS constant FROM f""")
+def lasso_two_terms(t: Tables) -> DataFrame:
+    """Two correlated predictors, at several penalties: both kept, one dropped, none kept."""
+    y = F.col("l_quantity") * (1 + F.col("l_linenumber") % 3) + 100 * F.col("l_tax")
+    rows = t.lineitem.select(y.alias("y"), F.col("l_quantity").cast("double").alias("q"), (F.col("l_quantity") * (F.col("l_linenumber") % 3)).cast("double").alias("near"))
+    fits = []
+    for penalty in LASSO_PENALTIES:
+        fit = lasso(rows, "y", ["q", "near"], [penalty]).groupBy().pivot("term", ["(Intercept)", "q", "near"]).agg(F.first("estimate"))
+        fits.append(fit.select(F.lit(penalty).alias("penalty"), F.round("q", 4).alias("q"), F.round("near", 4).alias("near"), F.round("(Intercept)", 2).alias("constant")))
+    return fits[0].unionByName(fits[1]).unionByName(fits[2])
+
+
 @query("stepwise_two_terms", """
 WITH m AS (SELECT count(*) AS n, var_pop(l_extendedprice) AS yy, var_pop(l_quantity) AS aa, var_pop(l_discount) AS bb,
   covar_pop(l_quantity, l_discount) AS ab, covar_pop(l_quantity, l_extendedprice) AS ay, covar_pop(l_discount, l_extendedprice) AS b_y
