@@ -10,7 +10,7 @@ An item of more than ``PART`` words is not cut either, but its windows are not w
 counts for the windows that begin in an interval, and running sums over the intervals' borders give the shared shingles of
 every window at once, without fingerprints.
 
-Benchmarks are broadcast in blocks of at most ``BLOCK`` shingles; a larger one takes several passes over the documents.
+Benchmarks are broadcast in blocks of about ``BLOCK`` shingles and ``ITEMS`` items at most; a larger one takes several passes over the documents.
 """
 
 from collections.abc import Callable
@@ -25,6 +25,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 RADIUS, NEAR = 23, 2
 #: Shingles of benchmark items broadcast at once, and words of an item whose windows are written out and fingerprinted.
 BLOCK, PART = 500_000, 4096
+#: Items of one block: each has 296 rows in the broadcast index.
+ITEMS = 5_000
 SPACES = " \t\n\u000b\f\r"
 
 
@@ -193,16 +195,16 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, doc: str = "doc_id"
     rows = documents.select(F.col(f"`{doc}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     known = settle(items(benchmark, item_text, item))
     long = F.col("print").isNull()
-    loads = known.groupBy("size", long.alias("long")).agg(F.sum("n").alias("total")).collect()
+    loads = known.groupBy("size", long.alias("long")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("many")).collect()
     found = []
-    for size, is_long, total in sorted((r["size"], r["long"], r["total"]) for r in loads):
-        blocks = -(-total // BLOCK)
+    for size, is_long, total, many in sorted((r["size"], r["long"], r["total"], r["many"]) for r in loads):
+        blocks = max(-(-total // BLOCK), -(-many // ITEMS))
         for block in range(blocks):
             mine = known.filter((F.col("size") == size) & (long == is_long) & (F.pmod(F.xxhash64("part"), F.lit(blocks)) == block))
             found.append(_in_long(rows, mine) if is_long else _in_block(rows, mine, size))
     if not found:
-        return rows.crossJoin(known.limit(0)).select("doc_id", "item_id", F.lit(0.0).alias("similarity"),
-                                                     F.lit(0).alias("first_word"), F.lit(0).cast("long").alias("n_windows"))
+        return rows.limit(0).select("doc_id", F.lit(None).cast(known.schema["item_id"].dataType).alias("item_id"), F.lit(0.0).alias("similarity"),
+                                    F.lit(0).alias("first_word"), F.lit(0).cast("long").alias("n_windows"))
     return (reduce(DataFrame.unionByName, found).groupBy("doc_id", "item_id")
             .agg(F.max("similarity").alias("similarity"),
                  F.max_by("place", F.struct("similarity", -F.col("place"))).alias("first_word"),

@@ -208,6 +208,14 @@ def test_contaminated_finds_passages_and_leaves_others(spark, odd_docs, no_docs)
     assert contaminated(no_docs, bench).collect() == contaminated(docs, bench.limit(0)).collect() == []
 
 
+def test_many_short_items_go_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "ITEMS", 60)
+    items = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(5))) for i in range(300)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"some text {i} then " + " ".join(f"w{7 * i}x{k}" for k in range(5)) + " end") for i in range(50)], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in contaminated(docs, items).collect()}
+    assert got == {(i, 7 * i) for i in range(43)}
+
+
 def test_long_items_are_compared_whole(spark, monkeypatch):
     item = [f"i{k}" for k in range(4101)]
     rows = [(1, "so " + " ".join(item[4096:]) + " it ends"), (2, "a " + " ".join(item[:4096])), (3, "x y " + " ".join(item) + " z"),
