@@ -16,10 +16,11 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelkit.llm.common import flat, map_texts, ship, steps
 from panelkit.llm.toxicity import Numbers
@@ -95,7 +96,15 @@ def gram_counts(df: DataFrame, text: str = "text", order: int = ORDER) -> DataFr
             yield as_rows(*_merged(held))
 
     ship(df.sparkSession)
-    return df.select(text).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    # dealt by context, so that contexts are whole in a task; the tasks' sorted runs go over the wire as they are
+    runs = df.select(text).mapInArrow(run, "gram long, n long").withColumn("context", F.shiftright("gram", 8)).repartition("context")
+    return runs.groupBy("context", "gram").agg(F.sum("n").alias("n"))
+
+
+def with_context(runs: DataFrame) -> DataFrame:
+    """``(gram, n, under)`` of ``gram_counts``: ``under`` is the places of the run's context and its different symbols, 256 at most."""
+    behind = Window.partitionBy("context")
+    return runs.select("gram", "n", (F.sum("n").over(behind) + F.count(F.lit(1)).over(behind)).alias("under"))
 
 
 # ---------------------------------------------------------------- branches
@@ -193,18 +202,36 @@ class Cuts:
     deeper: dict[int, list[int]]
     parts: dict[int, int]
 
-    def length(self, order: int) -> Column:
-        """The length of context at which a run's branch is cut."""
-        out = F.lit(min(2, order))
+    def deal(self, gram: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each run the length of context at which its branch is cut, and the branch's number."""
+        context = gram >> 8
+        cut = np.full(len(gram), min(2, order), np.int64)
         for k, found in sorted(self.deeper.items()):
-            out = F.when(_nearest(k).isin(found), F.lit(k + 1)).otherwise(out)
-        return out
+            cut[np.isin(context & ((1 << 8 * k) - 1), found)] = k + 1
+        return cut, (context & ((np.int64(1) << 8 * cut) - 1)) * 8 + cut  # never the same for two lengths
+
 
-    def shares(self, order: int) -> Column:
-        if not self.parts:
-            return F.lit(1)
-        chosen = F.create_map(*[F.lit(x) for pair in self.parts.items() for x in pair])
-        return F.coalesce(F.try_element_at(chosen, _nearest(order)), F.lit(1))
+def packed(*columns: np.ndarray) -> bytes:
+    """Whole numbers, the first column ascending, as the bytes of its steps and of the others, compressed byte by byte."""
+    first = np.diff(columns[0], prepend=np.int64(0))
+    return zlib.compress(np.ascontiguousarray(np.stack([first, *columns[1:]]).astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def unpacked(data: bytes, many: int) -> np.ndarray:
+    """The columns of ``packed``, one row each."""
+    out = np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1).T).view(np.int64).reshape(many, -1).copy()
+    out[0] = np.cumsum(out[0])
+    return out
+
+
+def _pieces(branch: np.ndarray, part: np.ndarray, kind: int, columns: list[np.ndarray]) -> pa.RecordBatch:
+    """Rows of one kind packed by branch and part; each piece in the order of its first column."""
+    order = np.lexsort((columns[0], part, branch))
+    branch, part, columns = branch[order], part[order], [c[order] for c in columns]
+    first = np.flatnonzero(np.append(True, (branch[1:] != branch[:-1]) | (part[1:] != part[:-1]))) if len(branch) else np.zeros(0, np.int64)
+    data = [packed(*[c[a:b] for c in columns]) for a, b in zip(first, [*first[1:], len(branch)])]
+    return pa.RecordBatch.from_pydict({"branch": pa.array(branch[first], pa.int64()), "part": pa.array(part[first], pa.int32()),
+                                       "kind": pa.array(np.full(len(first), kind), pa.int32()), "data": pa.array(data, pa.binary())})
 
 
 def cuts(counts: DataFrame, asked: DataFrame, order: int) -> Cuts:
@@ -236,54 +263,93 @@ def upper_runs(counts: DataFrame, where: Cuts, order: int) -> list[tuple[np.ndar
     return out
 
 
+PIECES = "branch long, part int, kind int, data binary"
+
+
 def asked_chances(counts: DataFrame, asked: DataFrame, order: int = ORDER) -> DataFrame:
-    """``(row, log)``, partial sums: log10 of the chances of the questions ``(row, gram, times)`` under the runs ``(gram, n)``.
+    """``(row, log)``, partial sums: log10 of the chances of the questions ``(row, runs)`` under the runs ``(gram, n)``; ``runs`` are
+    arrays of ``(gram, n)``, n being how often it is asked.
 
-    Runs and questions meet in one shuffle. A task holds ``BRANCH`` of them at a time; of a branch with more questions it
-    keeps the runs.
+    Runs and questions meet in one shuffle, packed by branch. A task holds about ``BRANCH`` of them at a time; of a branch with
+    more questions it keeps the runs.
     """
-    where = cuts(counts, asked, order)
-    top = counts.sparkSession.sparkContext.broadcast(upper_runs(counts, where, order))
-    cut = where.length(order).alias("cut")
-    context = F.shiftright("gram", 8)
-    mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("cut") * 8) - 1
-    name = (context.bitwiseAND(mask) * 8 + F.col("cut")).alias("branch")  # never the same for two lengths
-    shares = where.shares(order)
-    runs = counts.select("gram", "n", cut, F.explode(F.sequence(F.lit(0), shares - 1)).alias("part")).select(
-        name, "part", F.lit(0).alias("kind"), "gram", "n", F.col("cut"), F.lit(0).cast("long").alias("row"))
-    questions = asked.select("gram", F.col("times").alias("n"), "row", cut, F.pmod(F.xxhash64("row"), shares).cast("int").alias("part")).select(
-        name, "part", F.lit(1).alias("kind"), "gram", "n", F.col("cut"), "row")
+    spark = counts.sparkSession
+    where = cuts(counts, asked.select(F.explode("runs.gram").alias("gram")), order)
+    top = spark.sparkContext.broadcast(upper_runs(counts, where, order))
+    shares = np.array(sorted(where.parts.items()), np.int64).reshape(-1, 2)
+
+    def share(gram: np.ndarray) -> np.ndarray:
+        """In how many parts the questions of each run's context are dealt."""
+        at = np.minimum(np.searchsorted(shares[:, 0], gram >> 8), max(len(shares) - 1, 0))
+        return np.where(shares[at, 0] == gram >> 8, shares[at, 1], 1) if len(shares) else np.ones(len(gram), np.int64)
+
+    def model(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _large(batches, BRANCH):
+            gram, n = (batch.column(c).to_numpy() for c in ("gram", "n"))
+            again = share(gram)
+            part = np.arange(again.sum()) - np.repeat(np.cumsum(again) - again, again)
+            gram, n = np.repeat(gram, again), np.repeat(n, again)
+            cut, branch_ = where.deal(gram, order)
+            yield _pieces(branch_, part, 0, [gram, n, cut])
+
+    def questions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _large(batches, 4096):
+            runs = batch.column("runs").combine_chunks() if isinstance(batch.column("runs"), pa.ChunkedArray) else batch.column("runs")
+            each = runs.flatten()
+            row = np.repeat(batch.column("row").to_numpy(), np.diff(runs.offsets.to_numpy()))
+            gram, n = each.field("gram").to_numpy(zero_copy_only=False), each.field("n").to_numpy(zero_copy_only=False)
+            _, branch_ = where.deal(gram, order)
+            yield _pieces(branch_, row % share(gram), 1, [gram, n, row])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        size = 0
-
-        def flush(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, size
-            name, kind, gram, n, cut, row = (np.concatenate(c) for c in zip(*held))
-            ask = kind == 1
-            if ask.any():
-                _, own = np.unique(gram[~ask], return_index=True)  # a context whose questions are dealt in parts may be here twice
-                levels = branch(gram[~ask][own], n[~ask][own], cut[~ask][own], top.value, order)
-                log = answers(levels, gram[ask], order) * n[ask]
-                rows, back = np.unique(row[ask], return_inverse=True)
+        runs: list[np.ndarray] = []
+        asks: list[np.ndarray] = []
+        last, size = None, 0
+
+        def answered() -> Iterator[pa.RecordBatch]:
+            if asks:
+                gram, n, cut = np.concatenate(runs, axis=1) if runs else np.zeros((3, 0), np.int64)
+                gram, own = np.unique(gram, return_index=True)  # a context whose questions are dealt in parts may be here twice
+                levels = branch(gram, n[own], cut[own], top.value, order)
+                asked_, times, row = np.concatenate(asks, axis=1)
+                rows, back = np.unique(row, return_inverse=True)
+                log = answers(levels, asked_, order) * times
                 yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.bincount(back.reshape(-1), log))], ["row", "log"])
-            stay = (name == name[-1]) & ~ask & (not last)  # the last branch may go on
-            held = [(name[stay], kind[stay], gram[stay], n[stay], cut[stay], row[stay])]
-            size = int(stay.sum())
 
         for batch in batches:
-            if batch.num_rows:
-                held.append(tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("branch", "kind", "gram", "n", "cut", "row")))
-                size += batch.num_rows
+            for name, kind, data in zip(*[batch.column(c).to_pylist() for c in ("branch", "kind", "data")]):
                 if size > 2 * BRANCH:
-                    yield from flush(False)
-        if held:
-            yield from flush(True)
-
-    ship(counts.sparkSession)
-    dealt = runs.unionByName(questions).repartition("branch", "part").sortWithinPartitions("branch", "part", "kind")
-    return dealt.mapInArrow(run, "row long, log double")
+                    yield from answered()
+                    asks = []
+                    if name != last:
+                        runs, mine = [], 0
+                    else:  # the branch goes on: its runs stay
+                        runs = runs[mine:]
+                        mine = 0
+                    size = sum(r.shape[1] for r in runs)
+                if name != last:
+                    last, mine = name, len(runs)
+                (asks if kind else runs).append(unpacked(data, 3))
+                size += (asks if kind else runs)[-1].shape[1]
+        yield from answered()
+
+    ship(spark)
+    dealt = counts.select("gram", "n").mapInArrow(model, PIECES).unionByName(asked.select("row", "runs").mapInArrow(questions, PIECES))
+    return dealt.repartition("branch", "part").sortWithinPartitions("branch", "part", "kind").mapInArrow(run, "row long, log double")
+
+
+def _large(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Batches put together to at least so many rows."""
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.num_rows
+        if size >= rows:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 class Frequent:
@@ -321,7 +387,7 @@ class Frequent:
 
 
 def frequent_runs(counts: DataFrame) -> Frequent:
-    """The most frequent runs of ``(gram, n)``, at most ``FAST``: from the smallest eighth of a power of two on that leaves no
+    """The most frequent runs of ``(gram, n, under)``, at most ``FAST``: from the smallest eighth of a power of two on that leaves no
     more."""
     eighth = F.floor(F.log2("n") * 8)
     held, least = 0, None
@@ -332,11 +398,7 @@ def frequent_runs(counts: DataFrame) -> Frequent:
         least = r["e"]
     if least is None:
         return Frequent(np.zeros(0, np.int64), np.zeros(0))
-    # at most 256 symbols behind a context, of which the frequent ones are kept
-    contexts = counts.groupBy(F.shiftright("gram", 8).alias("context")).agg(
-        F.sum("n").alias("places"), F.count(F.lit(1)).alias("kinds"), F.collect_list(F.when(eighth >= least, F.struct("gram", "n"))).alias("some"))
-    each = contexts.filter(F.size("some") > 0).select((F.col("places") + F.col("kinds")).alias("under"), F.explode("some").alias("g"))
-    rows = each.select("g.gram", F.log10(F.col("g.n") / F.col("under")).alias("log")).toArrow()  # at most FAST rows
+    rows = counts.filter(eighth >= least).select("gram", F.log10(F.col("n") / F.col("under")).alias("log")).toArrow()  # at most FAST rows
     return Frequent(rows["gram"].to_numpy(), rows["log"].to_numpy())
 
 
@@ -386,7 +448,7 @@ def scored(df: DataFrame, learnt: DataFrame, key: str = "doc_id", keep: tuple[st
     rows are scored alike, each on its own.
     """
     spark = df.sparkSession
-    model = settle(gram_counts(learnt, text))
+    model = settle(with_context(gram_counts(learnt, text)))
     runs = spark.sparkContext.broadcast(frequent_runs(model))
     counts = settle(word_counts(learnt, text))
     texts = learnt.count()
@@ -433,7 +495,7 @@ def scored(df: DataFrame, learnt: DataFrame, key: str = "doc_id", keep: tuple[st
     zero = F.lit(0).cast("long")
     of_words = rare.join(counts, "word", "left").select(
         "_row", (F.col("times") * worth).alias("more"), F.when(F.col("n") > 0, F.col("times")).otherwise(zero).alias("seen"), F.lit(0.0).alias("log"))
-    asked = rows.select(F.col("_row").alias("row"), F.explode("_runs").alias("r")).select("row", "r.gram", F.col("r.n").alias("times"))
+    asked = rows.select(F.col("_row").alias("row"), F.col("_runs").alias("runs")).filter(F.size("_runs") > 0)
     of_runs = asked_chances(model, asked).select(F.col("row").alias("_row"), F.lit(0.0).alias("more"), zero.alias("seen"), "log")
     back = of_words.unionByName(of_runs).groupBy("_row").agg(
         F.sum("more").alias("_more"), F.sum("seen").alias("_seen"), F.sum("log").alias("_log"))
