@@ -26,17 +26,9 @@ def _packed(df: DataFrame, states: Sequence[str] | None, value: str, dates: Sequ
     return pack_dates(wide, IDS, value, dates).withColumn("county_name", canonical("county_name", COUNTY_SPELLING))
 
 
-def build_panel(cases: DataFrame, deaths: DataFrame, pop: DataFrame, states: Sequence[str] | None = STATES,
-                clamp: str = "after", include_unallocated: bool = False, names: DataFrame | None = None,
-                date_fmt: str = "yyyy-MM-dd") -> DataFrame:
-    """Rates, daily changes and rolling means per county and day from three wide tables.
-
-    Input ids are ``County Name`` and ``State`` (or already ``county_name``, ``state``), one row per county.
-    ``names`` maps state name to abbreviation (columns ``State``, ``Abb``); the built-in list is the default.
-
-    Counties are shuffled and joined while each is one row; only then do they become one row per day. The
-    long rows are born in the partition where the windows need them and are never shuffled.
-    """
+def packed_counties(cases: DataFrame, deaths: DataFrame, pop: DataFrame, states: Sequence[str] | None = STATES,
+                    include_unallocated: bool = False, names: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
+    """Counties as one row each, with their counts in arrays along the dates, population and state name; and the dates."""
     wide = _wide(cases, states)
     dates = [c for c in wide.columns if c not in IDS]
     counts = _packed(cases, states, "cases", dates)
@@ -49,7 +41,11 @@ def build_panel(cases: DataFrame, deaths: DataFrame, pop: DataFrame, states: Seq
     full = names.select(F.col("State").alias("state_name"), F.col("Abb").alias("state"))
     counties = (counts.join(full, "state", "left").repartition(*IDS)
                 .join(_packed(deaths, states, "deaths", dates), IDS, "left").join(people, IDS, "left"))
-    long = unpack_dates(counties, ["cases", "deaths"], dates, date_fmt)
+    return counties, dates
+
+
+def panel_days(long: DataFrame, clamp: str = "after") -> DataFrame:
+    """Rates, daily changes and rolling means of days ``(ids, state_name, population, date, cases, deaths)``."""
     kinds = dict(long.dtypes)
     long = long.withColumns({c: clean_number(c) if kinds[c] == "string" else F.col(c).cast("double")
                              for c in ("cases", "deaths")})
@@ -59,3 +55,18 @@ def build_panel(cases: DataFrame, deaths: DataFrame, pop: DataFrame, states: Seq
         "name_short": F.concat("county_name", F.lit(", "), "state"),
     }).select(*IDS, "date", "cases", "deaths", "population", "case_rate", "death_rate", "new_cases",
               "moving_7_day_avg", "avg_7_day_rate", "NAME", "name_short")
+
+
+def build_panel(cases: DataFrame, deaths: DataFrame, pop: DataFrame, states: Sequence[str] | None = STATES,
+                clamp: str = "after", include_unallocated: bool = False, names: DataFrame | None = None,
+                date_fmt: str = "yyyy-MM-dd") -> DataFrame:
+    """Rates, daily changes and rolling means per county and day from three wide tables.
+
+    Input ids are ``County Name`` and ``State`` (or already ``county_name``, ``state``), one row per county.
+    ``names`` maps state name to abbreviation (columns ``State``, ``Abb``); the built-in list is the default.
+
+    Counties are shuffled and joined while each is one row; only then do they become one row per day. The
+    long rows are born in the partition where the windows need them and are never shuffled.
+    """
+    counties, dates = packed_counties(cases, deaths, pop, states, include_unallocated, names)
+    return panel_days(unpack_dates(counties, ["cases", "deaths"], dates, date_fmt), clamp)

@@ -6,11 +6,12 @@ from panelkit.operators import (
     at_date, daily_new, panel_rates, positivity, rolling_mean_strict, rolling_rate, snapshot_rates,
 )
 from panelkit.plans import (
-    acs_tidy, build_panel, build_snapshot, city_report, feature_master,
+    acs_tidy, build_panel, build_snapshot, city_report, feature_master, refresh_panel,
 )
 from panelkit.plans.specs import CategorySpec, FeatureSpec, TidySpec
 from panelkit.queries import inputs as I
 from panelkit.queries.registry import query, rounded, Tables
+from panelkit.session import scratch_path
 
 PANEL_COLUMNS = ("county_name, state, date, cases, deaths, population, round(case_rate, 6) AS case_rate, "
                  "round(death_rate, 6) AS death_rate, new_cases, round(moving_7_day_avg, 6) AS moving_7_day_avg, "
@@ -122,6 +123,18 @@ def built_panel(t: Tables) -> DataFrame:
     return rounded(build_panel(cases, deaths, pop, states=None, names=names))
 
 
+@query("refreshed_panel", f"WITH {BUILT_SQL} SELECT {PANEL_COLUMNS}, NAME, name_short FROM built")
+def refreshed_panel(t: Tables) -> DataFrame:
+    """The panel published from files without the last days and with other counts in some counties, then brought up to date."""
+    cases, deaths, pop, names = _wide_inputs(t)
+    path = scratch_path(t.spark, "panel")
+    days = [c for c in cases.columns if c not in ("County Name", "State")]
+    wrong = F.col("State") == "NATION_3"
+    early = cases.drop(*days[-9:]).withColumn(days[4], F.when(wrong, F.lit("7")).otherwise(F.col(f"`{days[4]}`")))
+    refresh_panel(early, deaths.drop(*days[-9:]), pop.filter("State != 'NATION_5'"), path, states=None, names=names)
+    return rounded(refresh_panel(cases, deaths, pop, path, states=None, names=names))
+
+
 @query("latest_weekly_rate", f"""
 WITH {BUILT_SQL} SELECT county_name, state, date, cases, new_cases, round(avg_7_day_rate, 6) AS avg_7_day_rate FROM built
 WHERE date = (SELECT max(date) FROM built)""")

@@ -1,12 +1,15 @@
 """What the physical plans must and must not hold."""
 
+import datetime as dt
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from panelkit.operators import at_latest, category_share, cor_matrix, daily_new, rolling_rate, share, top_k
-from panelkit.plans import acs_tidy, build_panel, feature_master
+from panelkit.plans import acs_tidy, build_panel, feature_master, published, refresh_panel
+from panelkit.plans.refresh import versions
 from panelkit.plans.specs import CENSUS_TABLES, FEATURES
 from panelkit.queries import QUERIES
 
@@ -99,3 +102,53 @@ def test_filters_and_columns_reach_the_scan(spark):
     text = plan(QUERIES["orders_predicate"](spark, FOLDER))
     assert "PushedFilters" in text and "GreaterThanOrEqual(o_totalprice,100000.0)" in text
     assert "o_orderpriority" in text and "o_custkey" not in text
+
+
+# ---------------------------------------------------------------- the panel kept up to date
+
+def wide_tables(spark, counts, days):
+    """Wide cases and deaths of ``{(county, state): [counts]}``."""
+    names = ", ".join(["`County Name` string", "State string", *[f"`{d}` string" for d in days]])
+    cases = spark.createDataFrame([(*k, *[None if x is None else f"{x:,}" for x in v]) for k, v in counts.items()], names)
+    deaths = spark.createDataFrame([(*k, *[None if x is None else str(x // 10) for x in v]) for k, v in counts.items() if k[0] != "B"], names)
+    return cases, deaths
+
+
+def test_refreshed_panel_equals_a_full_rebuild_and_touches_little(spark, tmp_path):
+    draw = random.Random(3)
+    days = [str(dt.date(2024, 1, 20) + dt.timedelta(days=i)) for i in range(70)]
+    counts = {}
+    for county, state in [("A", "IN"), ("B", "IN"), ("C", "OH"), ("D", "OH"), ("E", "KY"), ("Statewide Unallocated", "KY")]:
+        total, own = 0, []
+        for _ in days:
+            total += draw.randint(-2, 40)
+            own.append(total if draw.random() > 0.02 else None)
+        counts[county, state] = own
+    pop = spark.createDataFrame([(c, s, 1000.0 * (i + 1)) for i, (c, s) in enumerate(counts)], "`County Name` string, State string, population double")
+    path = str(tmp_path / "panel")
+    assert published(spark, path) is None
+
+    def refreshed(known, upto, people=pop):
+        tables = wide_tables(spark, {k: v[:upto] for k, v in known.items()}, days[:upto])
+        got = refresh_panel(*tables, people, path, states=None)
+        want = build_panel(*tables, people, states=None)
+        assert got.dtypes == want.dtypes
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+        return {(r["version"], r["in_state"], r["month"]) for r in spark.read.parquet(f"{path}/lists/{versions(spark, path)[-1]}").collect()}
+
+    assert {v for v, _, _ in refreshed(counts, 60)} == {1}
+    assert versions(spark, path) == [1] and refreshed(counts, 60) and versions(spark, path) == [1]   # nothing new, nothing written
+    # new days: the last month of every state, and nothing before
+    assert refreshed(counts, 66) == {(1, s, m) for s in ("IN", "OH", "KY") for m in ("2024-01", "2024-02")} | {(2, s, "2024-03") for s in ("IN", "OH", "KY")}
+    # a correction in February of one county: its state from February on
+    fixed = {**counts, ("C", "OH"): [x if i != 25 else 5 for i, x in enumerate(counts["C", "OH"])]}
+    listed = refreshed(fixed, 66)
+    assert {p for p in listed if p[0] == 3} == {(3, "OH", "2024-02"), (3, "OH", "2024-03")}
+    # a county that is gone, another population, and a refresh that was cut short before
+    (tmp_path / "panel" / "panel" / "version=4" / "in_state=IN" / "month=2024-01").mkdir(parents=True)
+    fewer = {k: v for k, v in fixed.items() if k[0] != "E"}
+    more = pop.withColumn("population", F.when(F.col("County Name") == "A", 5.0).otherwise(F.col("population")))
+    assert {p[1] for p in refreshed(fewer, 70, more) if p[0] < 4} == {"OH"}
+    assert published(spark, path, 1).count() == 5 * 60
+    with pytest.raises(ValueError, match="lack"):
+        refresh_panel(*wide_tables(spark, {k: v[:40] for k, v in counts.items()}, days[:40]), pop, path, states=None)
