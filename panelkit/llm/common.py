@@ -76,8 +76,9 @@ def with_columns(batch: pa.RecordBatch, keep: list[str], new: dict[str, object],
 
 
 def map_texts(df: DataFrame, text: str, keep: list[str], added: str,
-              work: Callable[[pa.RecordBatch], dict[str, object]]) -> DataFrame:
-    """Columns ``added`` (a DDL string), computed by ``work`` from steps of rows, beside the columns ``keep``.
+              work: Callable[[pa.RecordBatch], dict[str, object]], size: int = STEP_BYTES) -> DataFrame:
+    """Columns ``added`` (a DDL string), computed by ``work`` from steps of rows with about ``size`` bytes of text, beside the
+    columns ``keep``.
 
     Rows stay in their partition; only ``keep`` and the text reach Python.
     """
@@ -87,7 +88,7 @@ def map_texts(df: DataFrame, text: str, keep: list[str], added: str,
     arrow = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, text):
+        for batch in steps(batches, text, size):
             yield with_columns(batch, keep, work(batch), arrow)
 
     return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, out)

@@ -29,8 +29,8 @@ from panelkit.session import settle
 ORDER = 6
 #: Runs whose chances are broadcast, at most; all others are joined.
 FAST = 1 << 21
-#: Runs and questions of a branch before it is cut deeper, and of the branches that a task holds in memory at once.
-BRANCH = 1 << 21
+#: Runs and questions of a branch before it is cut deeper, those that a task answers at once, and bytes of text scored at once.
+BRANCH, HELD, STEP = 1 << 20, 1 << 19, 1 << 20
 #: Bytes UTF-8 never uses, for the place before a text and the end behind it; all symbols are 256 bytes and the end.
 BEGIN, END, SYMBOLS = 0xFE, 0xFF, 257
 #: A word with at least this share of all tokens is broadcast; there are at most that many. The others are joined.
@@ -270,8 +270,8 @@ def asked_chances(counts: DataFrame, asked: DataFrame, order: int = ORDER) -> Da
     """``(row, log)``, partial sums: log10 of the chances of the questions ``(row, runs)`` under the runs ``(gram, n)``; ``runs`` are
     arrays of ``(gram, n)``, n being how often it is asked.
 
-    Runs and questions meet in one shuffle, packed by branch. A task holds about ``BRANCH`` of them at a time; of a branch with
-    more questions it keeps the runs.
+    Runs and questions meet in one shuffle, packed by branch. A task holds about ``HELD`` of them at a time, or a branch's
+    runs; of a branch with more questions it keeps the runs.
     """
     spark = counts.sparkSession
     where = cuts(counts, asked.select(F.explode("runs.gram").alias("gram")), order)
@@ -284,7 +284,7 @@ def asked_chances(counts: DataFrame, asked: DataFrame, order: int = ORDER) -> Da
         return np.where(shares[at, 0] == gram >> 8, shares[at, 1], 1) if len(shares) else np.ones(len(gram), np.int64)
 
     def model(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _large(batches, BRANCH):
+        for batch in _large(batches, HELD):
             gram, n = (batch.column(c).to_numpy() for c in ("gram", "n"))
             again = share(gram)
             part = np.arange(again.sum()) - np.repeat(np.cumsum(again) - again, again)
@@ -304,7 +304,7 @@ def asked_chances(counts: DataFrame, asked: DataFrame, order: int = ORDER) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs: list[np.ndarray] = []
         asks: list[np.ndarray] = []
-        last, size = None, 0
+        last, mine, size, waiting = None, 0, 0, 0
 
         def answered() -> Iterator[pa.RecordBatch]:
             if asks:
@@ -318,19 +318,16 @@ def asked_chances(counts: DataFrame, asked: DataFrame, order: int = ORDER) -> Da
 
         for batch in batches:
             for name, kind, data in zip(*[batch.column(c).to_pylist() for c in ("branch", "kind", "data")]):
-                if size > 2 * BRANCH:
+                if waiting > HELD or name != last and size > HELD:
                     yield from answered()
-                    asks = []
-                    if name != last:
-                        runs, mine = [], 0
-                    else:  # the branch goes on: its runs stay
-                        runs = runs[mine:]
-                        mine = 0
+                    # the runs of a branch that goes on stay
+                    runs, mine, asks, waiting = runs[mine:] if name == last else [], 0, [], 0
                     size = sum(r.shape[1] for r in runs)
                 if name != last:
                     last, mine = name, len(runs)
-                (asks if kind else runs).append(unpacked(data, 3))
-                size += (asks if kind else runs)[-1].shape[1]
+                found = unpacked(data, 3)
+                (asks if kind else runs).append(found)
+                size, waiting = size + found.shape[1], waiting + kind * found.shape[1]
         yield from answered()
 
     ship(spark)
@@ -489,7 +486,7 @@ def scored(df: DataFrame, learnt: DataFrame, key: str = "doc_id", keep: tuple[st
              "_runs array<struct<gram:long,n:long>>")
     kept = list(dict.fromkeys([key, *keep]))
     # rows get a number of their own for the way back; written, it stays the same
-    rows = settle(map_texts(df, text, kept, added, work).withColumn("_row", F.monotonically_increasing_id()))
+    rows = settle(map_texts(df, text, kept, added, work, STEP).withColumn("_row", F.monotonically_increasing_id()))
     rare = rows.select("_row", F.explode("_rare").alias("r")).select("_row", "r.word", F.col("r.n").alias("times"))
     worth = F.log10((F.coalesce("n", F.lit(0)) + SMOOTH) / under)
     zero = F.lit(0).cast("long")

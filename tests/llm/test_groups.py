@@ -161,9 +161,10 @@ def test_scores_use_every_context_of_the_training_texts(spark, monkeypatch):
     rows = docs.collect()
     want = dict(zip([r["doc_id"] for r in rows], memory_trie.log_chance(whole, pa.array([r["text"] for r in rows], pa.string()))))
     # all asked, most asked, all broadcast; branches cut down to whole contexts, their questions dealt in parts
-    for fast, size in ((0, 1 << 21), (5000, 300), (0, 20), (1 << 21, 1 << 21)):
+    for fast, size in ((5000, 300), (0, 40), (1 << 21, 1 << 21)):
         monkeypatch.setattr(ppm, "FAST", fast)
         monkeypatch.setattr(ppm, "BRANCH", size)
+        monkeypatch.setattr(ppm, "HELD", size // 2)
         got = {r["doc_id"]: r["score"] for r in ppm.scored(docs, learnt).collect()}
         assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], rel=1e-5) for i in want)
 
