@@ -153,7 +153,7 @@ def test_exclusion_by_hand(spark):
 
 
 def test_scores_use_every_context_of_the_training_texts(spark, monkeypatch):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(300)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").filter("doc_id < 60")
     extra = spark.createDataFrame([(-1, "zqxjk vwpfz once"), (-2, "Ωmega zqxjk"), (-3, ""), (-4, None)], "doc_id long, text string")
     docs = settle(docs.unionByName(extra))
     learnt = docs.filter("doc_id % 3 != 0")
@@ -161,7 +161,7 @@ def test_scores_use_every_context_of_the_training_texts(spark, monkeypatch):
     rows = docs.collect()
     want = dict(zip([r["doc_id"] for r in rows], memory_trie.log_chance(whole, pa.array([r["text"] for r in rows], pa.string()))))
     # all asked, most asked, all broadcast; branches cut down to whole contexts, their questions dealt in parts
-    for fast, size in ((5000, 300), (0, 40), (1 << 21, 1 << 21)):
+    for fast, size in ((5000, 2000), (0, 200), (1 << 21, 1 << 21)):
         monkeypatch.setattr(ppm, "FAST", fast)
         monkeypatch.setattr(ppm, "BRANCH", size)
         monkeypatch.setattr(ppm, "HELD", size // 2)
