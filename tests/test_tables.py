@@ -16,7 +16,7 @@ from panelkit.operators import (
     box_outliers, cols_like, drop_empty_columns, five_number, full_join_all, join_lines, latest_column, natural_join,
     ordered_levels, quantiles, recode, rename_like, running_total, split_label, spread, top_k, without_outliers,
 )
-from panelkit.operators.selection import ordered_bits
+from panelkit.operators.selection import with_bits
 from panelkit.session import checkpoint_dir, settle
 from panelkit.sources import acs_table, extract_links, first_links, lookup, read_table, read_wide, read_wide_panel, write_table
 
@@ -282,7 +282,7 @@ def test_bits_are_in_the_order_of_the_numbers(spark):
     values = [0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.0, -1.0, 0.9999999999999999, 1.0000000000000002, 1.7976931348623157e308,
               -1.7976931348623157e308, float("inf"), float("-inf"), 2.0 ** 52, 8.0, 7.999999999999999, 1e-300, 0.1]
     values += [s * 2.0 ** e * (1 + d) for s in (1, -1) for e in range(-1022, 1024, 31) for d in (0.0, 2 ** -52, 1 - 2 ** -52, draw.random())]
-    rows = spark.createDataFrame([(v,) for v in values] + [(float("nan"),), (None,)], "v double").withColumn("k", ordered_bits("v")).collect()
+    rows = with_bits(spark.createDataFrame([(v,) for v in values] + [(float("nan"),), (None,)], "v double"), "v", "k").collect()
     known = {r["v"]: r["k"] for r in rows if r["v"] is not None and r["v"] == r["v"]}
     for v, k in known.items():
         raw = struct.unpack("<q", struct.pack("<d", abs(v)))[0]
