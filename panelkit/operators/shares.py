@@ -82,19 +82,21 @@ def subset_totals(df: DataFrame, key: str, dims: Sequence[str], value: str, na_r
     """Long form over all subsets of the dimensions: sum, key total and share.
 
     ``subset`` names the dimensions in use, joined by ``+``; the others are NULL. Rows are first summed to
-    cells, few per key. The cells move to their key once, are repeated per subset there, and both the subset
-    sums and the key total are formed in place.
+    cells, few per key. The cells move to their key once, unless they lie there already, and take its total; they are
+    repeated per subset there, and the subset sums are formed in place.
     """
-    cells = df.groupBy(key, *dims).agg(_sum(value, na_rm).alias("_v")).repartition(F.col(key))
+    cells = df.groupBy(key, *dims).agg(_sum(value, na_rm).alias("_v"))
+    cells = cells.withColumn("_pop", _window_sum("_v", Window.partitionBy(key), na_rm))
     kinds = dict(df.dtypes)
     subsets = F.array(*[
         F.struct(F.lit("+".join(s)).alias("subset"),
                  *[(F.col(d) if d in s else F.lit(None).cast(kinds[d])).alias(d) for d in dims])
         for s in _subsets(dims)])
-    rows = cells.select(key, "_v", F.inline(subsets))
-    totals = rows.groupBy(key, "subset", *dims).agg(_sum("_v", na_rm).alias("total"))
-    whole = F.max(F.when(F.col("subset") == "", F.col("total"))).over(Window.partitionBy(key))
-    return (totals.select(key, *dims, "subset", "total", whole.alias("pop"))
+    rows = cells.select(key, "_v", "_pop", F.inline(subsets))
+    totals = rows.groupBy(key, "subset", *dims).agg(_sum("_v", na_rm).alias("_total"), F.first("_pop").alias("pop"))
+    # the sum over no dimension is the key total itself, to the last digit
+    total = F.when(F.col("subset") == "", F.col("pop")).otherwise(F.col("_total"))
+    return (totals.select(key, *dims, "subset", total.alias("total"), "pop")
             .withColumn("prop", ratio("total", "pop")))
 
 

@@ -18,6 +18,17 @@ from panelkit.queries.registry import Tables
 from panelkit.sources import lookup
 
 KEYS = ["county_name", "state"]
+#: Rows of a given table to a partition where census rows are formed of them.
+ROWS = 1 << 18
+
+
+def parts(rows: DataFrame) -> int:
+    """How many partitions take ``ROWS`` rows of a given table each; no fewer than there are cores.
+
+    A partition sized by its shuffled bytes grows with the table, and small rows become many groups.
+    """
+    return max(-(-rows.count() // ROWS), rows.sparkSession.sparkContext.defaultParallelism)
+
 
 # ---------------------------------------------------------------- panel
 
@@ -208,20 +219,30 @@ def census_dictionary(t: Tables) -> DataFrame:
 
 
 def census_rows(t: Tables) -> DataFrame:
-    """``(GEOID, variable, estimate)``: leaf sums first, the parents from the leaves."""
-    leaf = (t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
-            .groupBy(F.col("o_custkey").alias("zip"),
-                     F.when(F.col("l_linestatus") == "F", 1).otherwise(0).alias("s"),
-                     (F.substring("o_orderpriority", 1, 1).cast("int") - 1).alias("a"),
-                     F.when(F.col("l_returnflag") == "N", 1).otherwise(0).alias("c"))
-            .agg(F.sum("l_quantity").alias("q")))
-    levels = ["zip", "s", "a", "c"]
-    parts = leaf.groupingSets([levels[:i] for i in range(1, 5)], *levels).agg(F.sum("q").alias("estimate"))
+    """``(GEOID, variable, estimate)``: leaf sums first, the parents from the leaves.
+
+    Lines are dealt to as many partitions as they need, by order and by leaf; the leaves move to their area, at most 20 to each, and
+    all later groups of an area are formed there.
+    """
+    n = parts(t.lineitem)
+    lines = t.lineitem.select("l_orderkey", "l_linestatus", "l_returnflag", "l_quantity").repartition(n, "l_orderkey")
+    orders = t.orders.select("o_orderkey", "o_custkey", "o_orderpriority").repartition(n, "o_orderkey")
     s, a, c = F.col("s"), F.col("a"), F.col("c")
+    leaf = (lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+            .select(F.lpad(F.col("o_custkey").cast("string"), 8, "0").alias("GEOID"),
+                    F.when(F.col("l_linestatus") == "F", 1).otherwise(0).alias("s"),
+                    (F.substring("o_orderpriority", 1, 1).cast("int") - 1).alias("a"),
+                    F.when(F.col("l_returnflag") == "N", 1).otherwise(0).alias("c"), "l_quantity")
+            .repartition(n, "GEOID", "s", "a", "c").groupBy("GEOID", "s", "a", "c").agg(F.sum("l_quantity").alias("q"))
+            .repartition(n, "GEOID"))
+    none = F.lit(None).cast("int")
+    levels = F.array(*[F.struct(F.lit(i).alias("level"), (s if i > 0 else none).alias("s"), (a if i > 1 else none).alias("a"),
+                                (c if i > 2 else none).alias("c")) for i in range(4)])
+    # the level tells a missing value from one summed over
+    sums = leaf.select("GEOID", "q", F.inline(levels)).groupBy("GEOID", "level", "s", "a", "c").agg(F.sum("q").alias("estimate"))
     code = (F.when(s.isNull(), F.lit(1)).when(a.isNull(), 2 + 16 * s).when(c.isNull(), 3 + 16 * s + 3 * a)
             .otherwise(4 + 16 * s + 3 * a + c))
-    return parts.select(F.lpad(F.col("zip").cast("string"), 8, "0").alias("GEOID"),
-                        F.concat(F.lit("B27001_"), F.lpad(code.cast("string"), 3, "0")).alias("variable"), "estimate")
+    return sums.select("GEOID", F.concat(F.lit("B27001_"), F.lpad(code.cast("string"), 3, "0")).alias("variable"), "estimate")
 
 
 def labelled(t: Tables) -> DataFrame:
