@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from panelkit.plans import acs_tidy, feature_master
 from panelkit.plans.specs import CENSUS_TABLES, FEATURES
+from panelkit.queries.inputs import parts
 from panelkit.queries.registry import query, rounded, Tables
 from panelkit.sources import lookup
 
@@ -100,13 +101,19 @@ def dictionary(t: Tables) -> DataFrame:
 
 
 def estimates(t: Tables) -> DataFrame:
-    """``(GEOID, variable, estimate)``: lines per supplier, each on one leaf of every table."""
-    spots = t.lineitem.groupBy(F.lpad(F.col("l_suppkey").cast("string"), 8, "0").alias("GEOID"),
-                               F.pmod(F.col("l_partkey") * 7 + F.col("l_linenumber"), F.lit(5040)).alias("spot")).agg(F.sum("l_quantity").alias("q"))
-    leaves = lookup(t.spark, _leaves(), "table string, many int, leaf int, variable string")
+    """``(GEOID, variable, estimate)``: lines per supplier, each on one leaf of every table.
+
+    Lines are dealt to as many partitions as they need, by supplier and spot; the sums move to their supplier, at most 5,040 to each,
+    and its leaves and codes are formed there.
+    """
+    n = parts(t.lineitem)
+    lines = t.lineitem.select(F.lpad(F.col("l_suppkey").cast("string"), 8, "0").alias("GEOID"),
+                              F.pmod(F.col("l_partkey") * 7 + F.col("l_linenumber"), F.lit(5040)).alias("spot"), "l_quantity")
+    spots = lines.repartition(n, "GEOID", "spot").groupBy("GEOID", "spot").agg(F.sum("l_quantity").alias("q")).repartition(n, "GEOID")
+    leaves = lookup(t.spark, _leaves(), "table string, many int, leaf int, variable string").drop("many")
     tables = F.array(*[F.struct(F.lit(table).alias("table"), F.lit(many).alias("many")) for table, many in sorted({x[:2] for x in _leaves()})])
     on_leaf = spots.select("*", F.inline(tables)).withColumn("leaf", F.pmod("spot", "many").cast("int")).groupBy("GEOID", "table", "leaf").agg(F.sum("q").alias("q"))
-    return on_leaf.join(leaves, ["table", "leaf"]).groupBy("GEOID", "variable").agg(F.sum("q").cast("double").alias("estimate"))
+    return on_leaf.join(F.broadcast(leaves), ["table", "leaf"]).groupBy("GEOID", "variable").agg(F.sum("q").cast("double").alias("estimate"))
 
 
 # ---------------------------------------------------------------- the same in SQL

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelkit.queries import inputs as I
 from panelkit.queries import QUERIES
+from panelkit.queries.census import estimates
 from panelkit.queries.registry import Tables
 
 LINES = [(i % 90, i % 37 if i % 50 else None, i % 7 if i % 41 else None, i % 4, float(i % 9), "NAR"[i % 3], "FO"[i % 2]) for i in range(600)]
@@ -37,6 +38,28 @@ def key(k):
     return None if k is None else f"{k:08d}"
 
 
+def test_estimates_of_a_supplier_are_formed_in_one_partition(tables):
+    rows = estimates(tables)
+    assert shuffles(rows) == [("12", "REPARTITION_BY_NUM")] * 2
+    assert together(rows.withColumn("part", F.spark_partition_id()))
+    got = {(r.GEOID, r.variable): r.estimate for r in rows.collect()}
+    want = {}
+    for _, part, supp, line, q, *_ in LINES:
+        if part is not None:
+            want[key(supp)] = want.get(key(supp), 0.0) + q
+            leaf = (part * 7 + line) % 5040 % 16
+            want[key(supp), leaf] = want.get((key(supp), leaf), 0.0) + q
+    for k, q in want.items():
+        assert got[(k[0], f"B19101_{k[1] + 2:03d}") if isinstance(k, tuple) else (k, "B19101_001")] == q
+    assert {v for k, v in got.items() if k[1] == "B23001_001"} == {v for k, v in want.items() if not isinstance(k, tuple)}
+
+
+@pytest.mark.parametrize("name", ["published_feature_master", "tidy_education", "tidy_gini", "tidy_income"])
+def test_published_tables_deal_lines_by_their_number(tables, name):
+    large = [s for s in shuffles(QUERIES[name](tables.spark, tables.folder)) if s[0] == "12"]
+    assert large == [("12", "REPARTITION_BY_NUM")] * 2
+
+
 def test_lattice_is_formed_where_the_census_rows_of_an_area_lie(tables):
     df = QUERIES["subset_lattice"](tables.spark, tables.folder)
     assert together(df.withColumn("part", F.spark_partition_id()))
