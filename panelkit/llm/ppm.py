@@ -10,6 +10,8 @@ reversed contexts is a branch. Runs are dealt to tasks by branch, the texts' que
 task builds its branch in arrays and answers. A branch with too many runs or questions is cut one byte deeper; the few
 contexts above the cuts are broadcast. ``FAST`` of the most frequent runs are broadcast with their chances and answered on
 the spot; how many those are changes no result.
+
+Counts, questions and words cross the network packed, many to a row, so that their number costs little but arithmetic in arrays.
 """
 
 from collections import Counter
@@ -20,7 +22,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from panelkit.llm.common import flat, map_texts, ship, steps
 from panelkit.llm.toxicity import Numbers
@@ -31,10 +33,14 @@ ORDER = 6
 FAST = 1 << 21
 #: Runs and questions of a branch before it is cut deeper, those that a task answers at once, and bytes of text scored at once.
 BRANCH, HELD, STEP = 1 << 20, 1 << 19, 1 << 20
+#: Bytes of training text whose runs, at most as many, make one bucket: a task merges a bucket's counts at a time.
+COUNTED = 1 << 22
 #: Bytes UTF-8 never uses, for the place before a text and the end behind it; all symbols are 256 bytes and the end.
 BEGIN, END, SYMBOLS = 0xFE, 0xFF, 257
 #: A word with at least this share of all tokens is broadcast; there are at most that many. The others are joined.
 FREQUENT = 65_536
+#: Words of a bucket, whose counts a task holds at a time, and training tokens for each bucket, about.
+WORDS, ASKED = 1 << 17, 1 << 22
 SMOOTH = 0.1
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -45,21 +51,20 @@ def stream(texts: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     symbols, and for each text the number of symbols before it."""
     data, offsets = flat(texts)
     n = len(offsets) - 1
-    more = np.arange(n) * (order + 1)
-    out = np.full(len(data) + n * (order + 1), BEGIN, np.uint8)
-    place = np.arange(len(data)) + np.repeat(more + order, np.diff(offsets))
-    out[place] = LOWER[data]
-    ends = offsets[1:] + more + order
-    out[ends] = END
-    return out, np.sort(np.concatenate([place, ends])), offsets[:-1] + np.arange(n)
+    inside = np.ones(len(data) + n * (order + 1), bool)
+    inside[((offsets[:-1] + np.arange(n) * (order + 1))[:, None] + np.arange(order)).ravel()] = False
+    out = np.full(len(inside), BEGIN, np.uint8)
+    out[inside] = np.insert(LOWER[data], offsets[1:], END)
+    return out, np.flatnonzero(inside), offsets[:-1] + np.arange(n)
 
 
 def codes(out: np.ndarray, place: np.ndarray, order: int) -> np.ndarray:
     """The run of ``order`` bytes and the symbol at each place, as a number with the symbol lowest."""
-    code = np.zeros(max(len(out) - order, 0), np.int64)
-    for first in range(order + 1):
-        code <<= 8
-        code |= out[first:first + len(code)]
+    code, length = out.astype(np.int64), 1
+    while length <= order:  # two neighbours make one of up to twice their length
+        more = min(length, order + 1 - length)
+        code = code[:max(len(code) - more, 0)] << 8 * more | code[more:] & (1 << 8 * more) - 1
+        length += more
     return code[place - order]
 
 
@@ -77,12 +82,56 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return code[first], np.add.reduceat(count, first) if len(code) else count
 
 
-def gram_counts(df: DataFrame, text: str = "text", order: int = ORDER) -> DataFrame:
-    """``(gram, n)`` over all texts of ``df``; partial counts of a task are merged before they are shuffled."""
+def _squeezed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _whole(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
+def _by_byte(numbers: np.ndarray) -> bytes:
+    """The lowest bytes of all numbers, then the next ones, and so on."""
+    return np.ascontiguousarray(numbers.reshape(-1).view(np.uint8).reshape(-1, numbers.dtype.itemsize).T).tobytes()
+
+
+def _numbers(data: bytes, kind: type) -> np.ndarray:
+    return np.array(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T, order="C").view(kind).ravel()
+
+
+def packed(*columns: np.ndarray) -> bytes:
+    """Whole numbers, the first column ascending, as the bytes of its steps and of the others, compressed byte by byte."""
+    first = np.diff(columns[0], prepend=np.int64(0))
+    return _squeezed(_by_byte(np.stack([first, *columns[1:]]).astype(np.int64)))
+
+
+def unpacked(data: bytes, many: int) -> np.ndarray:
+    """The columns of ``packed``, one row each."""
+    out = _numbers(_whole(data), np.int64).reshape(many, -1)
+    out[0] = np.cumsum(out[0])
+    return out
+
+
+def _runs_of(sorted_: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Each value of a sorted array, where it begins and where it ends."""
+    first = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1])) if len(sorted_) else np.zeros(0, np.int64)
+    yield from zip(sorted_[first].tolist(), first.tolist(), [*first[1:].tolist(), len(sorted_)])
+
+
+def gram_counts(df: DataFrame, text: str = "text", order: int = ORDER) -> DataFrame:
+    """``(gram, n, under)`` over all texts of ``df``: ``under`` is the places of the run's context and its different symbols, 256 at
+    most. Partial counts of a task are merged and packed by buckets of contexts before they are shuffled."""
+    buckets = (df.agg(F.sum(F.octet_length(text))).first()[0] or 0) // COUNTED + 1
+
+    def as_pieces(gram: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        bucket = (((gram >> 8).astype(np.uint64) * Frequent.TURNS[0] >> np.uint64(32)) % np.uint64(buckets)).astype(np.uint32)
+        at = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")
+        gram, n = gram[at], n[at]
+        pieces = [(b, packed(gram[first:last], n[first:last])) for b, first, last in _runs_of(bucket[at])]
+        return pa.RecordBatch.from_pydict({"bucket": pa.array([b for b, _ in pieces], pa.int64()), "data": pa.array([d for _, d in pieces], pa.binary())})
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        as_rows = lambda c, n: pa.RecordBatch.from_arrays([pa.array(c), pa.array(n.astype(np.int64))], ["gram", "n"])
         for batch in steps(batches, text, 1 << 21):
             held.append(grams(batch.column(text), order))
             size += len(held[-1][0])
@@ -90,21 +139,39 @@ def gram_counts(df: DataFrame, text: str = "text", order: int = ORDER) -> DataFr
                 held = [_merged(held)]
                 size = len(held[0][0])
                 if size > 1_500_000:
-                    yield as_rows(*held[0])
+                    yield as_pieces(*held[0])
                     held, size = [], 0
         if held:
-            yield as_rows(*_merged(held))
+            yield as_pieces(*_merged(held))
 
-    ship(df.sparkSession)
-    # dealt by context, so that contexts are whole in a task; the tasks' sorted runs go over the wire as they are
-    runs = df.select(text).mapInArrow(run, "gram long, n long").withColumn("context", F.shiftright("gram", 8)).repartition("context")
-    return runs.groupBy("context", "gram").agg(F.sum("n").alias("n"))
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last, size, least = [], None, 0, 1 << 20
+
+        def whole() -> Iterator[pa.RecordBatch]:
+            if held:
+                gram, n = _merged(held)
+                begin = np.flatnonzero(np.append(True, gram[1:] >> 8 != gram[:-1] >> 8))
+                kinds = np.diff(np.append(begin, len(gram)))
+                under = np.repeat(np.add.reduceat(n, begin) + kinds, kinds)
+                for first in range(0, len(gram), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[first:first + (1 << 16)]) for c in (gram, n, under)], ["gram", "n", "under"])
 
+        for batch in batches:
+            for bucket, data in zip(batch.column("bucket").to_pylist(), batch.column("data").to_pylist()):
+                if bucket != last:
+                    yield from whole()
+                    held, last, size, least = [], bucket, 0, 1 << 20
+                held.append(tuple(unpacked(data, 2)))
+                size += len(held[-1][0])
+                if size > least:
+                    held = [_merged(held)]
+                    size = len(held[0][0])
+                    least = 2 * size + (1 << 20)
+        yield from whole()
 
-def with_context(runs: DataFrame) -> DataFrame:
-    """``(gram, n, under)`` of ``gram_counts``: ``under`` is the places of the run's context and its different symbols, 256 at most."""
-    behind = Window.partitionBy("context")
-    return runs.select("gram", "n", (F.sum("n").over(behind) + F.count(F.lit(1)).over(behind)).alias("under"))
+    ship(df.sparkSession)
+    pieces = df.select(text).mapInArrow(count, "bucket long, data binary")
+    return pieces.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(total, "gram long, n long, under long")
 
 
 # ---------------------------------------------------------------- branches
@@ -211,19 +278,6 @@ class Cuts:
         return cut, (context & ((np.int64(1) << 8 * cut) - 1)) * 8 + cut  # never the same for two lengths
 
 
-def packed(*columns: np.ndarray) -> bytes:
-    """Whole numbers, the first column ascending, as the bytes of its steps and of the others, compressed byte by byte."""
-    first = np.diff(columns[0], prepend=np.int64(0))
-    return zlib.compress(np.ascontiguousarray(np.stack([first, *columns[1:]]).astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
-
-
-def unpacked(data: bytes, many: int) -> np.ndarray:
-    """The columns of ``packed``, one row each."""
-    out = np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1).T).view(np.int64).reshape(many, -1).copy()
-    out[0] = np.cumsum(out[0])
-    return out
-
-
 def _pieces(branch: np.ndarray, part: np.ndarray, kind: int, columns: list[np.ndarray]) -> pa.RecordBatch:
     """Rows of one kind packed by branch and part; each piece in the order of its first column."""
     order = np.lexsort((columns[0], part, branch))
@@ -437,6 +491,105 @@ def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
     return df.select(text).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _with_words(words: list[bytes], numbers: np.ndarray) -> bytes:
+    """Words, which hold no white space, and whole numbers, compressed."""
+    return _squeezed(b" ".join(words) + b"\n" + _by_byte(numbers))
+
+
+def _words_of(data: bytes, kind: type) -> tuple[list[bytes], np.ndarray]:
+    words, numbers = _whole(data).split(b"\n", 1)
+    return words.split(b" "), _numbers(numbers, kind)
+
+
+def _buckets(words: list[bytes], buckets: int) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
+
+
+def word_questions(words: list[bytes], word: np.ndarray, row: np.ndarray, rows: int, buckets: int) -> tuple[list[tuple[int, bytes]], bytes]:
+    """Of tokens, each with the number of its word and its row: the words as one piece for each bucket, and for all words in that
+    order in how many rows each one is, those rows, and how often it is there."""
+    bucket = _buckets(words, buckets)
+    order = np.argsort(bucket, kind="stable")
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    pair, times = np.unique(place[word] * rows + row, return_counts=True)
+    many = np.bincount(pair // max(rows, 1), minlength=len(words))
+    pieces = [(b, _squeezed(b" ".join([words[i] for i in order[first:last]]))) for b, first, last in _runs_of(bucket[order])]
+    return pieces, _squeezed(_by_byte(np.concatenate([many, pair % max(rows, 1), times]).astype(np.int32)))
+
+
+def asked_words(counts: DataFrame, asked: DataFrame, under: float, buckets: int) -> DataFrame:
+    """``(row, more, seen)``: for each row log10 of the chances of its words under the counts ``(word, n)``, summed, and how many of
+    them were counted. ``asked`` is ``(row, words, places)``: at the first row of some that follow one another, the pieces
+    ``(bucket, data)`` and the places of ``word_questions``.
+
+    Counts and words meet in one shuffle, packed by bucket, a task holding a bucket's counts and one piece of words; the words'
+    counts meet their places in another.
+    """
+    piece = "row long, bucket int, kind int, data binary"
+
+    def as_rows(row: list[int], bucket: list[int], kind: int, data: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"row": pa.array(row, pa.int64()), "bucket": pa.array(bucket, pa.int32()),
+                                           "kind": pa.array([kind] * len(row), pa.int32()), "data": pa.array(data, pa.binary())})
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _large(batches, WORDS):
+            words, n = batch.column("word").to_pylist(), batch.column("n").to_numpy()
+            bucket = _buckets(words, buckets)
+            order = np.argsort(bucket, kind="stable")
+            pieces = [(b, _with_words([words[i] for i in order[first:last]], n[order[first:last]])) for b, first, last in _runs_of(bucket[order])]
+            yield as_rows([0] * len(pieces), [b for b, _ in pieces], 0, [d for _, d in pieces])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, int] = {}
+        last = None
+        for batch in batches:
+            rows, at, answers_ = [], [], []
+            for row, bucket, kind, data in zip(*[batch.column(c).to_pylist() for c in ("row", "bucket", "kind", "data")]):
+                if bucket != last:
+                    last, held = bucket, {}
+                if kind:
+                    words = _whole(data).split(b" ")
+                    rows.append(row)
+                    at.append(bucket)
+                    answers_.append(_squeezed(_by_byte(np.fromiter((held.get(w, 0) for w in words), np.int64, len(words)))))
+                else:
+                    words, n = _words_of(data, np.int64)
+                    held.update(zip(words, n.tolist()))
+            yield as_rows(rows, at, 1, answers_)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, places, found = None, b"", []
+
+        def sums() -> pa.RecordBatch:
+            n = np.concatenate(found)
+            numbers = _numbers(_whole(places), np.int32)
+            many, (row, times) = numbers[:len(n)], numbers[len(n):].reshape(2, -1)
+            worth, met = (np.repeat(x, many) for x in (np.log10((n + SMOOTH) / under), n > 0))
+            there = np.unique(row)
+            more, seen = (np.bincount(row, times * x)[there] for x in (worth, met))
+            return pa.RecordBatch.from_arrays([pa.array(first + there.astype(np.int64)), pa.array(more), pa.array(seen.astype(np.int64))], ["row", "more", "seen"])
+
+        for batch in batches:
+            for row, kind, data in zip(*[batch.column(c).to_pylist() for c in ("row", "kind", "data")]):
+                if kind:
+                    found.append(_numbers(_whole(data), np.int64))
+                    continue
+                if found:
+                    yield sums()
+                first, places, found = row, data, []
+        if found:
+            yield sums()
+
+    ship(counts.sparkSession)
+    words = asked.select("row", F.explode("words").alias("w")).select("row", "w.bucket", F.lit(1).alias("kind"), "w.data")
+    dealt = counts.select("word", "n").mapInArrow(known, piece).unionByName(words)
+    answered = dealt.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(answer, piece)
+    zero = F.lit(0)
+    whole = asked.select("row", zero.alias("bucket"), zero.alias("kind"), F.col("places").alias("data")).unionByName(answered)
+    return whole.repartition("row").sortWithinPartitions("row", "kind", "bucket").mapInArrow(total, "row long, more double, seen long")
+
+
 def scored(df: DataFrame, learnt: DataFrame, key: str = "doc_id", keep: tuple[str, ...] = (), text: str = "text") -> DataFrame:
     """``key`` and ``keep`` beside ``n_tokens, n_known, train_tokens, base_score, score, code_bits`` for every row of ``df``.
 
@@ -445,7 +598,7 @@ def scored(df: DataFrame, learnt: DataFrame, key: str = "doc_id", keep: tuple[st
     rows are scored alike, each on its own.
     """
     spark = df.sparkSession
-    model = settle(with_context(gram_counts(learnt, text)))
+    model = settle(gram_counts(learnt, text))
     runs = spark.sparkContext.broadcast(frequent_runs(model))
     counts = settle(word_counts(learnt, text))
     texts = learnt.count()
@@ -453,9 +606,11 @@ def scored(df: DataFrame, learnt: DataFrame, key: str = "doc_id", keep: tuple[st
     tokens, different = sums["n"] + texts, sums["v"] + (texts > 0)
     under = tokens + SMOOTH * (different + 1)
     value = lambda c: math.log10((c + SMOOTH) / under)
-    frequent = {bytes(r["word"]): value(r["n"]) for r in counts.filter(F.col("n") >= max(1, tokens / FREQUENT)).collect()}
+    often = F.col("n") >= max(1, tokens / FREQUENT)
+    frequent = {bytes(r["word"]): value(r["n"]) for r in counts.filter(often).collect()}
     common = spark.sparkContext.broadcast(frequent)            # at most ``FREQUENT`` words
     end = value(texts)
+    buckets = max(1, -(-different // WORDS), -(-tokens // ASKED))
 
     def work(batch: pa.RecordBatch) -> dict[str, object]:
         column = batch.column(text)
@@ -468,9 +623,14 @@ def scored(df: DataFrame, learnt: DataFrame, key: str = "doc_id", keep: tuple[st
         worth = np.array([common.value.get(w, 1.0) for w in words])
         known = worth[ids] <= 0 if len(words) else np.zeros(0, bool)
         base = np.bincount(row[known], worth[ids[known]], len(found)) if len(words) else np.zeros(len(found))
-        pair, count = np.unique(row[~known] * max(len(words), 1) + ids[~known], return_counts=True)
-        of_row, of_word = pair // max(len(words), 1), pair % max(len(words), 1)
-        rare = _lists(of_row, len(found), word=pa.array(words, pa.binary()).take(pa.array(of_word)), n=pa.array(count.astype(np.int64)))
+        unusual = np.flatnonzero(worth > 0)
+        number = np.zeros(len(words), np.int64)
+        number[unusual] = np.arange(len(unusual))
+        pieces, places = word_questions([words[i] for i in unusual], number[ids[~known]], row[~known], len(found), buckets)
+        # those of all rows stand with the first one
+        rare = _lists(np.zeros(len(pieces), np.int64), len(found), bucket=pa.array([b for b, _ in pieces], pa.int32()),
+                      data=pa.array([d for _, d in pieces], pa.binary()))
+        places = pa.array([places if pieces else None] + [None] * (len(found) - 1), pa.binary())
         out, place, begin = stream(column, ORDER)
         code = codes(out, place, ORDER)
         log = runs.value.chances(code)
@@ -480,24 +640,23 @@ def scored(df: DataFrame, learnt: DataFrame, key: str = "doc_id", keep: tuple[st
         of_text, gram, times = _by_text(np.searchsorted(begin, missed, "right") - 1, code[missed])
         others = _lists(of_text, len(found), gram=pa.array(gram), n=pa.array(times))
         return {"_tokens": sizes + 1, "_known": np.bincount(row[known], minlength=len(found)), "_base": base + end,
-                "_score": score, "_rare": rare, "_runs": others}
+                "_score": score, "_rare": rare, "_places": places, "_runs": others}
 
-    added = ("_tokens long, _known long, _base double, _score double, _rare array<struct<word:binary,n:long>>, "
+    added = ("_tokens long, _known long, _base double, _score double, _rare array<struct<bucket:int,data:binary>>, _places binary, "
              "_runs array<struct<gram:long,n:long>>")
     kept = list(dict.fromkeys([key, *keep]))
-    # rows get a number of their own for the way back; written, it stays the same
+    # rows get a number of their own for the way back, one after another in a partition; written, it stays the same
     rows = settle(map_texts(df, text, kept, added, work, STEP).withColumn("_row", F.monotonically_increasing_id()))
-    rare = rows.select("_row", F.explode("_rare").alias("r")).select("_row", "r.word", F.col("r.n").alias("times"))
-    worth = F.log10((F.coalesce("n", F.lit(0)) + SMOOTH) / under)
     zero = F.lit(0).cast("long")
-    of_words = rare.join(counts, "word", "left").select(
-        "_row", (F.col("times") * worth).alias("more"), F.when(F.col("n") > 0, F.col("times")).otherwise(zero).alias("seen"), F.lit(0.0).alias("log"))
+    # the rows of one step of ``work`` are numbered one after another
+    rare = rows.filter(F.col("_places").isNotNull()).select(F.col("_row").alias("row"), F.col("_rare").alias("words"), F.col("_places").alias("places"))
+    of_words = asked_words(counts.filter(~often), rare, under, buckets).select(F.col("row").alias("_row"), "more", "seen", F.lit(0.0).alias("log"))
     asked = rows.select(F.col("_row").alias("row"), F.col("_runs").alias("runs")).filter(F.size("_runs") > 0)
     of_runs = asked_chances(model, asked).select(F.col("row").alias("_row"), F.lit(0.0).alias("more"), zero.alias("seen"), "log")
     back = of_words.unionByName(of_runs).groupBy("_row").agg(
         F.sum("more").alias("_more"), F.sum("seen").alias("_seen"), F.sum("log").alias("_log"))
     score = F.col("_score") + F.coalesce("_log", F.lit(0.0))
-    return rows.drop("_rare", "_runs").join(back, "_row", "left").select(
+    return rows.drop("_rare", "_places", "_runs").join(back, "_row", "left").select(
         *kept, F.col("_tokens").alias("n_tokens"),
         (F.col("_known") + F.coalesce("_seen", zero) + int(texts > 0)).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("_base") + F.coalesce("_more", F.lit(0.0))).alias("base_score"), score.alias("score"),

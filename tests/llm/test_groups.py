@@ -191,6 +191,50 @@ def test_scores_equal_plain_counting(spark, odd_docs, no_docs, monkeypatch):
     assert blank["base_score"] == 0 and blank["score"] == pytest.approx(-math.log10(257), abs=1e-5) and blank["n_known"] == 0
 
 
+def test_run_counts_come_packed_by_bucket(spark, monkeypatch):
+    monkeypatch.setattr(ppm, "COUNTED", 40)
+    draw = random.Random(2)
+    texts = [None, "", "", "Ab", "aB é Ω"] + ["".join(draw.choices("aBc \n", k=draw.randrange(30))) for _ in range(60)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    want = Counter()
+    for t in texts:
+        whole = b"\xfe" * 3 + (t or "").encode().lower() + b"\xff"
+        want.update(int.from_bytes(whole[i:i + 4], "big") for i in range(len(whole) - 3))
+    places, kinds = Counter(), Counter(g >> 8 for g in want)
+    for g, n in want.items():
+        places[g >> 8] += n
+    counts = ppm.gram_counts(docs, order=3)
+    rows = [tuple(r) for r in counts.select("gram", "n", "under").collect()]
+    assert sorted(rows) == sorted((g, n, places[g >> 8] + kinds[g >> 8]) for g, n in want.items())
+    # runs are no rows of the shuffle
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Window" not in plan
+    assert ppm.gram_counts(docs.limit(0), order=3).collect() == []
+
+
+def test_words_meet_their_counts_by_bucket(spark, monkeypatch):
+    for name, value in {"WORDS": 7, "ASKED": 50, "FREQUENT": 20, "STEP": 60}.items():
+        monkeypatch.setattr(ppm, name, value)
+    draw = random.Random(3)
+    texts = [None, "", " \n"] + [" ".join(f"W{int(draw.paretovariate(0.5)) % 300}" for _ in range(draw.randrange(25))) for _ in range(80)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(5, texts[5])], "doc_id long, text string").repartition(2)
+    learnt = docs.filter("doc_id % 4 != 0")
+    split = {i: (t or "").encode().lower().split() for i, t in enumerate(texts)}
+    counts = Counter(w for r in learnt.collect() for w in split[r["doc_id"]])
+    texts_learnt = learnt.count()
+    under = sum(counts.values()) + texts_learnt + 0.1 * (len(counts) + 2)
+    result = ppm.scored(docs, learnt)
+    rows = result.collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted([*split, 5]) and any(counts[w] == 0 for t in split.values() for w in t)
+    for r in rows:
+        words = split[r["doc_id"]]
+        assert (r["n_tokens"], r["n_known"]) == (len(words) + 1, 1 + sum(counts[w] > 0 for w in words))
+        base = sum(math.log10((counts[w] + 0.1) / under) for w in words) + math.log10((texts_learnt + 0.1) / under)
+        assert r["base_score"] == pytest.approx(base, rel=1e-12)
+    # words are no rows of a join; the one left brings the sums back to their rows
+    assert result._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
 # ---------------------------------------------------------------- decontamination
 
 def test_contaminated_finds_passages_and_leaves_others(spark, odd_docs, no_docs):
